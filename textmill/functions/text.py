@@ -46,17 +46,27 @@ def pretokenize(text) -> Column:
 
 
 def byte_tokens(text, prepend=None) -> Column:
-    """UTF-8 bytes of ``text`` as ``array<int>`` (optionally a leading special id)."""
-    h = F.hex(F.encode(_c(text), "UTF-8"))
-    n = F.octet_length(_c(text))
-    arr = F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1),
-                    lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int")))
+    """UTF-8 bytes of ``text`` as ``array<int>`` (optionally a leading special id).
+
+    The UTF-8 bytes are re-read as ISO-8859-1, which maps byte ``b`` to the
+    character ``U+00b``; splitting into characters and taking code points is
+    linear in the text (substring indexing would be quadratic).
+    """
+    t = _c(text)
+    latin = F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")
+    arr = F.when(F.length(t) == 0, F.array().cast("array<int>")).otherwise(
+        F.transform(F.split(latin, ""), lambda ch: F.ascii(ch)))
     if prepend is not None:
         arr = F.concat(F.array(F.lit(int(prepend))), arr)
     return arr
 
 
+def bytes_to_text(ids) -> Column:
+    """Inverse of :func:`byte_tokens` for ids 0..255 (others are skipped)."""
+    chars = F.transform(F.filter(_c(ids), lambda i: (i >= 0) & (i < 256)), lambda i: F.chr(i))
+    return F.decode(F.encode(F.array_join(chars, ""), "ISO-8859-1"), "UTF-8")
+
+
 def byte_token_count(text, prepend: bool = False) -> Column:
     return F.octet_length(_c(text)) + F.lit(1 if prepend else 0)
 
