@@ -1,6 +1,6 @@
 """Named queries over the driver's test tables, with DuckDB oracle SQL."""
 
-from . import chats, mixing, tokens  # noqa: F401
+from . import chats, mixing, packing, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
