@@ -191,3 +191,58 @@ def q_compression_eval(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("text", "lang")
     encoders = {"bytes": lambda t: F.octet_length(t), "pretokens": lambda t: F.size(pretokenize(t))}
     return tok.compression_eval(d, encoders, "lang", "bytes")
+
+
+# --- byte-level BPE -----------------------------------------------------------
+BPE_VOCAB = 256 + len(SPECIAL_TOKENS) + 24
+_MODELS: dict = {}
+
+
+def bpe_model(spark, sf_dir):
+    """Train on a character-budget sample of capped documents (half of all capped characters)."""
+    from ..operators import bpe, filters
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
+        budget = d.agg(F.sum(F.length(F.substring("text", 1, 10000))).alias("s")).first()["s"] / 2
+        sample = filters.char_budget_sample(d, budget, 10000, ["doc_id"]).select(F.col("capped").alias("text"))
+        vocab, merges = bpe.bpe_train(tok.pretoken_counts(sample), BPE_VOCAB)
+        _MODELS[key] = (vocab.cache(), merges.cache())
+    return _MODELS[key]
+
+
+@query("bpe_train")
+def q_bpe_train(spark, sf_dir):
+    _, merges = bpe_model(spark, sf_dir)
+    return merges
+
+
+@query("bpe_encode")
+def q_bpe_encode(spark, sf_dir):
+    from ..operators.bpe import BPEEncoder
+    enc = BPEEncoder(*bpe_model(spark, sf_dir))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", enc.encode(F.col("text")))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("bpe_decode")
+def q_bpe_decode(spark, sf_dir):
+    from ..operators.bpe import BPEEncoder
+    enc = BPEEncoder(*bpe_model(spark, sf_dir))
+    d = docs_with_edges(spark, sf_dir).withColumn("ids", enc.encode(F.col("text")))
+    return d.select("doc_id", (enc.decode(F.col("ids")) == F.col("text")).alias("roundtrip_ok"))
+
+
+@query("token_bytes_table")
+def q_token_bytes_table(spark, sf_dir):
+    from ..operators.bpe import token_bytes_table
+    vocab, _ = bpe_model(spark, sf_dir)
+    return token_bytes_table(vocab)
+
+
+@query("token_byte_stats")
+def q_token_byte_stats(spark, sf_dir):
+    from ..operators.bpe import token_byte_stats, token_bytes_table
+    vocab, _ = bpe_model(spark, sf_dir)
+    return token_byte_stats(token_bytes_table(vocab))
