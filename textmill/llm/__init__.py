@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_warc": warc.op2_warc,
+    "op5_mixing": mixing.op5_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
+# SQL exists where it can state the result; the other queries are tested against brute force.
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
