@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, toxicity, warc
+from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_warc": warc.op2_warc,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 # SQL exists where it can state the result; the other queries are tested against brute force.
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op4_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_license_scan": license_scan.ORACLE,
 }
