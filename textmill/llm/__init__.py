@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, quality, toxicity, warc
+from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 # SQL exists where it can state the result; the other queries are tested against brute force.
