@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, toxicity, warc
+from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
