@@ -70,22 +70,24 @@ def _record(kind, record_id: Column, url: Column, content_type: str, block: Colu
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Archive ``pages`` under ``path`` as gzip files of WARC records."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    small = pages.select(F.col(id_col).cast("long").alias("i"), F.sha2(payload, 256).alias("d")).groupBy("i", "d").agg(F.lit(1).alias("one"))
+    small = pages.select(F.col(id_col).cast("long").alias("i"), F.unhex(F.sha2(payload, 256)).alias("d")).groupBy("i", "d").agg(F.lit(1).alias("one"))
     largest = small.groupBy("d").agg(F.max("i").alias("rep"))
-    marks = cut(small.join(largest, "d").select(F.col("i").alias("mi"), F.col("d").alias("md"), "rep"), "warc-marks")
-    rows = pages.select(F.col(id_col).cast("long").alias("i"), payload.alias("p"), F.sha2(payload, 256).alias("d"),
+    # a key without nulls, so that join and window share one exchange of the payloads
+    key = F.coalesce(F.col("i").cast("string"), F.lit("")).alias("k")
+    marks = cut(small.join(largest, "d").select(key, "d", "rep"), "warc-marks")
+    rows = pages.select(F.col(id_col).cast("long").alias("i"), payload.alias("p"), F.unhex(F.sha2(payload, 256)).alias("d"),
                         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("u"))
-    rows = rows.join(marks, F.col("i").eqNullSafe(F.col("mi")) & (F.col("d") == F.col("md")))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("mi", "md").orderBy("u")))
+    rows = rows.select("*", key).join(marks, ["k", "d"])
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "d").orderBy("u")))
     first = F.col("i").eqNullSafe(F.col("rep")) & (F.col("n") == 1)
     rows = rows.withColumn("first", first).withColumn("sha", base32_sha1(F.col("p")))
-    own, url, size = _urn(F.lit("capture"), F.col("i"), F.col("d"), F.col("n")), F.col("u"), F.octet_length("p").cast("string")
+    own, url, size = _urn(F.lit("capture"), F.col("i"), F.hex("d"), F.col("n")), F.col("u"), F.octet_length("p").cast("string")
     about = F.concat(F.lit("\r\nWARC-Concurrent-To: "), own)
     host, where = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     asked = F.concat(F.lit("GET "), F.when(where.startswith("/"), where).otherwise(F.concat(F.lit("/"), where)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END)).cast("binary")
     digest = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("sha"))
-    again = F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), _urn(F.lit("capture"), F.col("rep"), F.col("d"), F.lit(1)))
+    again = F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), _urn(F.lit("capture"), F.col("rep"), F.hex("d"), F.lit(1)))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("i").cast("string"), F.lit("")), F.lit("\r\n")).cast("binary")
     gap = F.lit(END).cast("binary")
     records = F.concat(
@@ -156,12 +158,15 @@ def read_records(spark: SparkSession, path: str, keep_payload: bool = True) -> D
     return files.mapInArrow(run, RECORD)
 
 
-def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: capture_id, response, request, metadata and, for revisits, original."""
-    records = records.withColumn("r", F.struct(*records.columns))
-    answers = records.filter("type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), F.col("refers_to").alias("of"), F.col("r").alias("response"))
-    part = lambda kind: records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias(f"{kind}_of"), F.col("r").alias(kind))
-    whole = answers.join(part("request"), F.col("capture_id") == F.col("request_of"), "left").join(part("metadata"), F.col("capture_id") == F.col("metadata_of"), "left")
+def transactions(records: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
+    """One nested row per capture: capture_id, response, request, metadata and, for revisits, original.
+
+    ``keep`` names the fields of a part that its struct has; all of a record without it.
+    """
+    part = lambda kind: F.struct(*(keep or {}).get(kind, records.columns)).alias(kind)
+    answers = records.filter("type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), F.col("refers_to").alias("of"), part("response"))
+    about = lambda kind: records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias(f"{kind}_of"), part(kind))
+    whole = answers.join(about("request"), F.col("capture_id") == F.col("request_of"), "left").join(about("metadata"), F.col("capture_id") == F.col("metadata_of"), "left")
     whole = whole.select("capture_id", "of", "response", "request", "metadata")
     firsts = whole.filter("response.type = 'response'").select(
         F.col("capture_id").alias("first_id"), F.struct("capture_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
@@ -172,7 +177,8 @@ def transactions(records: DataFrame) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_pages(table(spark, sf_dir, "pages"), path)
-    got = transactions(cut(read_records(spark, path, keep_payload=False), "warc-records"))
+    needed = {"response": ["type", "payload_bytes", "payload_digest"], "request": ["type"], "metadata": ["fields"]}
+    got = transactions(cut(read_records(spark, path, keep_payload=False), "warc-records"), needed)
     page = lambda fields: F.nullif(F.try_element_at(fields, F.lit("page-id")), F.lit("")).cast("long")
     again = F.col("response.type") == "revisit"
     return got.select(page(F.col("metadata.fields")).alias("page_id"),
