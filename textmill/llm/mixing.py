@@ -135,12 +135,12 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with ``copy_no`` from 1."""
     got = decisions(docs, id_col, text_col, source_col, **how).filter("copies > 0")
-    got = got.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("source").alias("__s"), F.col("n").alias("__k"), "copies")
+    got = got.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("source").alias("__s"), F.col("n").alias("__k"), F.col("copies").alias("__c"))
     mine = docs.withColumn("__id", F.col(id_col).cast("string")).withColumn("__x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__x", source_col).orderBy(F.lit(1))))
     on = (F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__h")) & F.col(source_col).eqNullSafe(F.col("__s"))
           & (F.col("__n") == F.col("__k")))
-    out = mine.join(got, on).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = mine.join(got, on).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__c"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no")
 
 
