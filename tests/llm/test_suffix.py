@@ -21,7 +21,7 @@ def test_removals(spark):
 
 
 def test_repeated_ids_and_nulls(spark):
-    long = "".join(random.Random(1).choice("abcdef ") for _ in range(400))
+    long = "".join(random.Random(1).choices("abcdef ", k=400))
     rows = [(5, long), (5, long), (5, "start " + long), (3, "other " + long[100:220]), (None, long), (None, long), (9, None), (9, "")]
     got = sorted((r["i"] or 0, r["n_bytes"], r["n_removed"]) for r in S.removals(frame(spark, rows)).collect())
     # rows of one id leave each other alone; those without id come last
