@@ -28,6 +28,80 @@ def test_result_independent_of_partitions(spark):
     assert a["cum"].tolist() == b["cum"].tolist()
 
 
+def test_null_string_and_repeated_keys(spark):
+    """No row is lost, and the result is the same for any number of buckets."""
+    rng = random.Random(5)
+    rows = [(None if rng.random() < 0.1 else rng.choice(["a", "same", "same", "zz", "é"]), k, None if rng.random() < 0.25 else rng.choice("xy"), rng.randint(0, 9))
+            for k in range(1000)]
+    df = spark.createDataFrame(rows, "s string, k long, g string, v long")
+    first = None
+    for n in (1, 4, 50):
+        got = running_sum(df, "v", ["s", "k"], by=["g"], n_buckets=n, previous={"p": "k"}).toPandas()
+        assert len(got) == 1000
+        now = sorted(got[["k", "cum", "p"]].astype("Int64").itertuples(index=False, name=None), key=repr)
+        first = first or now
+        assert now == first
+    idx = dense_index(df, ["s", "k"], n_buckets=7).toPandas().sort_values("idx")
+    assert idx["idx"].tolist() == list(range(1000))
+    want = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert idx["k"].tolist() == [r[1] for r in want]
+
+
+def test_repeated_first_key_is_spread(spark):
+    from textmill.functions.ranking import BKT, with_bucket
+    df = spark.range(10_000).withColumn("s", F.lit("hot"))
+    sizes = [r["count"] for r in with_bucket(df, ["s", "id"], 10).groupBy(BKT).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 3000
+
+
+def test_ema_equals_sequential(spark):
+    from textmill.operators.runs import ema_debiased
+    rng = random.Random(6)
+    xs = [rng.uniform(-1, 5) for _ in range(3000)]
+    df = spark.createDataFrame([(None if k % 2 else "run", k // 2, xs[k]) for k in range(3000)], "run string, step long, x double")
+    for beta in (0.2, 0.9, 0.999):
+        got = ema_debiased(df, "run", "step", "x", beta).toPandas()
+        assert len(got) == 3000
+        for name, part in got.groupby("run", dropna=False):
+            s, seq = 0.0, []
+            for k, x in enumerate(part.sort_values("step")["x"]):
+                s = beta * s + (1 - beta) * x
+                seq.append(s / (1 - beta ** (k + 1)))
+            assert max(abs(a - b) for a, b in zip(seq, part.sort_values("step")["ema"])) < 1e-9
+
+
+def test_repack_has_no_statistics(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from textmill.sources import shards
+    d = spark.createDataFrame([(0, k, f"text {k}") for k in range(50)], "shard_id int, row_in_shard long, text string")
+    for repack in (False, True):
+        shards.write_text_shards(d, f"{tmp_path}/{repack}", repack=repack)
+        file = next((tmp_path / str(repack)).rglob("*.parquet"))
+        stats = pq.read_metadata(file).row_group(0).column(0).statistics
+        assert (stats is None or not stats.has_min_max) == repack
+
+
+def test_missing_paths_and_large_specs(spark, tmp_path):
+    import pytest
+    from textmill.operators import filters
+    from textmill.sources import shards
+    with pytest.warns(UserWarning):
+        good, rejects = shards.read_chat_jsonl(spark, f"{tmp_path}/nothing")
+    assert good.count() == rejects.count() == 0
+    spec = spark.range(12_000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(0).alias("min_len"), (F.col("id") % 2 == 0).alias("use_score"))
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 12_000).alias("source"), F.lit("t").alias("text"))
+    scores = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(3.0).alias("score"))
+    assert filters.source_filter(docs, spec, scores).count() == 12_000 + 6_000
+
+
+def test_requests_without_scored_tokens_stay(spark):
+    from textmill.operators import evalm
+    t = spark.createDataFrame([(1, 0, 1, -2.0, False), (1, 1, 2, -1.0, True)], "req long, pos long, n_cont long, lp double, is_argmax boolean")
+    one = evalm.score_continuation(t, 1, ["req"]).first()
+    assert (one["loglik"], one["is_greedy"], one["n_scored"]) == (0.0, True, 0)
+    assert evalm.rolling_loglik(t.filter("pos = 0"), 4, ["req"]).first()["loglik"] == 0.0
+
+
 def test_bpe_merge_and_roundtrip(spark):
     texts = ["aaa abab", "the the theme", "hello hello", "x"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")

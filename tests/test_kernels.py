@@ -7,33 +7,39 @@ import numpy as np
 from textmill.operators import kernels
 
 
+def choose(pool, room):
+    """(length, arrival, taken) of the document to place: the longest that fits, else the shortest, cut."""
+    fitting = sorted((d for d in pool if d[0] <= room), key=lambda d: (-d[0], d[1]))
+    if fitting:
+        return (*fitting[0], fitting[0][0])
+    shortest = min(pool)
+    return (*shortest, room)
+
+
+def refill(pool, queue, wanted, batch):
+    """Batches move from the queue to the pool until it holds the wanted number."""
+    while queue and len(pool) < wanted:
+        pool.extend(queue[:batch])
+        del queue[:batch]
+
+
 def naive_bestfit_crop(lengths, cap, buffer, batch):
-    buf, nxt, rows = [], 0, []
-    while True:
-        pos, row = 0, []
-        while pos < cap:
-            while len(buf) < buffer and nxt < len(lengths):
-                buf.extend(range(nxt, min(len(lengths), nxt + batch)))
-                nxt = min(len(lengths), nxt + batch)
-            if not buf:
-                break
-            rem = cap - pos
-            best, best_len = -1, 0
-            for i, k in enumerate(buf):
-                if lengths[k] <= rem and lengths[k] > best_len:
-                    best, best_len = i, lengths[k]
-            if best >= 0:
-                k = buf.pop(best)
-                row.append((k, pos, lengths[k]))
-                pos += lengths[k]
-            else:
-                i = min(range(len(buf)), key=lambda j: lengths[buf[j]])
-                k = buf.pop(i)
-                row.append((k, pos, rem))
-                pos += rem
-        if pos < cap:
-            return rows
-        rows.append(row)
+    """Full rows as lists of (document, offset, taken)."""
+    queue = [(n, k) for k, n in enumerate(lengths)]
+    pool: list = []
+    rows: list = [[]]
+    room = cap
+    refill(pool, queue, buffer, batch)
+    while pool:
+        n, k, taken = choose(pool, room)
+        pool.remove((n, k))
+        rows[-1].append((k, cap - room, taken))
+        room -= taken
+        if not room:
+            rows.append([])
+            room = cap
+        refill(pool, queue, buffer, batch)
+    return rows[:-1]  # the last one is empty or incomplete
 
 
 def test_bestfit_crop_matches_naive():
@@ -48,6 +54,26 @@ def test_bestfit_crop_matches_naive():
         assert got == want
 
 
+def test_bestfit_pad_places_the_longest_that_fits():
+    """Replayed from the result: each placement is the best of what the buffer holds then."""
+    rng = random.Random(4)
+    lengths, cap, buffer = [rng.randint(1, 100) for _ in range(300)], 101, 12
+    k, r, o, content = kernels.bestfit_pad(np.array(lengths), cap, buffer)
+    waiting, held = list(range(len(lengths))), []
+    row, used = 0, 0
+    for doc, at, offset in zip(k, r, o):
+        held += waiting[:buffer - len(held)]
+        waiting = waiting[buffer - len(held):] if len(held) < buffer else [d for d in waiting if d not in held]
+        if at != row:
+            assert all(lengths[d] > cap - used for d in held)  # nothing fitted any more
+            row, used = at, 0
+        assert offset == used
+        best = max((d for d in held if lengths[d] <= cap - used), key=lambda d: (lengths[d], -d))
+        assert doc == best
+        held.remove(doc)
+        used += lengths[doc]
+
+
 def test_bestfit_pad_rows_are_full_or_padded():
     rng = random.Random(1)
     lengths = np.array([rng.randint(1, 100) for _ in range(500)])

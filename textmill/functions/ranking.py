@@ -1,12 +1,12 @@
-"""Skew-safe running sums and dense indexes.
+"""Skew-safe running sums, dense indexes and previous values.
 
 ``Window.orderBy`` without ``partitionBy`` sends every row to one task, and
 ``Window.partitionBy(group)`` sends a hot group to one task.  Instead the
-order column is cut into range buckets (approximate quantiles, or exact
-division for dense integer keys); each (group, bucket) runs its own window,
-and a small table of per-bucket totals supplies the offsets.  The offsets
-table has at most ``groups x buckets`` rows; with no group it is bounded by
-the bucket count and is broadcast.
+order is cut into range buckets; each (group, bucket) runs its own window, and
+a small table of per-bucket totals supplies the offsets.  Bucket edges are
+tuples of *all* order columns, of any type, from a bounded sample, so repeated
+first values, strings and NULLs (which come first) are spread too.  The result
+doesn't depend on the number of buckets.
 """
 
 from __future__ import annotations
@@ -15,73 +15,95 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BKT = "_bkt"
+SAMPLE_PER_BUCKET = 20
 
 
 def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, n)
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def with_bucket(df: DataFrame, order_col: str, n_buckets: int | None = None,
+def as_columns(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
+
+
+def count_not_above(edges: Column, key: Column, at_most: int) -> Column:
+    """How many entries of the sorted array ``edges`` are <= ``key`` (binary search)."""
+    steps = [1 << b for b in reversed(range(max(1, at_most).bit_length()))]
+
+    def step(at: Column, s: Column) -> Column:
+        return F.when((at + s <= F.size(edges)) & (F.get(edges, at + s - 1) <= key), at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def with_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int | None = None,
                 dense: tuple[int, int] | None = None) -> DataFrame:
-    """Add ``_bkt``: a bucket index that is monotone in ``order_col``.
+    """Add ``_bkt``: a bucket index that grows with ``order``.
 
-    ``dense=(lo, hi)`` declares integer keys in ``[lo, hi)`` (e.g. ``range``
-    ids): buckets are exact divisions.  Otherwise bucket edges come from
-    ``approxQuantile`` (a sketch; only ``n_buckets`` numbers reach the driver).
+    ``dense=(lo, hi)`` declares that the first order column holds integers spread over
+    ``[lo, hi)``: buckets are exact divisions.  Otherwise edges come from the rows with the
+    smallest hashes, ``SAMPLE_PER_BUCKET`` for each bucket.
     """
     n = n_buckets or default_buckets(df)
-    if n <= 1:
-        return df.withColumn(BKT, F.lit(0))
+    cols = as_columns(order)
     if dense is not None:
         lo, hi = dense
         width = max(1, -(-(hi - lo) // n))
-        return df.withColumn(BKT, F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("int"))
-    probs = [i / n for i in range(1, n)]
-    qs = df.approxQuantile(order_col, probs, 1.0 / (4 * n))
-    splits = sorted({float(q) for q in qs if q is not None})
-    if not splits:
-        return df.withColumn(BKT, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
-    tmp = "_bkt_src"
-    b = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol=tmp,
-                   outputCol=BKT, handleInvalid="keep")
-    out = b.transform(df.withColumn(tmp, F.col(order_col).cast("double")))
-    return out.withColumn(BKT, F.col(BKT).cast("int")).drop(tmp)
+        return df.withColumn(BKT, F.coalesce(F.floor((cols[0] - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(-1)))
+    keys = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+    sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLE_PER_BUCKET * n)
+    got = sample.orderBy(*[F.col(c).asc_nulls_first() for c in keys.columns]).collect()
+    edges = [got[len(got) * k // n] for k in range(1, n)] if len(got) > 1 else []
+    edges = [e for k, e in enumerate(edges) if k == 0 or e != edges[k - 1]]
+    schema = T.StructType([T.StructField("_edges", T.ArrayType(keys.schema))])
+    table = F.broadcast(df.sparkSession.createDataFrame([([tuple(e) for e in edges],)], schema))  # one row of n entries
+    key = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+    return df.crossJoin(table).withColumn(BKT, count_not_above(F.col("_edges"), key, n)).drop("_edges")
 
 
 def running_sum(df: DataFrame, value: Column | str, order: Sequence[str | Column],
                 by: Sequence[str] = (), out: str = "cum", inclusive: bool = True,
-                n_buckets: int | None = None, dense: tuple[int, int] | None = None) -> DataFrame:
-    """Prefix sum of ``value`` ordered by ``order`` (a total order) within ``by``.
+                n_buckets: int | None = None, dense: tuple[int, int] | None = None,
+                previous: dict[str, str] | None = None) -> DataFrame:
+    """Prefix sum of ``value`` ordered by ``order`` (a total order, NULLs first) within ``by``.
 
-    The first order column must be numeric; it drives bucketing.
+    ``previous={"new": "col"}`` also adds the value that ``col`` has in the row before.  Rows
+    with NULL order or group keys are kept.
     """
     by = list(by)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    previous = previous or {}
+    order = as_columns(order)
     value = F.col(value) if isinstance(value, str) else value
-    first = "_ord0"
-    base = df.withColumn("_v", value).withColumn(first, order[0])
-    base = with_bucket(base, first, n_buckets, dense)
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy(*by, BKT).orderBy(F.col(first), *order[1:]).rowsBetween(
-        Window.unboundedPreceding, end)
-    local = base.withColumn("_local", F.coalesce(F.sum("_v").over(w), F.lit(0)))
-    totals = base.groupBy(*by, BKT).agg(F.sum("_v").alias("_tot"))
-    wo = Window.partitionBy(*by).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, BKT, F.coalesce(F.sum("_tot").over(wo), F.lit(0)).alias("_off"))
+    base = with_bucket(df.withColumn("_v", value), order, n_buckets, dense)
+    w = Window.partitionBy(*by, BKT).orderBy(*order)
+    local = base.withColumn("_local", F.coalesce(F.sum("_v").over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)), F.lit(0)))
+    if previous:
+        local = local.withColumn("_nth", F.row_number().over(w))
+    for new, col in previous.items():
+        local = local.withColumn(new, F.lag(col).over(w))
+    last = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    totals = base.groupBy(*by, BKT).agg(F.sum("_v").alias("_tot"), *[F.max_by(c, last).alias(f"_last_{n}") for n, c in previous.items()])
+    wo = Window.partitionBy(*by).orderBy(BKT)
+    offsets = totals.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(BKT).alias("_b2"),
+                            F.coalesce(F.sum("_tot").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                            *[F.lag(f"_last_{n}").over(wo).alias(f"_last_{n}") for n in previous])
     if not by:
-        offsets = F.broadcast(offsets)  # at most n_buckets rows
-    res = local.join(offsets, [*by, BKT], "inner")
-    return res.withColumn(out, F.col("_local") + F.col("_off")).drop("_v", "_local", "_off", BKT, first)
+        offsets = F.broadcast(offsets)  # one row per bucket
+    on = F.col(BKT) == F.col("_b2")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    res = local.join(offsets, on).withColumn(out, F.col("_local") + F.col("_off"))
+    for new in previous:
+        res = res.withColumn(new, F.when(F.col("_nth") == 1, F.col(f"_last_{new}")).otherwise(F.col(new)))
+    return res.drop("_v", "_local", "_off", BKT, "_b2", "_nth", *[f"_by{i}" for i in range(len(by))], *[f"_last_{n}" for n in previous])
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
                 out: str = "idx", n_buckets: int | None = None,
-                dense: tuple[int, int] | None = None) -> DataFrame:
+                dense: tuple[int, int] | None = None, previous: dict[str, str] | None = None) -> DataFrame:
     """0-based position of each row in ``order`` within ``by`` (skew-safe row_number - 1)."""
     return running_sum(df, F.lit(1).cast("long"), order, by, out, inclusive=False,
-                       n_buckets=n_buckets, dense=dense)
+                       n_buckets=n_buckets, dense=dense, previous=previous)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lang_letter_ratio
+
 # ---------------------------------------------------------------------------
 # Chat request limits (first failing rule wins, in this order).
 MAX_MESSAGES_PER_REQUEST = 500
@@ -102,8 +104,9 @@ def validate_synthetic_chat(d: DataFrame, col: str = "messages") -> DataFrame:
 
     def check(x, i):
         expected = F.when((i % 2) == 0, F.lit("user")).otherwise(F.lit("assistant"))
-        return (F.when(x["role"] != expected, F.concat(F.lit("bad_role:"), i.cast("string")))
-                .when(F.trim(x["content"]) == "", F.concat(F.lit("empty_content:"), i.cast("string"))))
+        blank = F.coalesce(x["content"], F.lit("")).rlike(r"(?U)^\s*$")
+        return (F.when(~x["role"].eqNullSafe(expected), F.concat(F.lit("bad_role:"), i.cast("string")))
+                .when(blank, F.concat(F.lit("empty_content:"), i.cast("string"))))
 
     reason = F.when(m.isNull() | (F.size(m) < 2), F.lit("too_short")).otherwise(_first_problem(m, check))
     return d.withColumn("reason", reason)
@@ -140,16 +143,10 @@ def assistant_text(col: str = "messages") -> Column:
                                     lambda x: F.coalesce(x["content"], F.lit(""))), " ")
 
 
-def lang_ratio_col(text: Column, letters: str) -> Column:
-    marked = F.length(F.regexp_replace(text, "[^" + letters + "]", ""))
-    alpha = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(alpha == 0, F.lit(0.0)).otherwise(marked / alpha)
-
-
 def lang_filter_conversations(d: DataFrame, letters: str, threshold: float = 0.005,
                               col: str = "messages") -> DataFrame:
     """Keep non-empty conversations whose joined assistant text has marker share >= threshold."""
-    ratio = lang_ratio_col(assistant_text(col), letters)
+    ratio = lang_letter_ratio(assistant_text(col), letters)
     return d.withColumn("lang_ratio", ratio).filter((F.size(col) > 0) & (F.col("lang_ratio") >= threshold))
 
 

@@ -13,21 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
+from ..functions.sizing import broadcast_if_small, dense_array
 
 LN2 = math.log(2.0)
 
 
 def token_bytes_lookup(tokens: DataFrame, token_bytes: DataFrame, token: str = "token_id") -> DataFrame:
-    """Attach ``n_bytes`` of each token id (vocabulary-sized side, broadcast when small)."""
-    return tokens.join(broadcast_if_small(token_bytes.select(token, "n_bytes")), token, "left")
+    """Attach ``n_bytes`` of each token id: an array access, no shuffle on hot token ids."""
+    table = dense_array(token_bytes, token, "n_bytes", "_bytes")  # one row
+    return tokens.crossJoin(F.broadcast(table)).withColumn("n_bytes", F.get("_bytes", F.col(token).cast("int"))).drop("_bytes")
 
 
 def bits_per_byte(tok_nll: DataFrame, token_bytes: DataFrame, by: Sequence[str] = (),
                   target: str = "target", nats: str = "nats") -> DataFrame:
-    """sum(nats of targets with bytes) / (ln 2 * sum(bytes)); targets < 0 ignored; no bytes -> +inf."""
-    t = tok_nll.filter(F.col(target) >= 0).withColumnRenamed(target, "token_id")
-    j = token_bytes_lookup(t, token_bytes)
+    """sum(nats of targets with bytes) / (ln 2 * sum(bytes)); targets < 0 ignored; no bytes -> +inf.
+
+    A group whose targets are all ignored stays, with +inf.
+    """
+    t = tok_nll.withColumnRenamed(target, "token_id")
+    j = token_bytes_lookup(t.withColumn("token_id", F.when(F.col("token_id") >= 0, F.col("token_id"))), token_bytes)
     nb = F.coalesce(F.col("n_bytes"), F.lit(0))
     g = j.groupBy(*by).agg(F.sum(F.when(nb > 0, F.col(nats)).otherwise(F.lit(0.0))).alias("sum_nats"),
                            F.sum(nb).cast("long").alias("sum_bytes"))
@@ -43,16 +47,36 @@ def score_continuation(tok_lp: DataFrame, max_len: int, req: Sequence[str], pos:
     ``max_len - 1`` continuation tokens (the last ones) are scored.
     """
     scored = F.col(pos) >= F.col(n_cont) - F.least(F.col(n_cont), F.lit(max_len - 1))
-    t = tok_lp.filter(scored)
-    return t.groupBy(*req).agg(F.sum(lp).alias("loglik"), F.bool_and(hit).alias("is_greedy"),
-                               F.count(F.lit(1)).alias("n_scored"))
+    # a request without scored token has log-likelihood 0 and counts as greedy
+    return tok_lp.groupBy(*req).agg(F.coalesce(F.sum(F.when(scored, F.col(lp))), F.lit(0.0)).alias("loglik"),
+                                    F.coalesce(F.bool_and(F.when(scored, F.col(hit))), F.lit(True)).alias("is_greedy"),
+                                    F.count(F.when(scored, 1)).alias("n_scored"))
 
 
 def rolling_loglik(tok_lp: DataFrame, max_len: int, doc: Sequence[str], pos: str = "pos",
                    lp: str = "lp") -> DataFrame:
-    """Split into ``max_len`` chunks; the first token of every chunk is unscored."""
-    t = tok_lp.filter((F.col(pos) % max_len) != 0)
-    return t.groupBy(*doc).agg(F.sum(lp).alias("loglik"), F.count(F.lit(1)).alias("n_scored"))
+    """Split into ``max_len`` chunks; the first token of every chunk is unscored.
+
+    A document without scored token has log-likelihood 0.
+    """
+    scored = (F.col(pos) % max_len) != 0
+    return tok_lp.groupBy(*doc).agg(F.coalesce(F.sum(F.when(scored, F.col(lp))), F.lit(0.0)).alias("loglik"),
+                                    F.count(F.when(scored, 1)).alias("n_scored"))
+
+
+def bits_per_byte_rows(d: DataFrame, token_bytes: DataFrame, by: Sequence[str] = (),
+                       targets: str = "targets", nats: str = "nats", token: str = "token_id") -> DataFrame:
+    """``bits_per_byte`` of rows that hold arrays: summed inside the row, then once per group."""
+    table = dense_array(token_bytes, token, "n_bytes", "_bytes")  # one row
+    j = d.crossJoin(F.broadcast(table))
+    size = F.transform(targets, lambda t: F.when(t >= 0, F.coalesce(F.get("_bytes", t), F.lit(0))).otherwise(0))
+    j = j.withColumn("_size", size)
+    used = F.zip_with(F.col(nats), F.col("_size"), lambda x, b: F.when(b > 0, x).otherwise(0.0))
+    j = j.select(*by, F.aggregate(used, F.lit(0.0), lambda a, x: a + x).alias("_nats"),
+                 F.aggregate("_size", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
+    g = j.groupBy(*by).agg(F.coalesce(F.sum("_nats"), F.lit(0.0)).alias("sum_nats"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("sum_bytes"))
+    return g.withColumn("bpb", F.when(F.col("sum_bytes") == 0, F.lit(float("inf"))).otherwise(
+        F.col("sum_nats") / (F.lit(LN2) * F.col("sum_bytes"))))
 
 
 def mc_pick(req: DataFrame, question: Sequence[str], choice: str = "choice_id",

@@ -6,45 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import running_sum
-from ..functions.sizing import require_small
+from ..functions.sizing import broadcast_if_small
 from ..functions.text import doc_cap, lang_letter_ratio
 
-MAX_SOURCES = 10_000
-
 
 def source_filter(docs: DataFrame, spec: DataFrame, scores: DataFrame | None = None,
                   key: str = "doc_id", threshold: float = 2.0,
                   extra: Column | None = None) -> DataFrame:
     """Keep documents that pass their source's rules.
 
-    spec: ``(source, min_len, use_score, ...)`` (config-sized, broadcast).
-    A document survives when its text is non-empty, ``length(text) >= min_len``
-    and, for sources with ``use_score``, ``coalesce(score, 0) >= threshold``.
-    ``scores`` is ``(key, score)``; ``extra`` is an optional user predicate.
+    spec: ``(source, min_len, use_score, ...)``.  A document survives when its
+    text is non-empty, ``length(text) >= min_len`` and, for sources with
+    ``use_score``, ``coalesce(score, 0) >= threshold``.  ``scores`` is
+    ``(key, score)``, one row per key; only keys that pass are joined, and only
+    to documents of scored sources that are still left.  ``extra`` is an
+    optional user predicate.
     """
-    s = require_small(spec, MAX_SOURCES, "source spec")
-    d = docs
-    if scores is not None:
-        d = d.join(scores.select(key, F.col("score").alias("_score")), key, "left")
-    else:
-        d = d.withColumn("_score", F.lit(None).cast("double"))
-    d = d.join(s.select("source", "min_len", "use_score"), "source")
-    keep = (F.col("text").isNotNull() & (F.length("text") > 0) & (F.length("text") >= F.col("min_len"))
-            & (~F.col("use_score") | (F.coalesce(F.col("_score"), F.lit(0.0)) >= F.lit(threshold))))
+    s = broadcast_if_small(spec.select("source", "min_len", "use_score"))
+    d = docs.join(s, "source").filter(F.col("text").isNotNull() & (F.length("text") > 0) & (F.length("text") >= F.col("min_len")))
     if extra is not None:
-        keep = keep & extra
-    return d.filter(keep).drop("_score", "min_len", "use_score")
+        d = d.filter(extra)
+    free, scored = d.filter(~F.col("use_score")), d.filter("use_score")
+    passes = F.coalesce(F.col("score"), F.lit(0.0)) >= F.lit(threshold)
+    if scores is None:
+        scored = scored if threshold <= 0 else scored.filter(F.lit(False))
+    elif threshold <= 0:  # a document without score passes
+        scored = scored.join(scores.filter(~passes).select(key), key, "left_anti")
+    else:
+        scored = scored.join(scores.filter(passes).select(key), key, "left_semi")
+    return free.unionByName(scored).drop("min_len", "use_score")
 
 
 def char_budget_sample(docs: DataFrame, max_chars: int, cap: int, order: list[str]) -> DataFrame:
     """In ``order``, keep docs while the exclusive running sum of capped lengths <= max_chars.
 
     The document that crosses the budget is included (its prefix sum is still
-    within budget).  Adds ``capped`` text and ``cum_before``.
+    within budget).  Adds ``capped`` text and ``cum_before``.  Only order keys and
+    lengths are ranked; the text is joined to the keys that stay.
     """
-    d = docs.withColumn("capped", doc_cap("text", cap))
-    d = running_sum(d, F.length("capped").cast("long"), order, out="cum_before", inclusive=False)
-    return d.filter(F.col("cum_before") <= max_chars)
+    keys = docs.select(*order, F.length(doc_cap("text", cap)).cast("long").alias("_n"))
+    kept = running_sum(keys, F.coalesce("_n", F.lit(0)), order, out="cum_before", inclusive=False)
+    kept = kept.filter(F.col("cum_before") <= max_chars).select(*[F.col(o).alias(f"_k{i}") for i, o in enumerate(order)], "cum_before")
+    on = F.lit(True)
+    for i, o in enumerate(order):
+        on = on & F.col(o).eqNullSafe(F.col(f"_k{i}"))
+    d = docs.join(kept, on).drop(*[f"_k{i}" for i in range(len(order))])
+    return d.withColumn("capped", doc_cap("text", cap))
 
 
 def lang_filter(df: DataFrame, text: str, letters: str, threshold: float = 0.005) -> DataFrame:

@@ -13,25 +13,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, order_cols
-from ..functions.ranking import dense_index
-from ..functions.sizing import require_small
+from ..functions.ranking import count_not_above, dense_index
+from ..functions.sizing import broadcast_if_small
+from ..session import materialised
 
-MAX_SOURCES = 10_000
+H60 = (0, 1 << 60)  # the first order key of a seeded permutation is spread over this range
+MAX_LIVE = 1 << 30
 
 
 def seeded_shuffle(df: DataFrame, seed: int, keys: Sequence[str], out: str = "shuffle_idx") -> DataFrame:
     """Full permutation: dense index in order ``md5(seed|keys)``, ties by the keys."""
     oc = order_cols(seed, keys)
     tmp = df.withColumn("_h60", oc[0]).withColumn("_md5", oc[1])
-    res = dense_index(tmp, ["_h60", "_md5", *keys], out=out)
+    res = dense_index(tmp, ["_h60", "_md5", *keys], out=out, dense=H60)
     return res.drop("_h60", "_md5")
 
 
 def _live_spec(docs: DataFrame, spec: DataFrame) -> DataFrame:
     """Spec rows with at least one document, with cumulative weights in spec order."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
-    live = require_small(spec, MAX_SOURCES, "source spec").join(counts, "source")
-    w_all = Window.partitionBy()  # the spec is config-sized
+    live = broadcast_if_small(spec).join(counts, "source")
+    w_all = Window.partitionBy()  # one row per source of the spec
     w_cum = Window.orderBy("spec_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (live.withColumn("w_hi", F.sum(F.col("weight").cast("double")).over(w_cum))
             .withColumn("w_tot", F.sum(F.col("weight").cast("double")).over(w_all))
@@ -50,25 +52,27 @@ def weighted_interleave(docs: DataFrame, spec: DataFrame, n_draws: int, seed: in
     ``pos``-th of the epoch's permutation ``md5(seed|source|epoch|key)``.
     """
     spark = docs.sparkSession
-    live = _live_spec(docs, spec).cache()
-    draws = spark.range(n_draws).withColumnRenamed("id", "d").withColumn(
-        "_uw", hash32(seed, "d") / F.lit(4294967296.0))
-    cond = ((F.col("_uw") * F.col("w_tot") <= F.col("w_hi"))
-            & ((F.col("_uw") * F.col("w_tot") > F.col("w_lo")) | (F.col("spec_idx") == F.col("first_idx"))))
-    picked = draws.join(F.broadcast(live.select("source", "spec_idx", "n_docs", "w_hi", "w_lo", "w_tot",
-                                                "first_idx")), cond, "inner")
-    ranked = dense_index(picked.select("d", "source", "n_docs"), ["d"], by=["source"], out="k",
-                         dense=(0, n_draws))
-    ranked = ranked.withColumn("epoch", (F.col("k") / F.col("n_docs")).cast("long")) \
+    keys = materialised(docs.select("source", key), "mix-keys")  # read by the count and by every epoch
+    entry = F.struct("spec_idx", "w_hi", "source", "n_docs")
+    live = _live_spec(keys, spec).agg(F.array_sort(F.collect_list(entry)).alias("_live"), F.max("w_tot").alias("_w"))
+    live = live.withColumn("_hi", F.transform("_live", lambda e: -e["w_hi"])).withColumn("_hi", F.reverse("_hi"))
+    u = hash32(seed, "d") / F.lit(4294967296.0) * F.col("_w")
+    # entries whose cumulative weight is at least u, counted from the end
+    at = F.size("_live") - count_not_above(F.col("_hi"), -u, MAX_LIVE)
+    draws = spark.range(n_draws).withColumnRenamed("id", "d").crossJoin(F.broadcast(live))  # one row
+    picked = draws.withColumn("_e", F.get("_live", at)).select("d", "_e.source", "_e.n_docs").filter("source is not null")
+    ranked = dense_index(picked, ["d"], by=["source"], out="k", dense=(0, n_draws))
+    ranked = ranked.withColumn("epoch", F.floor(F.col("k") / F.col("n_docs"))) \
                    .withColumn("pos", F.col("k") % F.col("n_docs"))
     max_epoch = ranked.groupBy("source").agg(F.max("epoch").alias("_me"))
-    perm = (docs.join(F.broadcast(max_epoch), "source")  # one row per live source
+    perm = (keys.join(F.broadcast(max_epoch), "source")  # one row per live source
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_me"))))
             .drop("_me"))
     oc = order_cols(seed, [key], F.col("source"), F.col("epoch"))
     perm = perm.withColumn("_h60", oc[0]).withColumn("_md5", oc[1])
-    perm = dense_index(perm, ["_h60", "_md5", key], by=["source", "epoch"], out="pos").drop("_h60", "_md5")
-    return ranked.drop("n_docs").join(perm, ["source", "epoch", "pos"], "inner")
+    perm = dense_index(perm, ["_h60", "_md5", key], by=["source", "epoch"], out="pos", dense=H60).drop("_h60", "_md5")
+    drawn = ranked.drop("n_docs").join(perm, ["source", "epoch", "pos"])
+    return drawn.join(docs, ["source", key])  # keys are ranked; documents come last
 
 
 def mix_realized(mixed: DataFrame, spec: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -88,12 +92,14 @@ def mix_realized(mixed: DataFrame, spec: DataFrame, docs: DataFrame, key: str =
 
 
 def epoch_repeat(df: DataFrame, epochs: int, seed: int, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Repeat ``df`` for ``epochs`` epochs, each a fresh permutation (within ``by``)."""
+    """Repeat ``df`` for ``epochs`` epochs, each a fresh permutation (within ``by``).
+
+    Pass the keys only where rows are wide, and join the rest to the result.
+    """
     rep = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     oc = order_cols(seed, [key], *[F.col(b) for b in by], F.col("epoch"))
     rep = rep.withColumn("_h60", oc[0]).withColumn("_md5", oc[1])
-    rep = dense_index(rep, ["_h60", "_md5", key], by=[*by, "epoch"], out="pos").drop("_h60", "_md5")
-    return rep
+    return dense_index(rep, ["_h60", "_md5", key], by=[*by, "epoch"], out="pos", dense=H60).drop("_h60", "_md5")
 
 
 def task_mixture(parts: Sequence[DataFrame], seed: int = 42, local_idx: str = "local_idx") -> DataFrame:
@@ -107,7 +113,7 @@ def task_mixture(parts: Sequence[DataFrame], seed: int = 42, local_idx: str = "l
         allp = allp.unionByName(t, allowMissingColumns=True)
     oc = order_cols(seed, ["task_idx", local_idx])
     allp = allp.withColumn("_h60", oc[0]).withColumn("_md5", oc[1])
-    return dense_index(allp, ["_h60", "_md5", "task_idx", local_idx], out="idx").drop("_h60", "_md5")
+    return dense_index(allp, ["_h60", "_md5", "task_idx", local_idx], out="idx", dense=H60).drop("_h60", "_md5")
 
 
 def task_sequence(parts: Sequence[DataFrame], local_idx: str = "local_idx") -> DataFrame:
@@ -143,6 +149,5 @@ def limit_per_task(df: DataFrame, n: int, task: str, order: Sequence[str]) -> Da
     """First ``n`` rows of every task in ``order``; ``n=0`` keeps all."""
     if n <= 0:
         return df
-    ranked = dense_index(df.withColumn("_o0", F.col(order[0]).cast("double")), ["_o0", *order],
-                         by=[task], out="_rn").drop("_o0")
+    ranked = dense_index(df, list(order), by=[task], out="_rn")
     return ranked.filter(F.col("_rn") < n).drop("_rn")

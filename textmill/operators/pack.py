@@ -22,11 +22,21 @@ from . import kernels
 PLAN_SCHEMA = "lane int, key long, row long, offset long, take long"
 
 
+LANE_BUDGET = 50_000_000  # tokens or characters of a lane: what one planning task sees
+
+
 def lane_of(key: str, n_lanes: int, seed: int = 42) -> Column:
     return (hash32(seed, key) % F.lit(n_lanes)).cast("int")
 
 
-def _lane_input(d: DataFrame, key: str, length: str, n_lanes: int, seed: int) -> DataFrame:
+def lanes_for(d: DataFrame, length: str, lane_budget: int = LANE_BUDGET) -> int:
+    """As many lanes as the data fills; part of the result, since rows are defined per lane."""
+    total = d.agg(F.sum(F.col(length).cast("long"))).first()[0] or 0
+    return max(1, -(-total // lane_budget))
+
+
+def _lane_input(d: DataFrame, key: str, length: str, n_lanes: int | None, seed: int) -> DataFrame:
+    n_lanes = n_lanes or lanes_for(d, length)
     return d.select(lane_of(key, n_lanes, seed).alias("lane"), F.col(key).cast("long").alias("key"),
                     F.col(length).cast("long").alias("len"))
 
@@ -39,7 +49,7 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
 # Shards
 
 def shard_by_budget(d: DataFrame, budget: int, key: str = "doc_id", length: str = "n_chars",
-                    n_lanes: int = 1, seed: int = 42, keep_tail: float | None = 0.5,
+                    n_lanes: int | None = None, seed: int = 42, keep_tail: float | None = 0.5,
                     multiple: int = 1) -> DataFrame:
     """Close a shard when its characters reach ``budget`` (crossing doc included).
 
@@ -67,7 +77,7 @@ def shard_by_budget(d: DataFrame, budget: int, key: str = "doc_id", length: str
 # ---------------------------------------------------------------------------
 # Packing plans
 
-def plan_bestfit_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int = 1, seed: int = 42,
+def plan_bestfit_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
                       buffer: int = 1000, batch: int = 128, keep_tail: bool = False) -> DataFrame:
     cap = T + 1
 
@@ -80,7 +90,7 @@ def plan_bestfit_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int
     return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
 
 
-def plan_bestfit_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int = 1, seed: int = 42,
+def plan_bestfit_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
                      buffer: int = 100) -> DataFrame:
     """Plan plus ``content_len`` of each row (documents must be <= T+1 tokens)."""
     cap = T + 1
@@ -100,8 +110,9 @@ def plan_bestfit_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int =
         fn, PLAN_SCHEMA + ", content_len long")
 
 
-def plan_greedy_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int = 1, seed: int = 42) -> DataFrame:
-    """Docs in order; the one that overflows is cropped; incomplete last row dropped."""
+def plan_greedy_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
+                     keep_tail: bool = False) -> DataFrame:
+    """Docs in order; the one that overflows is cropped; the incomplete last row only with ``keep_tail``."""
     cap = T + 1
 
     def fn(pdf):
@@ -110,14 +121,14 @@ def plan_greedy_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int =
         gid, n_closed = kernels.budget_boundaries(lens, cap)
         before = pd.Series(lens).groupby(gid).cumsum().to_numpy() - lens
         take = np.minimum(lens, cap - before)
-        full = gid < n_closed
+        full = (gid < n_closed) | keep_tail
         return pd.DataFrame({"lane": pdf["lane"].astype("int32"), "key": pdf["key"], "row": gid,
                              "offset": before, "take": take})[full]
 
     return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
 
 
-def plan_greedy_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int = 1, seed: int = 42) -> DataFrame:
+def plan_greedy_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42) -> DataFrame:
     cap = T + 1
 
     def fn(pdf):
@@ -130,7 +141,7 @@ def plan_greedy_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int =
     return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
 
 
-def plan_ffd(d: DataFrame, T: int, key: str, length: str, n_lanes: int = 1, seed: int = 42) -> DataFrame:
+def plan_ffd(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42) -> DataFrame:
     cap = T + 1
 
     def fn(pdf):
@@ -191,18 +202,21 @@ def packing_stats(plan: DataFrame, docs: DataFrame, T: int, key: str, length: st
         F.round(F.col("over") / F.col("total") * 100.0, 4).alias("floor_pct"))
 
 
-def chunk_flat(d: DataFrame, T: int, key: str = "doc_id", ids: str = "tokens") -> DataFrame:
+def chunk_flat(d: DataFrame, T: int, key: str = "doc_id", ids: str = "tokens", length: str | None = None,
+               keep_tail: bool = False) -> DataFrame:
     """Concatenate all documents in key order and cut every T+1 tokens (rows may start mid-doc).
 
-    The global start of each document is a skew-safe prefix sum; each document
-    emits one slice per row it touches, so only rows (not tokens) are grouped.
-    The incomplete last row is dropped.
+    The global start of each document is a skew-safe prefix sum over (key, length);
+    ``length`` names a column that knows it without tokenising.  Each document
+    then emits one slice per row it touches, so only rows (not tokens) are grouped.
+    The incomplete last row is dropped unless ``keep_tail``.
     """
     cap = T + 1
-    d = d.withColumn("_n", F.size(ids).cast("long"))
-    d = running_sum(d, "_n", [key], out="start", inclusive=False)
-    total = d.agg(F.sum("_n").alias("t"))
-    n_rows = total.select((F.col("t") / cap).cast("long").alias("n_rows"))
+    sizes = d.select(F.col(key).alias("_key"), (F.col(length) if length else F.size(ids)).cast("long").alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("t"))
+    n_rows = total.select((F.ceil(F.col("t") / cap) if keep_tail else F.floor(F.col("t") / cap)).alias("n_rows"))
+    starts = running_sum(sizes, "_n", ["_key"], out="start", inclusive=False)
+    d = d.join(starts, F.col(key) == F.col("_key"))
     r0 = (F.col("start") / cap).cast("long")
     r1 = ((F.col("start") + F.col("_n") - 1) / cap).cast("long")
     pieces = d.filter(F.col("_n") > 0).select(key, "start", ids, F.explode(F.sequence(r0, r1)).alias("row"))

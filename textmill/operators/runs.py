@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
-from ..functions.sizing import require_small
+from ..functions.sizing import broadcast_if_small
 
 # ---------------------------------------------------------------------------
 # BF16 peak FLOP/s by device-name patterns.  The first row whose
@@ -68,7 +68,7 @@ def peak_flops_table(spark) -> DataFrame:
 
 def peak_flops_lookup(d: DataFrame, table: DataFrame, name: str = "device") -> DataFrame:
     """Theta join on ``forall(patterns, contains)``; first match by priority; unknown -> +inf."""
-    t = require_small(table, 10_000, "peak flops table")
+    t = broadcast_if_small(table)
     keyed = d.select(F.col(name).alias("_name")).distinct()
     m = keyed.join(t, F.forall("patterns", lambda p: F.contains(F.lower(F.col("_name")), p)), "inner")
     best = m.groupBy("_name").agg(F.min_by("peak_flops", "prio").alias("peak_flops"))
@@ -94,7 +94,7 @@ def best_predictor(d: DataFrame, group: Sequence[str], features: Sequence[str],
     long = unpivot(d, group, features, y)
     fits = linreg(long, [*group, "feature"], "x", "y")
     return fits.groupBy(*group).agg(
-        F.max_by("feature", "r2").alias("best_feature"),
+        F.min_by("feature", F.struct(-F.coalesce("r2", F.lit(-1.0)), F.col("feature"))).alias("best_feature"),
         F.max("r2").alias("r2"))
 
 
@@ -210,55 +210,69 @@ def interp_column(points: DataFrame, knots: DataFrame, group: Sequence[str], at:
                   kx: str = "x", ky: str = "y") -> DataFrame:
     """Piecewise-linear interpolation per group, clamped to the end knots (like ``np.interp``)."""
     w = Window.partitionBy(*group).orderBy(kx)
-    seg = knots.select(*group, F.col(kx).alias("x0"), F.col(ky).alias("y0"),
-                       F.lead(kx).over(w).alias("x1"), F.lead(ky).over(w).alias("y1"))
-    ends = knots.groupBy(*group).agg(F.min_by(ky, kx).alias("y_first"), F.min(kx).alias("x_first"),
-                                     F.max_by(ky, kx).alias("y_last"), F.max(kx).alias("x_last"))
-    p = points.join(ends, list(group), "left")
-    inner = p.join(seg.filter(F.col("x1").isNotNull()),
-                   [*[p[g] == seg[g] for g in group], p[at] >= seg["x0"], p[at] < seg["x1"]], "left")
-    val = (F.when(F.col(at) <= F.col("x_first"), F.col("y_first"))
-           .when(F.col(at) >= F.col("x_last"), F.col("y_last"))
-           .otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col(at) - F.col("x0")) / (F.col("x1") - F.col("x0"))))
-    keep = [p[c] for c in points.columns]
-    return inner.select(*keep, val.alias("interp"))
+    knot = knots.select(*group, F.col(kx).alias("_x"), F.lit(0).alias("_kind"), F.struct(
+        F.col(kx).alias("x0"), F.col(ky).alias("y0"), F.lead(kx).over(w).alias("x1"), F.lead(ky).over(w).alias("y1")).alias("_knot"))
+    # points and knots in one order: a point's segment starts at the last knot before it
+    both = knot.unionByName(points.select("*", F.col(at).alias("_x"), F.lit(1).alias("_kind")), allowMissingColumns=True)
+    upto = Window.partitionBy(*group).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_k", F.last("_knot", ignorenulls=True).over(upto)).filter("_kind = 1")
+    ends = knots.groupBy(*group).agg(F.min_by(ky, kx).alias("_y_first"))
+    j = both.join(ends, list(group), "left")
+    k, x = F.col("_k"), F.col(at)
+    val = (F.when(k.isNull(), F.col("_y_first")).when(k["x1"].isNull() | (x == k["x0"]), k["y0"])
+           .otherwise(k["y0"] + (k["y1"] - k["y0"]) * (x - k["x0"]) / (k["x1"] - k["x0"])))
+    return j.select(*points.columns, val.alias("interp"))
+
+
+def isoflop_carry(opt: DataFrame, d: DataFrame, group: Sequence[str], x: str, carry: Sequence[str]) -> DataFrame:
+    """Values of ``carry`` at each group's optimum, interpolated along ``x`` (mean of equal ``x``)."""
+    out = opt
+    for c in carry:
+        knots = d.groupBy(*group, F.col(x).alias("x")).agg(F.avg(c).alias("y"))
+        at = interp_column(opt.select(*group, "x_opt"), knots, group, "x_opt")
+        out = out.join(at.select(*group, F.col("interp").alias(f"{c}_opt")), list(group))
+    return out
 
 
 # ---------------------------------------------------------------------------
 # Step metrics
 
-def with_steps(d: DataFrame, run: str, order: Sequence[str], out: str = "step") -> DataFrame:
-    """0-based step per run in ``order`` (skew-safe dense index)."""
-    return dense_index(d, list(order), by=[run], out=out)
+def with_steps(d: DataFrame, run: str, order: Sequence[str], out: str = "step",
+               previous: dict[str, str] | None = None) -> DataFrame:
+    """0-based step per run in ``order`` (skew-safe dense index); ``previous`` as in ``dense_index``."""
+    return dense_index(d, list(order), by=[run], out=out, previous=previous)
 
 
 EMA_BLOCK = 512
 
 
-def ema_debiased(d: DataFrame, run: str, step: str, x: str, beta: float = EMA_BETA,
-                 block: int = EMA_BLOCK) -> DataFrame:
-    """``s = beta*s + (1-beta)*x``, reported as ``s / (1 - beta^(step+1))``.
+def decayed_sum(d: DataFrame, run: str, step: str, x: str, beta: float, out: str, block: int = EMA_BLOCK) -> DataFrame:
+    """``s_j = x_j + beta * s_(j-1)`` per run over dense steps, in bounded windows.
 
-    Exact to double precision without a per-run sequential pass: within a
-    block of ``block`` steps the EMA is a closed-form window sum; the state
-    entering a block is the previous block's end value plus beta^block times
-    the one before (older blocks contribute less than beta^(2*block) ~ 1e-47).
+    Inside a block the sum is closed-form, scaled by powers of ``beta`` that stay far from
+    overflow; block ends follow the same recurrence with ``beta ** block``, which is solved
+    the same way until its decay is below double precision.
     """
+    if beta < 1e-18:
+        return d.withColumn(out, F.col(x).cast("double"))
+    size = max(1, min(block, int(150 / -math.log10(beta)) if beta < 1 else block))
     lb = math.log(beta)
-    j = F.col(step) % block
-    b = d.withColumn("_blk", (F.col(step) / block).cast("long")).withColumn("_j", j)
+    b = d.withColumn("_blk", F.floor(F.col(step) / size)).withColumn("_j", F.col(step) % size)
     w = Window.partitionBy(run, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_local", F.exp(F.col("_j") * lb) * F.sum(
-        (1 - beta) * F.col(x) * F.exp(-F.col("_j") * lb)).over(w))
-    ends = b.groupBy(run, "_blk").agg(F.max_by("_local", step).alias("_end"), F.count(F.lit(1)).alias("_len"))
-    wb = Window.partitionBy(run).orderBy("_blk")
-    carry = ends.select(run, (F.col("_blk") + 1).alias("_blk"),
-                        (F.col("_end") + F.exp(F.col("_len") * lb) * F.coalesce(F.lag("_end").over(wb), F.lit(0.0)))
-                        .alias("_carry"))
-    r = b.join(carry, [run, "_blk"], "left").withColumn("_carry", F.coalesce("_carry", F.lit(0.0)))
-    s = F.col("_local") + F.exp((F.col("_j") + 1) * lb) * F.col("_carry")
-    return r.withColumn("ema", s / (1 - F.pow(F.lit(beta), F.col(step) + 1))).drop(
-        "_blk", "_j", "_local", "_carry")
+    b = b.withColumn("_local", F.exp(F.col("_j") * lb) * F.sum(F.col(x) * F.exp(-F.col("_j") * lb)).over(w))
+    ends = b.groupBy(run, "_blk").agg(F.max_by("_local", step).alias("_end")).select(run, F.col("_blk").alias("_at"), "_end")
+    state = decayed_sum(ends, run, "_at", "_end", beta ** size, "_state", block)
+    carry = state.select(F.col(run).alias("_run"), (F.col("_at") + 1).alias("_next"), F.col("_state").alias("_carry"))
+    r = b.join(carry, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_blk") == F.col("_next")), "left")
+    s = F.col("_local") + F.exp((F.col("_j") + 1) * lb) * F.coalesce("_carry", F.lit(0.0))
+    return r.withColumn(out, s).drop("_blk", "_j", "_local", "_run", "_next", "_carry")
+
+
+def ema_debiased(d: DataFrame, run: str, step: str, x: str, beta: float = EMA_BETA,
+                 block: int = EMA_BLOCK) -> DataFrame:
+    """``s = beta*s + (1-beta)*x``, reported as ``s / (1 - beta^(step+1))``; 0 < beta < 1."""
+    r = decayed_sum(d, run, step, x, beta, "_s", block)
+    return r.withColumn("ema", F.col("_s") * (1 - beta) / (1 - F.pow(F.lit(beta), F.col(step) + 1))).drop("_s")
 
 
 def running_min(d: DataFrame, run: str, step: str, x: str, out: str, block: int = 4096) -> DataFrame:
@@ -288,9 +302,10 @@ def running_total(d: DataFrame, run: str, step: str, x: Column, out: str, block:
 
 def throughput(d: DataFrame, tokens_per_step: int, flops_per_token: float, world: int = 1,
                dt: str = "dt", peak: str = "peak_flops") -> DataFrame:
-    """tok/s (truncated to int), FLOP/s and MFU = 100 * flops / (peak * world)."""
-    fps = flops_per_token * tokens_per_step / F.col(dt)
-    return (d.withColumn("tok_per_sec", (F.lit(tokens_per_step) / F.col(dt)).cast("long"))
+    """tok/s (truncated to int), FLOP/s and MFU = 100 * flops / (peak * world); null without a positive dt."""
+    known = F.when(F.col(dt) > 0, F.col(dt))
+    fps = flops_per_token * tokens_per_step / known
+    return (d.withColumn("tok_per_sec", F.floor(F.lit(tokens_per_step) / known).cast("double"))
              .withColumn("flops_per_sec", fps)
              .withColumn("mfu", 100.0 * fps / (F.col(peak) * world)))
 
@@ -302,12 +317,34 @@ def train_time_eta(d: DataFrame, run: str, step: str, dt: str, num_iterations: s
     return r.withColumn("eta_sec", F.when(F.col(step) > warmup, avg * (F.col(num_iterations) - F.col(step))))
 
 
-def report_pivot(d: DataFrame, metric: str, stage: str, value: str, stages: Sequence[str]) -> DataFrame:
-    """metric x stage table of formatted values, '-' where missing; metrics sorted."""
-    p = d.groupBy(metric).pivot(stage, list(stages)).agg(F.first(value))
+def report_pivot(d: DataFrame, metric: str, stage: str, value: str, stages: Sequence[str] | None = None) -> DataFrame:
+    """metric x stage table of formatted values, '-' where missing; metrics sorted.
+
+    Without ``stages`` every stage of the data is a column; of several values the smallest counts.
+    """
+    g = d.groupBy(metric)
+    p = (g.pivot(stage) if stages is None else g.pivot(stage, list(stages))).agg(F.min(value))
     return p.na.fill("-").orderBy(metric)
 
 
+def average_predictions(d: DataFrame, first: str, second: str, out: str = "pred") -> DataFrame:
+    """Mean of two models' predictions; null if either is."""
+    return d.withColumn(out, (F.col(first) + F.col(second)) / 2)
+
+
+def measured_and_estimated(measured: DataFrame, estimated: DataFrame, name: str, size: str, score: str) -> DataFrame:
+    """One table of both, with ``kind``."""
+    return measured.select(name, size, score, F.lit("measured").alias("kind")).unionByName(
+        estimated.select(name, size, score, F.lit("estimated").alias("kind")))
+
+
+def size_matched(measured: DataFrame, estimated: DataFrame, by: str, score: str) -> DataFrame:
+    """Estimated against measured score of the same size class: difference and percent."""
+    j = measured.select(by, F.col(score).alias("measured")).join(estimated.select(by, F.col(score).alias("estimated")), by)
+    return j.withColumn("delta", F.col("estimated") - F.col("measured")).withColumn(
+        "percent", 100.0 * F.col("delta") / F.col("measured"))
+
+
 def format_value(v: Column, is_int: Column) -> Column:
     """Floats as %.4f, integers >= 10000 with thousands separators, else plain."""
     return (F.when(~is_int, F.format_string("%.4f", v))

@@ -9,11 +9,28 @@ functions: a conversation never leaves its row and nothing is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import N_BYTES, SPECIAL_TOKENS, byte_tokens, bytes_to_text, pretokenize
-from .chat import merge_system
+from .chat import PART, merge_system
+
+PART_TYPES = ("text", "python", "python_output")
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def utf8_bytes(text: pa.Array) -> pa.Array:
+    """UTF-8 bytes of each text: the batch's own buffer, cast once, with the text offsets."""
+    data = text.cast(pa.large_binary())
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    body = data.buffers()[2]
+    ids = np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]].astype(np.int32) if body is not None else np.zeros(0, np.int32)
+    if not data.null_count:
+        return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(ids))
+    return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(ids), mask=data.is_null())
 
 
 class ByteEncoder:
@@ -27,7 +44,7 @@ class ByteEncoder:
         self.bos = self.special["<|bos|>"]
 
     def encode(self, text: Column) -> Column:
-        return byte_tokens(text)
+        return utf8_bytes(text)
 
     def encode_array(self, arr: Column) -> Column:
         return F.transform(arr, lambda t: byte_tokens(t))
@@ -91,8 +108,10 @@ def render_conversation(d: DataFrame, enc, max_tokens: int = 2048, col: str = "m
     m = merge_system(d, col)
     msgs = F.col(col)
     bad = F.get(F.filter(F.transform(msgs, lambda x, i: F.when(
-        x["role"] != F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")),
-        F.concat(F.lit("bad_role:"), i.cast("string")))), lambda x: x.isNotNull()), 0)
+        ~x["role"].eqNullSafe(F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant"))),
+        F.concat(F.lit("bad_role:"), i.cast("string"))).when(
+        F.exists(F.coalesce(x["parts"], F.array().cast(f"array<{PART}>")), lambda p: ~F.coalesce(p["type"].isin(*PART_TYPES), F.lit(False))),
+        F.concat(F.lit("bad_part:"), i.cast("string")))), lambda x: x.isNotNull()), 0)
     reason = (F.when(F.col("merge_reason").isNotNull(), F.col("merge_reason"))
               .when(F.size(msgs) < 1, F.lit("empty"))
               .when(bad.isNotNull(), bad))

@@ -18,9 +18,12 @@ BAD_TURNS = [
     (-5, 0, "system", "be brief"), (-5, 1, "assistant", "x"),
     (-6, 0, "user", "   "), (-6, 1, "assistant", "ok"),
     (-7, 0, "tool", "out"), (-7, 1, "user", "q"), (-7, 2, "assistant", None),
+    (-8, 0, None, "who?"), (-8, 1, "assistant", "x"),
+    (-9, 0, "user", "\n\t"), (-9, 1, "assistant", "ok"),
 ]
 BAD_SQL = ", ".join(
-    "({}, {}, '{}', {})".format(c, t, r, "NULL" if x is None else "'" + x + "'") for c, t, r, x in BAD_TURNS)
+    "({}, {}, {}, {})".format(c, t, *["NULL" if v is None else "'" + v.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for v in (r, x)])
+    for c, t, r, x in BAD_TURNS)
 TURNS_SQL = ("turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL "
              f"SELECT * FROM (VALUES {BAD_SQL}) v(conv_id, turn, role, text))")
 
@@ -54,8 +57,8 @@ def q_validate_training_chat(spark, sf_dir):
 @query("validate_synthetic_chat", oracle=f"""WITH {TURNS_SQL},
 c AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
 p AS (SELECT conv_id, turn,
-        CASE WHEN role <> CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END THEN 'bad_role:' || turn
-             WHEN trim(text) = '' THEN 'empty_content:' || turn END AS prob FROM turns)
+        CASE WHEN role IS DISTINCT FROM CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END THEN 'bad_role:' || turn
+             WHEN regexp_full_match(coalesce(text, ''), '\\s*') THEN 'empty_content:' || turn END AS prob FROM turns)
 SELECT c.conv_id, CASE WHEN c.n < 2 THEN 'too_short' ELSE f.reason END AS reason
 FROM c LEFT JOIN (SELECT conv_id, arg_min(prob, turn) AS reason FROM p WHERE prob IS NOT NULL GROUP BY conv_id) f
 ON c.conv_id = f.conv_id""")
@@ -219,13 +222,18 @@ LETTERS = ["A", "B", "C", "D"]
 
 
 def mc_choices(text):
-    return F.array(*[F.substring(text, 1 + 10 * i, 10) for i in range(4)])
+    """The four quarters of a text."""
+    n = F.length(text)
+    cut = lambda k: F.floor(n * k / 4).cast("int")
+    return F.array(*[F.substring(text, cut(k) + 1, cut(k + 1) - cut(k)) for k in range(4)])
 
 
-@query("render_mc", oracle="""
-SELECT item_id, 'Multiple Choice question: ' || text || chr(10)
-  || '- ' || substr(text, 1, 10) || '=A' || chr(10) || '- ' || substr(text, 11, 10) || '=B' || chr(10)
-  || '- ' || substr(text, 21, 10) || '=C' || chr(10) || '- ' || substr(text, 31, 10) || '=D' || chr(10)
+MC_SQL = " || ".join(f"'- ' || substr(text, 1 + {k} * length(text) // 4, {k + 1} * length(text) // 4 - {k} * length(text) // 4) || '={x}' || chr(10)"
+                     for k, x in enumerate(LETTERS))
+
+
+@query("render_mc", oracle=f"""
+SELECT item_id, 'Multiple Choice question: ' || text || chr(10) || {MC_SQL}
   || chr(10) || 'Respond only with the letter of the correct answer.' AS prompt
 FROM benchmark""")
 def q_render_mc(spark, sf_dir):

@@ -45,11 +45,30 @@ DOC_TOK_SQL = f"""t AS (SELECT doc_id, lang, unnest(list_prepend(256, {BYTES_SQL
 n AS (SELECT doc_id, lang, tok, pos, {u_sql(SEED, 'doc_id', 'pos')} * 10.0 AS nats FROM t)"""
 
 
-@query("bits_per_byte", oracle=f"""WITH {DOC_TOK_SQL}
-SELECT lang, count(*) AS sum_bytes, round(sum(nats) / (ln(2) * count(*)), 6) AS bpb FROM n WHERE pos >= 1 GROUP BY lang""")
+def doc_nats(spark, sf_dir):
+    """Documents with byte targets and nats as arrays; the nats are a formula of id, place and byte."""
+    enc = tok.ByteEncoder()
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", enc.encode(F.col("text")).alias("targets"))
+    nats = F.transform("targets", lambda t, i: ((F.col("doc_id") * 31 + i * 17 + t * 7) % 1000) / 100.0)
+    return d.withColumn("nats", nats)
+
+
+@query("bits_per_byte", oracle=f"""WITH t AS (SELECT doc_id, lang, unnest({BYTES_SQL}) AS tok, unnest(range(0, strlen(text))) AS pos FROM documents),
+n AS (SELECT lang, ((doc_id * 31 + pos * 17 + tok * 7) % 1000) / 100.0 AS nats FROM t)
+SELECT lang, count(*) AS sum_bytes, round(sum(nats) / (ln(2) * count(*)), 6) AS bpb FROM n GROUP BY lang""")
 def q_bits_per_byte(spark, sf_dir):
+    r = evalm.bits_per_byte_rows(doc_nats(spark, sf_dir), token_bytes_table(spark), by=["lang"])
+    return r.select("lang", "sum_bytes", F.round("bpb", 6).alias("bpb"))
+
+
+@query("bits_per_byte_tokens", oracle=f"""WITH {DOC_TOK_SQL}
+SELECT lang, count(*) AS sum_bytes, round(sum(nats) / (ln(2) * count(*)), 6) AS bpb FROM n WHERE pos >= 1 GROUP BY lang
+UNION ALL SELECT 'ignored', 0, 'inf'::DOUBLE""")
+def q_bits_per_byte_tokens(spark, sf_dir):
+    """From one row per token; a group whose targets are all ignored stays."""
     t = doc_token_nll(spark, sf_dir).filter(F.col("pos") >= 1).withColumnRenamed("tok", "target")
-    r = evalm.bits_per_byte(t, token_bytes_table(spark), by=["lang"])
+    none = t.limit(3).withColumn("lang", F.lit("ignored")).withColumn("target", F.lit(-1))
+    r = evalm.bits_per_byte(t.unionByName(none), token_bytes_table(spark), by=["lang"])
     return r.select("lang", "sum_bytes", F.round("bpb", 6).alias("bpb"))
 
 
@@ -63,7 +82,8 @@ def q_token_bytes_lookup(spark, sf_dir):
 
 
 @query("rolling_loglik", oracle=f"""WITH {DOC_TOK_SQL}
-SELECT doc_id, round(sum(-nats), 4) AS loglik, count(*) AS n_scored FROM n WHERE pos % 512 <> 0 GROUP BY doc_id""")
+SELECT doc_id, round(coalesce(sum(-nats) FILTER (WHERE pos % 512 <> 0), 0), 4) AS loglik, count(*) FILTER (WHERE pos % 512 <> 0) AS n_scored
+FROM n GROUP BY doc_id""")
 def q_rolling_loglik(spark, sf_dir):
     t = doc_token_nll(spark, sf_dir).withColumn("lp", -F.col("nats"))
     r = evalm.rolling_loglik(t, 512, ["doc_id"])
@@ -74,10 +94,13 @@ MAX_LEN = 12
 
 
 def choice_tokens(spark, sf_dir):
-    """Per (item, choice, pos): the continuation's token log-prob and arg-max flag."""
+    """Per (item, choice, pos): the continuation's token log-prob and arg-max flag.
+
+    The choices are the four quarters of the item's text.
+    """
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
     ch = b.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("choice_id"), "text")
-    ch = ch.withColumn("choice", F.expr("substring(text, 1 + 10 * choice_id, 6 + 4 * choice_id)"))
+    ch = ch.withColumn("choice", F.expr("substring(text, 1 + choice_id * length(text) div 4, (choice_id + 1) * length(text) div 4 - choice_id * length(text) div 4)"))
     ch = ch.withColumn("n_cont", F.octet_length("choice").cast("long"))
     enc = tok.ByteEncoder()
     t = ch.select("item_id", "choice_id", "n_cont", F.posexplode(enc.encode(F.col("choice"))).alias("pos", "tok"))
@@ -92,7 +115,7 @@ def scored_requests(spark, sf_dir):
              .withColumn("loglik_norm", F.col("loglik") / F.col("n_scored")))
 
 
-CHOICE_SQL = f"""ch AS (SELECT item_id, c AS choice_id, substr(text, 1 + 10 * c, 6 + 4 * c) AS choice
+CHOICE_SQL = f"""ch AS (SELECT item_id, c AS choice_id, substr(text, 1 + c * length(text) // 4, (c + 1) * length(text) // 4 - c * length(text) // 4) AS choice
          FROM benchmark, (SELECT unnest(range(0, 4)) AS c)),
 ct AS (SELECT item_id, choice_id, strlen(choice) AS n_cont,
               unnest(range(0, strlen(choice))) AS pos FROM ch),
@@ -151,7 +174,7 @@ BASE_SQL = "bl AS (SELECT task, 1.0 / count(DISTINCT choice_id) AS baseline FROM
 SELECT a.task, round(a.accuracy, 6) AS accuracy, bl.baseline FROM acc a LEFT JOIN bl ON a.task = bl.task""")
 def q_baseline_lookup(spark, sf_dir):
     a = evalm.mc_accuracy(scored_requests(spark, sf_dir), ["item_id"], "task")
-    j = a.join(F.broadcast(baselines(spark, sf_dir)), "task", "left")
+    j = a.join(baselines(spark, sf_dir), "task", "left")
     return j.select("task", F.round("accuracy", 6).alias("accuracy"), "baseline")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import DOC_CAP, doc_cap, lang_letter_ratio
 from ..operators import filters, mix
+from ..session import materialised
 from .fixtures import FILTERED_SQL, SEED, scores, source_docs, spec_df, table
 from .registry import query
 
@@ -14,7 +16,8 @@ def filtered_docs(spark, sf_dir):
 
 
 def interleaved(spark, sf_dir):
-    docs = filtered_docs(spark, sf_dir)
+    """Twice as many draws as documents; what the draws need of a document is kept, not its text."""
+    docs = materialised(filtered_docs(spark, sf_dir).select("doc_id", "shard", "source", "n_chars"), "mix-docs")
     n_draws = 2 * docs.count()
     return docs, mix.weighted_interleave(docs, spec_df(spark), n_draws, seed=SEED)
 
@@ -171,3 +174,22 @@ SELECT item_id, task FROM (
 def q_limit_per_task(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 3).alias("task"))
     return mix.limit_per_task(b, 5, "task", ["item_id"]).select("item_id", "task")
+
+
+@query("doc_cap", oracle="""
+SELECT doc_id, left(text, 10000) AS text, greatest(length(text) - 10000, 0) AS n_cut FROM documents""")
+def q_doc_cap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", doc_cap("text").alias("text"), F.greatest(F.length("text") - DOC_CAP, F.lit(0)).cast("long").alias("n_cut"))
+
+
+GERMAN = "äöüßÄÖÜ"
+
+
+@query("lang_letter_ratio", oracle=f"""
+SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) = 0 THEN 0.0
+  ELSE length(regexp_replace(text, '[^{GERMAN}]', '', 'g')) / length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) END, 9) AS ratio
+FROM documents""")
+def q_lang_letter_ratio(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(lang_letter_ratio("text", GERMAN), 9).alias("ratio"))

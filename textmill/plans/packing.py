@@ -13,9 +13,19 @@ from .tokens import BYTES_SQL, rendered
 
 T = 2048
 CAP = T + 1
-LANES = 4
+LANE_BUDGET = 500_000  # so that the test tables fill several lanes
 SHARD_BUDGET = 100_000
-LANE_SQL = f"('0x' || substr(md5(concat_ws('|', {SEED}, doc_id)), 1, 8))::BIGINT % {LANES}"
+
+
+def lanes(d, length):
+    return pack.lanes_for(d, length, LANE_BUDGET)
+
+
+def lane_sql(len_expr: str) -> str:
+    """``d``: documents with lane and length; as many lanes as the lengths fill."""
+    return f"""d0 AS (SELECT doc_id, {len_expr} AS len FROM documents),
+nl AS (SELECT greatest(1, ceil(sum(len) / {LANE_BUDGET}.0))::BIGINT AS n FROM d0),
+d AS (SELECT ('0x' || substr(md5(concat_ws('|', {SEED}, doc_id)), 1, 8))::BIGINT % nl.n AS lane, doc_id, len FROM d0, nl)"""
 
 
 def doc_chars(spark, sf_dir):
@@ -25,12 +35,12 @@ def doc_chars(spark, sf_dir):
 def doc_tokens(spark, sf_dir):
     enc = tok.ByteEncoder()
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.array(F.lit(enc.bos)), enc.encode(F.col("text"))).alias("tokens")).withColumn(
-        "n_tokens", F.size("tokens").cast("long"))
+        "doc_id", F.concat(F.array(F.lit(enc.bos)), enc.encode(F.col("text"))).alias("tokens"),
+        (enc.count(F.col("text")) + 1).cast("long").alias("n_tokens"))  # lengths need no tokens
 
 
 def _boundary_sql(len_expr: str, budget: int) -> str:
-    return f"""d AS (SELECT {LANE_SQL} AS lane, doc_id, {len_expr} AS len FROM documents),
+    return f"""{lane_sql(len_expr)},
 c AS (SELECT lane, doc_id, len, (sum(len) OVER (PARTITION BY lane ORDER BY doc_id))::BIGINT AS cs FROM d),
 b(lane, cs) AS (
   SELECT lane, min(cs) FROM c WHERE cs >= {budget} GROUP BY lane
@@ -51,14 +61,16 @@ tails AS (SELECT lane, sum(len) AS tail_chars FROM s2 WHERE grp = n_closed GROUP
 SELECT s2.doc_id, s2.lane, s2.grp AS shard FROM s2 LEFT JOIN tails t ON s2.lane = t.lane
 WHERE s2.grp < s2.n_closed OR t.tail_chars >= {SHARD_BUDGET} * 0.5""")
 def q_shard_by_budget(spark, sf_dir):
-    r = pack.shard_by_budget(doc_chars(spark, sf_dir), SHARD_BUDGET, "doc_id", "n_chars", n_lanes=LANES, seed=SEED)
+    d = doc_chars(spark, sf_dir)
+    r = pack.shard_by_budget(d, SHARD_BUDGET, "doc_id", "n_chars", n_lanes=lanes(d, "n_chars"), seed=SEED)
     return r.select("doc_id", "lane", "shard")
 
 
 @query("shard_by_budget_aligned")
 def q_shard_by_budget_aligned(spark, sf_dir):
     """Row-group aligned shards (doc count a multiple of 8 here; 1024 for real shards); tail dropped."""
-    r = pack.shard_by_budget(doc_chars(spark, sf_dir), SHARD_BUDGET, "doc_id", "n_chars", n_lanes=LANES,
+    d = doc_chars(spark, sf_dir)
+    r = pack.shard_by_budget(d, SHARD_BUDGET, "doc_id", "n_chars", n_lanes=lanes(d, "n_chars"),
                              seed=SEED, keep_tail=None, multiple=8)
     return r.groupBy("lane", "shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
@@ -68,7 +80,7 @@ SELECT doc_id, lane, grp AS row, cs - len - base AS "offset", least(len, {CAP} -
 FROM s2 WHERE grp < n_closed""")
 def q_pack_greedy_crop(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
-    plan = pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED)
+    plan = pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return plan.select(F.col("key").alias("doc_id"), "lane", "row", "offset", "take")
 
 
@@ -82,6 +94,15 @@ def q_char_budget_sample(spark, sf_dir):
     return filters.char_budget_sample(d, budget, 10000, ["doc_id"]).select("doc_id", "cum_before")
 
 
+@query("pack_greedy_crop_tail", oracle=f"""WITH RECURSIVE {_boundary_sql('strlen(text) + 1', CAP)}
+SELECT doc_id, lane, grp AS row, cs - len - base AS "offset", least(len, {CAP} - (cs - len - base)) AS take FROM s2""")
+def q_pack_greedy_crop_tail(spark, sf_dir):
+    """Greedy cropping that keeps each lane's last, incomplete row."""
+    d = doc_tokens(spark, sf_dir)
+    plan = pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED, keep_tail=True)
+    return plan.select(F.col("key").alias("doc_id"), "lane", "row", "offset", "take")
+
+
 FLAT_SQL = f"""t AS (SELECT doc_id, strlen(text) + 1 AS n, list_prepend(256, {BYTES_SQL}) AS toks FROM documents),
 s AS (SELECT doc_id, toks, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t),
 x AS (SELECT doc_id, start, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM s),
@@ -90,18 +111,27 @@ p AS (SELECT (start + i) // {CAP} AS row, (start + i) % {CAP} AS j, tok FROM x
 
 
 @query("chunk_flat", oracle=f"""WITH {FLAT_SQL}
-SELECT row, count(*) AS n_tokens, sum(tok)::BIGINT AS token_sum FROM p GROUP BY row""")
+SELECT row, count(*) AS n_tokens, sum(tok)::BIGINT AS token_sum, md5(string_agg(tok::VARCHAR, ',' ORDER BY j)) AS tokens_md5 FROM p GROUP BY row""")
 def q_chunk_flat(spark, sf_dir):
-    rows = pack.chunk_flat(doc_tokens(spark, sf_dir), T, "doc_id", "tokens")
+    rows = pack.chunk_flat(doc_tokens(spark, sf_dir), T, "doc_id", "tokens", "n_tokens")
     return rows.select("row", F.size("tokens").cast("long").alias("n_tokens"),
-                       F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"))
+                       F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"),
+                       F.md5(F.array_join("tokens", ",")).alias("tokens_md5"))
+
+
+@query("chunk_flat_tail", oracle=f"""WITH t AS (SELECT doc_id, strlen(text) + 1 AS n FROM documents),
+s AS (SELECT sum(n)::BIGINT AS n FROM t)
+SELECT unnest(range(0, (n + {CAP - 1}) // {CAP})) AS row, least({CAP}, n - unnest(range(0, (n + {CAP - 1}) // {CAP})) * {CAP}) AS n_tokens FROM s""")
+def q_chunk_flat_tail(spark, sf_dir):
+    rows = pack.chunk_flat(doc_tokens(spark, sf_dir), T, "doc_id", "tokens", "n_tokens", keep_tail=True)
+    return rows.select("row", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @query("shift_targets", oracle=f"""WITH {FLAT_SQL}
 SELECT row, sum(tok) FILTER (WHERE j < {T})::BIGINT AS inputs_sum, sum(tok) FILTER (WHERE j >= 1)::BIGINT AS targets_sum,
        any_value(tok) FILTER (WHERE j = 1) AS first_target FROM p GROUP BY row""")
 def q_shift_targets(spark, sf_dir):
-    rows = pack.shift_targets(pack.chunk_flat(doc_tokens(spark, sf_dir), T, "doc_id", "tokens"))
+    rows = pack.shift_targets(pack.chunk_flat(doc_tokens(spark, sf_dir), T, "doc_id", "tokens", "n_tokens"))
     s = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("row", s("inputs").alias("inputs_sum"), s("targets").alias("targets_sum"),
                        F.col("targets")[0].alias("first_target"))
@@ -125,21 +155,21 @@ def _row_summary(rows):
 @query("pack_bestfit_crop")
 def q_pack_bestfit_crop(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
-    plan = pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED)
+    plan = pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
 @query("pack_greedy_pad")
 def q_pack_greedy_pad(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
-    plan = pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED)
+    plan = pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
 @query("pack_ffd")
 def q_pack_ffd(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
-    plan = pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED)
+    plan = pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
@@ -148,7 +178,7 @@ def q_pack_bestfit_pad(spark, sf_dir):
     """Rendered conversations (cut to T tokens) packed with padding; masked targets."""
     r = rendered(spark, sf_dir, max_tokens=T).filter(F.col("reason").isNull()).withColumn(
         "n_tokens", F.size("ids").cast("long"))
-    plan = pack.plan_bestfit_pad(r, T, "conv_id", "n_tokens", n_lanes=LANES, seed=SEED).drop("content_len")
+    plan = pack.plan_bestfit_pad(r, T, "conv_id", "n_tokens", n_lanes=lanes(r, "n_tokens"), seed=SEED).drop("content_len")
     rows = pack.assemble_rows(plan, r, T, "conv_id", "ids", pad_id=tok.ByteEncoder().bos, mask="mask")
     return rows.select("lane", "row", "content_len",
                        F.size(F.filter("targets", lambda t: t >= 0)).cast("long").alias("n_trained"))
@@ -158,10 +188,10 @@ def q_pack_bestfit_pad(spark, sf_dir):
 def q_packing_stats(spark, sf_dir):
     d = doc_tokens(spark, sf_dir).select("doc_id", "n_tokens")
     plans = {
-        "bestfit_crop": pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED),
-        "greedy_crop": pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED),
-        "greedy_pad": pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED),
-        "ffd": pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=LANES, seed=SEED),
+        "bestfit_crop": pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
+        "greedy_crop": pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
+        "greedy_pad": pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
+        "ffd": pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
     }
     out = None
     for name, plan in plans.items():

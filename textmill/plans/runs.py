@@ -79,6 +79,21 @@ def q_isoflop_optimum(spark, sf_dir):
     return o.select("budget", F.round("x_opt", 4).alias("x_opt"), F.round("y_opt", 4).alias("y_opt"), "method")
 
 
+@query("isoflop_carry", oracle=f"""WITH {ISO_SQL},
+kn AS (SELECT budget, log10(effective_params) AS x, avg(tokens_trained) AS t, avg(ratio) AS r FROM sp GROUP BY ALL),
+sg AS (SELECT *, lead(x) OVER w AS x1, lead(t) OVER w AS t1, lead(r) OVER w AS r1,
+              lag(x) OVER w IS NULL AS head FROM kn WINDOW w AS (PARTITION BY budget ORDER BY x))
+SELECT o.budget, round(CASE WHEN o.x_opt < g.x OR g.x1 IS NULL THEN g.t ELSE g.t + (g.t1 - g.t) * (o.x_opt - g.x) / (g.x1 - g.x) END / 1e6, 2) AS tokens_opt,
+       round(CASE WHEN o.x_opt < g.x OR g.x1 IS NULL THEN g.r ELSE g.r + (g.r1 - g.r) * (o.x_opt - g.x) / (g.x1 - g.x) END, 3) AS ratio_opt
+FROM o JOIN sg g ON g.budget = o.budget AND ((g.x <= o.x_opt AND (g.x1 IS NULL OR o.x_opt < g.x1)) OR (g.head AND o.x_opt < g.x))""")
+def q_isoflop_carry(spark, sf_dir):
+    """Tokens and token ratio at each budget's optimum."""
+    s = scaled(spark, sf_dir).withColumn("x", F.log10("effective_params"))
+    o = runs.isoflop_optimum(s, ["budget"], "x", "val_bpb").select("budget", "x_opt")
+    c = runs.isoflop_carry(o, s, ["budget"], "x", ["tokens_trained", "ratio"])
+    return c.select("budget", F.round(F.col("tokens_trained_opt") / 1e6, 2).alias("tokens_opt"), F.round("ratio_opt", 3).alias("ratio_opt"))
+
+
 BEST_SQL = f"""{RUNS_SQL},
 best AS (SELECT budget, min(val_bpb) AS best_val_bpb,
                 arg_min(run_id, (val_bpb, run_id)) AS run_id, any_value(flops_budget) AS flops_budget
@@ -130,7 +145,7 @@ def q_linreg(spark, sf_dir):
   UNION ALL SELECT l_returnflag, 'l_tax', l_tax, l_quantity FROM lineitem
   UNION ALL SELECT l_returnflag, 'l_linenumber', l_linenumber, l_quantity FROM lineitem),
 f AS (SELECT l_returnflag, feature, regr_r2(y, x) AS r2 FROM u GROUP BY ALL)
-SELECT l_returnflag, arg_max(feature, r2) AS best_feature, round(max(r2), 6) AS r2 FROM f GROUP BY l_returnflag""")
+SELECT l_returnflag, arg_min(feature, (-r2, feature)) AS best_feature, round(max(r2), 6) AS r2 FROM f GROUP BY l_returnflag""")
 def q_best_predictor(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("lx", F.log10("l_extendedprice"))
     r = runs.best_predictor(li, ["l_returnflag"], ["lx", "l_discount", "l_tax", "l_linenumber"], "l_quantity")
@@ -156,6 +171,32 @@ def q_predict_from_fit(spark, sf_dir):
                                       .alias("mean_abs_resid"))
 
 
+SIZE_SQL = f"""f AS (SELECT regr_slope(l_quantity, {LI_X}) AS s1, regr_intercept(l_quantity, {LI_X}) AS i1,
+                 regr_slope(l_quantity, l_discount) AS s2, regr_intercept(l_quantity, l_discount) AS i2 FROM lineitem),
+a AS (SELECT l_suppkey, l_returnflag, l_linenumber, avg({LI_X}) AS x, avg(l_discount) AS z, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+m AS (SELECT l_linenumber, avg(y) AS measured FROM a WHERE l_returnflag = 'A' GROUP BY 1),
+e AS (SELECT l_linenumber, avg((i1 + s1 * x + i2 + s2 * z) / 2) AS estimated FROM a, f WHERE l_returnflag = 'R' GROUP BY 1)"""
+
+
+@query("size_matched_deltas", oracle=f"""WITH {SIZE_SQL}
+SELECT l_linenumber, round(measured, 6) AS measured, round(estimated, 6) AS estimated, round(estimated - measured, 6) AS delta,
+       round(100.0 * (estimated - measured) / measured, 4) AS percent FROM m JOIN e USING (l_linenumber)""")
+def q_size_matched_deltas(spark, sf_dir):
+    """Estimates of one family (mean of two models) against measured scores of another, by size class."""
+    li = table(spark, sf_dir, "lineitem").withColumn("x", F.log10("l_extendedprice")).withColumn("all", F.lit(1))
+    first, second = runs.linreg(li, ["all"], "x", "l_quantity"), runs.linreg(li, ["all"], "l_discount", "l_quantity")
+    a = li.groupBy("l_suppkey", "l_returnflag", "l_linenumber", "all").agg(
+        F.avg("x").alias("x"), F.avg("l_discount").alias("z"), F.avg("l_quantity").alias("y"))
+    p = runs.predict_from_fit(runs.predict_from_fit(a, first, ["all"], "x", "p1").drop("slope", "intercept"), second, ["all"], "z", "p2")
+    p = runs.average_predictions(p, "p1", "p2")
+    both = runs.measured_and_estimated(
+        a.filter("l_returnflag = 'A'").groupBy("l_linenumber").agg(F.avg("y").alias("score")).select(F.lit("A").alias("name"), "l_linenumber", "score"),
+        p.filter("l_returnflag = 'R'").groupBy("l_linenumber").agg(F.avg("pred").alias("score")).select(F.lit("R").alias("name"), "l_linenumber", "score"),
+        "name", "l_linenumber", "score")
+    d = runs.size_matched(both.filter("kind = 'measured'"), both.filter("kind = 'estimated'"), "l_linenumber", "score")
+    return d.select("l_linenumber", *[F.round(c, 6).alias(c) for c in ("measured", "estimated", "delta")], F.round("percent", 4).alias("percent"))
+
+
 @query("repeat_run_stats", oracle="""
 SELECT o_orderpriority, count(*) AS n_runs, round(avg(o_totalprice / 1e5), 6) AS mean,
        round(max(o_totalprice / 1e5) - min(o_totalprice / 1e5), 6) AS spread, avg(o_totalprice / 1e5) > 1.5 AS passed
@@ -238,6 +279,18 @@ def q_ema_debiased(spark, sf_dir):
     return r.select("user_id", "step", F.round("ema", 6).alias("ema"))
 
 
+@query("ema_slow", oracle=f"""WITH RECURSIVE {STEPS_SQL},
+r(user_id, step, s) AS (
+  SELECT user_id, step, 0.001 * value FROM st WHERE step = 0
+  UNION ALL
+  SELECT r.user_id, r.step + 1, 0.999 * r.s + 0.001 * st.value FROM r JOIN st ON st.user_id = r.user_id AND st.step = r.step + 1)
+SELECT user_id, step, round(s / (1 - pow(0.999, step + 1)), 6) AS ema FROM r""")
+def q_ema_slow(spark, sf_dir):
+    """A decay that needs the state of all earlier blocks (of 16 steps here)."""
+    r = runs.ema_debiased(steps(spark, sf_dir), "user_id", "step", "value", beta=0.999, block=16)
+    return r.select("user_id", "step", F.round("ema", 6).alias("ema"))
+
+
 @query("running_min_bpb", oracle=f"""WITH {STEPS_SQL}
 SELECT user_id, step, min(value) OVER (PARTITION BY user_id ORDER BY step) AS best FROM st""")
 def q_running_min_bpb(spark, sf_dir):
@@ -246,28 +299,25 @@ def q_running_min_bpb(spark, sf_dir):
 
 
 def step_dt(spark, sf_dir):
-    """dt of each step = time since the run's previous step (self-join on step - 1)."""
-    s = steps(spark, sf_dir)
-    prev = s.select("user_id", (F.col("step") + 1).alias("step"), F.col("ts_us").alias("prev_us"))
-    return (s.join(prev, ["user_id", "step"], "left")
-             .withColumn("dt_us", F.coalesce(F.col("ts_us") - F.col("prev_us"), F.lit(0)))
-             .withColumn("dt", F.col("dt_us") / 1e6))
+    """dt of each step = time since the run's previous step; none for its first step."""
+    e = table(spark, sf_dir, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    s = runs.with_steps(e, "user_id", ["ts_us", "event_id"], previous={"prev_us": "ts_us"})
+    return s.withColumn("dt_us", F.col("ts_us") - F.col("prev_us")).withColumn("dt", F.col("dt_us") / 1e6)
 
 
 DT_SQL = f"""{STEPS_SQL},
-dt AS (SELECT a.user_id, a.step, coalesce(epoch_us(a.ts) - epoch_us(b.ts), 0) AS dt_us,
-              coalesce(epoch_us(a.ts) - epoch_us(b.ts), 0) / 1e6 AS dt
+dt AS (SELECT a.user_id, a.step, epoch_us(a.ts) - epoch_us(b.ts) AS dt_us, (epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 AS dt
        FROM st a LEFT JOIN st b ON a.user_id = b.user_id AND b.step = a.step - 1)"""
 TOKENS_PER_STEP = 524288
 FLOPS_PER_TOKEN = 6 * 124e6
 
 
 @query("throughput", oracle=f"""WITH {DT_SQL}
-SELECT user_id, step, trunc({TOKENS_PER_STEP} / dt)::BIGINT AS tok_per_sec,
-       round(100.0 * ({FLOPS_PER_TOKEN} * {TOKENS_PER_STEP} / dt) / (989e12 * 1), 6) AS mfu
-FROM dt WHERE dt > 0""")
+SELECT user_id, step, CASE WHEN dt > 0 THEN trunc({TOKENS_PER_STEP} / dt) END AS tok_per_sec,
+       CASE WHEN dt > 0 THEN round(100.0 * ({FLOPS_PER_TOKEN} * {TOKENS_PER_STEP} / dt) / (989e12 * 1), 6) END AS mfu
+FROM dt""")
 def q_throughput(spark, sf_dir):
-    d = step_dt(spark, sf_dir).filter(F.col("dt") > 0).withColumn("device", F.lit("NVIDIA H100 80GB HBM3"))
+    d = step_dt(spark, sf_dir).withColumn("device", F.lit("NVIDIA H100 80GB HBM3"))
     d = runs.peak_flops_lookup(d, runs.peak_flops_table(spark))
     r = runs.throughput(d, TOKENS_PER_STEP, FLOPS_PER_TOKEN, 1)
     return r.select("user_id", "step", "tok_per_sec", F.round("mfu", 6).alias("mfu"))
@@ -282,14 +332,12 @@ SELECT user_id, step, total_us / 1e6 AS total_time,
 def q_train_time_eta(spark, sf_dir):
     d = step_dt(spark, sf_dir)
     n = d.groupBy("user_id").agg(F.count(F.lit(1)).alias("num_iterations"))
+    d = d.withColumn("dt_us", F.coalesce("dt_us", F.lit(0)))
     r = runs.train_time_eta(d.join(n, "user_id"), "user_id", "step", "dt_us", "num_iterations")
     return r.select("user_id", "step", (F.col("total_time") / 1e6).alias("total_time"),
                     (F.col("eta_sec") / 1e6).alias("eta_sec"))
 
 
-STAGES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("report_pivot", oracle="""WITH m AS (
   SELECT event_type AS stage, 'count' AS metric, CASE WHEN count(*) >= 10000 THEN format('{:,}', count(*)) ELSE count(*)::VARCHAR END AS v FROM events GROUP BY 1
   UNION ALL SELECT event_type, 'mean_value', printf('%.4f', avg(value)) FROM events GROUP BY 1
@@ -320,4 +368,4 @@ def q_report_pivot(spark, sf_dir):
         F.concat((F.floor(F.col("s") / 60) / 60).cast("long").cast("string"), F.lit("h "),
                  (F.floor(F.col("s") / 60) % 60).cast("long").cast("string"), F.lit("m")).alias("v"))
     long = cnt.unionByName(mean).unionByName(big).unionByName(dur)
-    return runs.report_pivot(long, "metric", "stage", "v", STAGES)
+    return runs.report_pivot(long, "metric", "stage", "v")

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chat
 from ..session import scratch_path
 from ..sources import shards as S
 from ..streaming import jobs
+from . import runs  # noqa: F401  the batch EMA's oracle
+from .chats import REQUEST_SQL, convs, request_params
 from .fixtures import source_docs, table
 from .io import positioned
-from .registry import query
+from .registry import ORACLES, query
 
 
 @query("stream_tokenize_new_shards", oracle="""
@@ -28,20 +29,16 @@ def q_stream_tokenize_new_shards(spark, sf_dir):
     return S.shard_summary(spark.read.parquet(out), tokens="tokens")
 
 
-@query("stream_validate_requests", oracle="""WITH c AS (
-  SELECT conv_id, count(*) AS n, sum(coalesce(length(text), 0)) AS total,
-        arg_min(CASE WHEN coalesce(text, '') = '' THEN 'empty_content:' || turn
-                     ELSE 'message_too_long:' || turn END, turn)
-          FILTER (WHERE coalesce(text, '') = '' OR length(text) > 8000) AS pm,
-        arg_min('invalid_role:' || turn, turn) FILTER (WHERE role IS NULL OR role NOT IN ('user', 'assistant')) AS br
-  FROM conversations GROUP BY conv_id),
-r AS (SELECT n, CASE WHEN n = 0 THEN 'no_messages' WHEN n > 500 THEN 'too_many_messages'
-     WHEN pm IS NOT NULL THEN pm WHEN total > 32000 THEN 'total_too_long' WHEN br IS NOT NULL THEN br END AS reason FROM c)
+@query("stream_validate_requests", oracle=f"""WITH {REQUEST_SQL},
+r AS (SELECT k.reason, c.n FROM checked k JOIN c ON k.conv_id = c.conv_id UNION ALL SELECT 'unreadable', 0 UNION ALL SELECT 'unreadable', 0)
 SELECT coalesce(reason, 'ok') AS reason, count(*) AS n_requests, sum(n)::BIGINT AS n_messages FROM r GROUP BY 1""")
 def q_stream_validate_requests(spark, sf_dir):
+    """Requests as JSON objects with their sampling parameters, and two lines that are none."""
     src, out, ck = (scratch_path(spark, n) for n in ("stream-req", "stream-req-out", "stream-req-ck"))
-    c = chat.messages_from_turns(table(spark, sf_dir, "conversations"))
-    S.write_chat_jsonl(c.repartition(4), src)
+    msgs = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    c = request_params(convs(spark, sf_dir)).select(F.to_json(F.struct(
+        msgs.alias("messages"), "temperature", F.col("top_k").cast("int").alias("top_k"), F.col("max_tokens").cast("int").alias("max_tokens"))).alias("value"))
+    c.unionByName(spark.createDataFrame([("{broken",), ("[1,",)], "value string")).repartition(4).write.text(src)
     jobs.stream_validate_requests(spark, src, out, ck)
     r = spark.read.parquet(out)
     return r.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(
@@ -54,4 +51,17 @@ def q_stream_mix_counts(spark, sf_dir):
     src, out, ck = (scratch_path(spark, n) for n in ("stream-docs", "stream-mix", "stream-mix-ck"))
     source_docs(spark, sf_dir).repartition(4).write.parquet(src)
     jobs.stream_mix_counts(spark, src, out, ck)
-    return spark.read.parquet(out)
+    return jobs.latest_totals(spark, out)
+
+
+@query("stream_ema", oracle=ORACLES["ema_debiased"])
+def q_stream_ema(spark, sf_dir):
+    """The events arrive in four files, in time order; the result is that of the batch EMA."""
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-events", "stream-ema", "stream-ema-ck"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    lo, hi = e.agg(F.min("ts_us"), F.max("ts_us")).first()
+    edges = [lo + (hi + 1 - lo) * k // 4 for k in range(5)]
+    for a, b in zip(edges, edges[1:]):  # one after the other: the file source goes by modification time
+        e.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(src)
+    jobs.stream_ema(spark, src, out, ck)
+    return spark.read.parquet(out).select("user_id", "step", F.round("ema", 6).alias("ema"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..functions.text import SPECIAL_TOKENS, pretokenize
+from ..functions.text import DOC_CAP, SPECIAL_TOKENS, pretokenize
 from ..operators import chat
 from ..operators import tokenize as tok
+from ..session import ensure_checkpoint_dir
+from ..sources.shards import missing
 from .fixtures import table
 from .registry import query
 
@@ -89,26 +94,65 @@ def rendered(spark, sf_dir, max_tokens=2048):
     return tok.render_conversation(c, tok.ByteEncoder(), max_tokens)
 
 
-RENDER_SQL = """c AS (SELECT conv_id, bool_or(turn = 0 AND role = 'system') AS has_sys,
-             any_value(strlen(text)) FILTER (WHERE turn = 0) AS b0 FROM conversations GROUP BY conv_id),
-m AS (SELECT t.conv_id, t.turn - CASE WHEN c.has_sys THEN 1 ELSE 0 END AS i, t.role,
-             strlen(t.text) + CASE WHEN c.has_sys AND t.turn = 1 THEN c.b0 + 2 ELSE 0 END AS b
+# Ids of the byte tokenizer: bos 256, user start and end 257 and 258, assistant start and end 259 and 260.
+MERGED_SQL = f"""c AS (SELECT conv_id, bool_or(turn = 0 AND role = 'system') AS has_sys, max(turn) AS last_turn, arg_max(role, turn) AS last_role,
+             any_value(text) FILTER (WHERE turn = 0) AS t0 FROM conversations GROUP BY conv_id),
+m AS (SELECT t.conv_id, t.turn, c.last_turn, c.last_role, t.turn - CASE WHEN c.has_sys THEN 1 ELSE 0 END AS i, t.role,
+             CASE WHEN c.has_sys AND t.turn = 1 THEN c.t0 || chr(10) || chr(10) || t.text ELSE t.text END AS text
       FROM conversations t JOIN c ON t.conv_id = c.conv_id WHERE NOT (c.has_sys AND t.turn = 0)),
-v AS (SELECT conv_id, bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok
-      FROM m GROUP BY conv_id),
-o AS (SELECT m.*, 1 + coalesce(sum(b + 2) OVER (PARTITION BY conv_id ORDER BY i
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m),
-r AS (SELECT o.conv_id, least(2048, 1 + sum(o.b + 2))::BIGINT AS n_tokens,
-        sum(CASE WHEN o.role = 'assistant' THEN greatest(0, least(2048, o.start + o.b + 2) - (o.start + 1))
-                 ELSE 0 END)::BIGINT AS n_supervised
-      FROM o JOIN v ON o.conv_id = v.conv_id WHERE v.ok GROUP BY o.conv_id)"""
+p AS (SELECT *, CASE WHEN role = 'user' THEN list_concat([257], {BYTES_SQL}, [258]) ELSE list_concat([259], {BYTES_SQL}, [260]) END AS ids,
+             list_transform(range(0, strlen(text) + 2), lambda x: CASE WHEN role = 'assistant' AND x > 0 THEN 1 ELSE 0 END) AS mask FROM m)"""
+RENDER_SQL = f"""{MERGED_SQL},
+v AS (SELECT conv_id, bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok,
+             list_slice(list_concat([256], flatten(list(ids ORDER BY i))), 1, 2048) AS ids,
+             list_slice(list_concat([0], flatten(list(mask ORDER BY i))), 1, 2048) AS mask FROM p GROUP BY conv_id),
+r AS (SELECT conv_id, len(ids) AS n_tokens, list_sum(mask)::BIGINT AS n_supervised, md5(array_to_string(ids, ',')) AS ids_md5,
+             md5(array_to_string(mask, ',')) AS mask_md5 FROM v WHERE ok)"""
 
 
-@query("render_conversation", oracle=f"WITH {RENDER_SQL} SELECT conv_id, n_tokens, n_supervised FROM r")
+@query("render_conversation", oracle=f"WITH {RENDER_SQL} SELECT conv_id, n_tokens, n_supervised, ids_md5, mask_md5 FROM r")
 def q_render_conversation(spark, sf_dir):
     r = rendered(spark, sf_dir).filter(F.col("reason").isNull())
     return r.select("conv_id", F.size("ids").cast("long").alias("n_tokens"),
-                    F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_supervised"))
+                    F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_supervised"),
+                    F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.md5(F.array_join("mask", ",")).alias("mask_md5"))
+
+
+PART_TURNS = [
+    (-1, [("user", "2+2?", None), ("assistant", None, [("text", "sum: "), ("python", "2+2"), ("python_output", "4"), ("text", " four")])]),
+    (-2, [("user", "q", None), ("assistant", None, [("image", "x")])]),
+    (-3, [(None, "q", None), ("assistant", "a", None)]),
+    (-4, [("system", "s", None), ("assistant", "a", None)]),
+    (-5, []),
+]
+
+
+def part_conversations(spark, sf_dir):
+    """Answers of the conversations as structured parts: text, code, its output, and more text; and bad ones."""
+    c = chat.messages_from_turns(table(spark, sf_dir, "conversations"))
+    typed = F.array(*[F.struct(F.lit(t).alias("type"), x.alias("text")) for t, x in (
+        ("text", F.lit("so: ")), ("python", F.lit("1+1")), ("python_output", F.lit("2")))])
+    answer = lambda m: F.when(m["role"] == "assistant", chat.message("assistant", F.lit(None).cast("string"), F.concat(
+        typed, F.array(F.struct(F.lit("text").alias("type"), m["content"].alias("text")))))).otherwise(m)
+    good = c.select("conv_id", F.transform("messages", answer).alias("messages"))
+    return good.unionByName(spark.createDataFrame(PART_TURNS, f"conv_id long, messages array<{chat.MESSAGE}>"))
+
+
+@query("render_parts", oracle=f"""WITH {MERGED_SQL.replace("list_concat([259], " + BYTES_SQL + ", [260])",
+    "list_concat([259, 115, 111, 58, 32, 261, 49, 43, 49, 262, 263, 50, 264], " + BYTES_SQL + ", [260])")},
+k AS (SELECT *, CASE WHEN role = 'user' THEN mask ELSE list_concat([0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0], list_slice(mask, 2, len(mask))) END AS mk FROM p),
+v AS (SELECT conv_id, bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok,
+             list_slice(list_concat([256], flatten(list(ids ORDER BY i))), 1, 2048) AS ids,
+             list_slice(list_concat([0], flatten(list(mk ORDER BY i))), 1, 2048) AS mask FROM k GROUP BY conv_id)
+SELECT conv_id, NULL AS reason, md5(array_to_string(ids, ',')) AS ids_md5, md5(array_to_string(mask, ',')) AS mask_md5 FROM v WHERE ok
+UNION ALL SELECT -1, NULL, md5('256,257,50,43,50,63,258,259,115,117,109,58,32,261,50,43,50,262,263,52,264,32,102,111,117,114,260'),
+                 md5('0,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1,1,1,0,0,0,1,1,1,1,1,1')
+UNION ALL SELECT -2, 'bad_part:1', NULL, NULL UNION ALL SELECT -3, 'bad_role:0', NULL, NULL
+UNION ALL SELECT -4, 'system_not_followed_by_user', NULL, NULL UNION ALL SELECT -5, 'empty', NULL, NULL""")
+def q_render_parts(spark, sf_dir):
+    r = tok.render_conversation(part_conversations(spark, sf_dir), tok.ByteEncoder())
+    r = r.filter(F.col("reason").isNull() | (F.col("conv_id") < 0))
+    return r.select("conv_id", "reason", F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.md5(F.array_join("mask", ",")).alias("mask_md5"))
 
 
 @query("supervised_share", oracle=f"""WITH {RENDER_SQL}
@@ -118,34 +162,29 @@ def q_supervised_share(spark, sf_dir):
     return r.select("conv_id", "n_supervised", F.round("supervised_share", 6).alias("supervised_share"))
 
 
-@query("render_for_completion", oracle="""WITH c AS (
-  SELECT conv_id, bool_or(turn = 0 AND role = 'system') AS has_sys, max(turn) AS last_turn,
-         any_value(strlen(text)) FILTER (WHERE turn = 0) AS b0,
-         arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id),
-m AS (SELECT t.conv_id, t.turn - CASE WHEN c.has_sys THEN 1 ELSE 0 END AS i, t.role,
-             strlen(t.text) + CASE WHEN c.has_sys AND t.turn = 1 THEN c.b0 + 2 ELSE 0 END AS b
-      FROM conversations t JOIN c ON t.conv_id = c.conv_id
-      WHERE NOT (c.has_sys AND t.turn = 0) AND c.last_role = 'assistant' AND t.turn < c.last_turn),
+@query("render_for_completion", oracle=f"""WITH {MERGED_SQL},
 v AS (SELECT conv_id, bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) AS ok,
-             least(2048, 1 + sum(b + 2)) + 1 AS n_tokens FROM m GROUP BY conv_id)
-SELECT conv_id, n_tokens::BIGINT AS n_tokens FROM v WHERE ok""")
+             list_slice(list_concat([256], flatten(list(ids ORDER BY i))), 1, 2048) AS ids
+      FROM p WHERE last_role = 'assistant' AND turn < last_turn GROUP BY conv_id)
+SELECT conv_id, len(ids) + 1 AS n_tokens, md5(array_to_string(list_append(ids, 259), ',')) AS ids_md5 FROM v WHERE ok""")
 def q_render_for_completion(spark, sf_dir):
     c = chat.messages_from_turns(table(spark, sf_dir, "conversations"))
     r = tok.render_for_completion(c, tok.ByteEncoder()).filter(F.col("reason").isNull())
-    return r.select("conv_id", F.size("ids").cast("long").alias("n_tokens"))
+    return r.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
-@query("render_chat_prompt", oracle="""
-SELECT conv_id, (2 + sum(CASE WHEN role IN ('user', 'assistant') THEN strlen(text) + 2 ELSE 0 END))::BIGINT AS n_tokens,
-       count(*) FILTER (WHERE role = 'user') AS n_user
-FROM conversations GROUP BY conv_id""")
+@query("render_chat_prompt", oracle=f"""WITH p AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN list_concat([257], {BYTES_SQL}, [258])
+             WHEN role = 'assistant' THEN list_concat([259], {BYTES_SQL}, [260]) ELSE []::INT[] END AS ids FROM conversations),
+g AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY turn)), [259]) AS ids, count(*) FILTER (WHERE role = 'user') AS n_user
+      FROM p GROUP BY conv_id)
+SELECT conv_id, len(ids) AS n_tokens, n_user, md5(array_to_string(ids, ',')) AS ids_md5 FROM g""")
 def q_render_chat_prompt(spark, sf_dir):
     enc = tok.ByteEncoder()
     c = chat.messages_from_turns(table(spark, sf_dir, "conversations"))
     r = tok.render_chat_prompt(c, enc)
     us = enc.special["<|user_start|>"]
     return r.select("conv_id", F.size("ids").cast("long").alias("n_tokens"),
-                    F.size(F.filter("ids", lambda i: i == us)).cast("long").alias("n_user"))
+                    F.size(F.filter("ids", lambda i: i == us)).cast("long").alias("n_user"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 SPECIALS_SQL = ", ".join(f"('{s}', {256 + i})" for i, s in enumerate(SPECIAL_TOKENS))
@@ -195,20 +234,24 @@ def q_compression_eval(spark, sf_dir):
 
 # --- byte-level BPE -----------------------------------------------------------
 BPE_VOCAB = 256 + len(SPECIAL_TOKENS) + 24
-_MODELS: dict = {}
+BPE_BUDGET = 10_000_000_000  # characters of capped documents that the model may be trained on
 
 
 def bpe_model(spark, sf_dir):
-    """Train on a character-budget sample of capped documents (half of all capped characters)."""
+    """(vocabulary, merges) trained on the capped documents, kept in the shared folder of this application."""
     from ..operators import bpe, filters
-    key = (id(spark), sf_dir)
-    if key not in _MODELS:
-        d = table(spark, sf_dir, "documents").select("doc_id", "text")
-        budget = d.agg(F.sum(F.length(F.substring("text", 1, 10000))).alias("s")).first()["s"] / 2
-        sample = filters.char_budget_sample(d, budget, 10000, ["doc_id"]).select(F.col("capped").alias("text"))
-        vocab, merges = bpe.bpe_train(tok.pretoken_counts(sample), BPE_VOCAB)
-        _MODELS[key] = (vocab.cache(), merges.cache())
-    return _MODELS[key]
+    path = f"{ensure_checkpoint_dir(spark)}/bpe-{BPE_VOCAB}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    try:
+        return spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/merges")
+    except AnalysisException as e:
+        if not missing(e):
+            raise
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = filters.char_budget_sample(d, BPE_BUDGET, DOC_CAP, ["doc_id"]).select(F.col("capped").alias("text"))
+    vocab, merges = bpe.bpe_train(tok.pretoken_counts(sample), BPE_VOCAB)
+    merges.write.parquet(f"{path}/merges")
+    vocab.write.parquet(f"{path}/vocab")  # read first, so written last
+    return vocab, merges
 
 
 @query("bpe_train")
@@ -217,16 +260,17 @@ def q_bpe_train(spark, sf_dir):
     return merges
 
 
-@query("bpe_encode")
+@query("bpe_encode", oracle="""
+SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS decoded_md5, true AS shorter FROM documents""")
 def q_bpe_encode(spark, sf_dir):
     from ..operators.bpe import BPEEncoder
     enc = BPEEncoder(*bpe_model(spark, sf_dir))
     d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", enc.encode(F.col("text")))
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                    F.octet_length("text").cast("long").alias("n_bytes"))
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(enc.decode(F.col("ids"))).alias("decoded_md5"),
+                    (F.size("ids") <= F.octet_length("text")).alias("shorter"))
 
 
-@query("bpe_decode")
+@query("bpe_decode", oracle=f"""SELECT doc_id, true AS roundtrip_ok FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM ({EDGE_SQL}))""")
 def q_bpe_decode(spark, sf_dir):
     from ..operators.bpe import BPEEncoder
     enc = BPEEncoder(*bpe_model(spark, sf_dir))

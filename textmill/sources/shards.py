@@ -8,8 +8,10 @@ already exist with a left-anti join.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ def read_text_shards(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
            .select("text", F.col("_metadata.file_name").alias("file"),
                    F.col("_metadata.row_index").alias("row_in_shard")))
-    files = raw.select("file").distinct()
-    files = dense_index(files.withColumn("_h", F.lit(0)), ["_h", "file"], out="shard_id").drop("_h")
-    return raw.join(F.broadcast(files), "file").drop("file")
+    files = dense_index(raw.select("file").distinct(), ["file"], out="shard_id")
+    return raw.join(files, "file").drop("file")
 
 
 def split_last_shard(d: DataFrame, which: str = "train", shard: str = "shard_id") -> DataFrame:
@@ -56,12 +57,21 @@ def rank_shard(d: DataFrame, rank: int, world: int) -> DataFrame:
 def resume_after(d: DataFrame, pq: int, rg: int, rank: int, world: int) -> DataFrame:
     """Rows of this rank strictly after position (pq, rg): the next row group of the
     rank is ``(rg // world + 1) * world + rank``; past the end of the shard the scan
-    simply continues with the next shard."""
+    simply continues with the next shard.  ``epochs_after`` adds the epochs that follow."""
     start = (rg // world + 1) * world + rank
     after = (F.col("shard_id") > pq) | ((F.col("shard_id") == pq) & (F.col("row_group") >= start))
     return rank_shard(d.filter(after), rank, world)
 
 
+def epochs_after(d: DataFrame, epoch: int, pq: int, rg: int, rank: int, world: int, last_epoch: int) -> DataFrame:
+    """``resume_after`` in ``epoch``, then the rank's rows of each later epoch, with ``epoch``."""
+    rest = resume_after(d, pq, rg, rank, world).withColumn("epoch", F.lit(epoch))
+    if last_epoch <= epoch:
+        return rest
+    later = rank_shard(d, rank, world).withColumn("epoch", F.explode(F.sequence(F.lit(epoch + 1), F.lit(last_epoch))))
+    return rest.unionByName(later)
+
+
 def scan_text_shards(d: DataFrame, split: str = "train", rank: int = 0, world: int = 1,
                      size: int = ROW_GROUP) -> DataFrame:
     return rank_shard(row_group_of(split_last_shard(d, split), size), rank, world)
@@ -71,16 +81,27 @@ def skip_done(d: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def missing(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def existing_shards(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path).select("shard_id").distinct()
-    except Exception:  # nothing written yet
+    except AnalysisException as e:
+        if not missing(e):
+            raise
         return None
 
 
+ROWS_PER_FILE = 64 * ROW_GROUP
+
+
 def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repack: bool = False) -> None:
     """One folder per shard, zstd, 1024-row groups; shards already present are skipped.
 
+    A shard of more than ``ROWS_PER_FILE`` rows is written by several tasks, a file each.
     ``repack=True`` writes without dictionary encoding or column statistics
     (zstd level 3), as the repackaging variant does.
     """
@@ -89,12 +110,13 @@ def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repac
         done = existing_shards(spark, path)
         if done is not None:
             d = skip_done(d, done, ["shard_id"])
-    w = (d.repartition("shard_id").sortWithinPartitions("shard_id", "row_in_shard")
-         .write.mode("append").partitionBy("shard_id")
+    part = F.floor(F.col("row_in_shard") / ROWS_PER_FILE)
+    w = (d.repartition("shard_id", part).sortWithinPartitions("shard_id", "row_in_shard")
+         .write.mode("append").partitionBy("shard_id").option("maxRecordsPerFile", ROWS_PER_FILE)
          .option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP))
     if repack:
         w = (w.option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "3")
-             .option("parquet.statistics.enabled", "false"))
+             .option("parquet.column.statistics.enabled", "false"))
     w.parquet(path)
 
 
@@ -117,13 +139,11 @@ def shard_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_tokens_or_text(spark: SparkSession, token_dir: str, text_dir: str) -> DataFrame:
     """Use the token shards when the folder holds any parquet file, else the raw text."""
-    inv = None
     try:
-        inv = shard_inventory(spark, token_dir).first()
-    except Exception:
-        inv = None
-    if inv is not None and inv["n_files"]:
         return spark.read.parquet(token_dir).withColumn("source_kind", F.lit("tokens"))
+    except AnalysisException as e:
+        if not missing(e):
+            raise
     return read_text_shards(spark, text_dir).withColumn("source_kind", F.lit("text"))
 
 
@@ -138,34 +158,78 @@ def write_chat_jsonl(d: DataFrame, path: str, append: bool = False, metadata: st
 
 
 def read_chat_jsonl(spark: SparkSession, path: str):
-    """Lines -> (conversations, rejects). Blank lines are skipped; bad JSON goes to rejects."""
-    raw = spark.read.text(path).select(F.trim("value").alias("line")).filter(F.col("line") != "")
+    """Lines -> (conversations, rejects).
+
+    Lines of whitespace are skipped; what is no JSON array of objects with a string ``role``
+    and a string ``content`` goes to rejects; a missing path is an empty set, with a warning.
+    """
+    try:
+        raw = spark.read.text(path)
+    except AnalysisException as e:
+        if not missing(e):
+            raise
+        warnings.warn(f"no chat file at {path}", stacklevel=2)
+        raw = spark.createDataFrame([], "value string")
+    raw = raw.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("line")).filter(F.col("line") != "")
+    kind = F.schema_of_variant(F.try_parse_json("line"))
+    shape = kind.startswith("ARRAY<OBJECT<") & kind.contains("content: STRING") & kind.contains("role: STRING")
     parsed = raw.withColumn("_m", F.from_json("line", "array<struct<role:string,content:string>>"))
-    ok = parsed.filter(F.col("_m").isNotNull())
-    good = ok.select(F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"),
-                                                          F.lit(None).cast("array<struct<type:string,text:string>>")
-                                                          .alias("parts"))).cast(f"array<{MESSAGE}>")
-                     .alias("messages"), "line")
-    rejects = parsed.filter(F.col("_m").isNull()).select("line")
-    return good, rejects
+    whole = F.forall("_m", lambda m: m["role"].isNotNull() & m["content"].isNotNull())
+    parsed = parsed.withColumn("_ok", F.coalesce(shape & F.col("_m").isNotNull() & whole, F.lit(False)))
+    good = parsed.filter("_ok").select(F.transform("_m", lambda m: F.struct(
+        m["role"].alias("role"), m["content"].alias("content"),
+        F.lit(None).cast("array<struct<type:string,text:string>>").alias("parts"))).cast(f"array<{MESSAGE}>").alias("messages"), "line")
+    return good, parsed.filter(~F.col("_ok")).select("line")
 
 
 # --- CSV and logs ----------------------------------------------------------------
 
 def read_score_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``Task, acc, centered`` lines: header skipped, >= 3 cells, blanks -> null, bad rows dropped."""
-    t = spark.read.text(path).withColumn("_c", F.split("value", ","))
+    """``Task, acc, centered`` lines: header skipped, >= 3 cells, blanks -> null, bad rows dropped.
+
+    Of lines for one task the last counts.
+    """
+    t = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id()).withColumn("_c", F.split("value", ","))
     t = t.filter((F.size("_c") >= 3) & (F.trim(F.col("_c")[0]) != "Task"))
     cell = lambda i: F.nullif(F.trim(F.col("_c")[i]), F.lit(""))
     r = t.select(cell(0).alias("task"), cell(1).try_cast("double").alias("acc"),
-                 cell(2).try_cast("double").alias("centered"), cell(1).alias("_a"), cell(2).alias("_b"))
+                 cell(2).try_cast("double").alias("centered"), cell(1).alias("_a"), cell(2).alias("_b"), "_n")
     bad = (F.col("_a").isNotNull() & F.col("acc").isNull()) | (F.col("_b").isNotNull() & F.col("centered").isNull())
-    return r.filter(F.col("task").isNotNull() & ~bad).drop("_a", "_b")
+    last = F.max_by(F.struct("acc", "centered"), "_n").alias("_v")
+    return r.filter(F.col("task").isNotNull() & ~bad).groupBy("task").agg(last).select("task", "_v.acc", "_v.centered")
+
+
+# Columns of the scaling-run results file.
+RUN_CSV = ("flops_budget,depth,model_dim,params_wte,params_value_embeds,params_lm_head,params_transformer,params_scalars,"
+           "params_total,num_iterations,tokens_trained,val_bpb,train_time_sec")
+RUN_CSV_SCHEMA = ", ".join(f"{c} {'string' if c == 'flops_budget' else 'double' if c in ('val_bpb', 'train_time_sec') else 'long'}"
+                           for c in RUN_CSV.split(","))
+
+
+def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Results of scaling runs; an empty cell is null, and so is one that doesn't parse."""
+    return spark.read.option("header", "true").option("mode", "PERMISSIVE").schema(RUN_CSV_SCHEMA).csv(path)
+
+
+def append_run_csv(d: DataFrame, path: str) -> None:
+    """Append runs whose (flops_budget, depth) the file doesn't have yet; of several new ones the first by value."""
+    spark = d.sparkSession
+    new = d.select(*RUN_CSV.split(","))
+    new = new.groupBy("flops_budget", "depth").agg(F.min(F.struct(*new.columns)).alias("_r")).select("_r.*")
+    try:
+        new = skip_done(new, read_run_csv(spark, path), ["flops_budget", "depth"])
+    except AnalysisException as e:
+        if not missing(e):
+            raise
+    new.write.mode("append").option("header", "true").csv(path)
 
 
 def extract_run_metrics(lines: DataFrame, patterns: dict[str, str], run: str = "run",
-                        line_no: str = "line_no", text: str = "value") -> DataFrame:
-    """Last match per (run, key) of each regex (group 1), commas removed, cast to double; pivoted."""
+                        line_no: str = "line_no", text: str = "value", derived: dict[str, str] | None = None) -> DataFrame:
+    """Last match per (run, key) of each regex (group 1), commas removed, cast to double; pivoted.
+
+    ``derived`` maps further columns to expressions over the keys.
+    """
     parts = []
     for key, pat in patterns.items():
         v = F.regexp_extract(text, pat, 1)
@@ -175,21 +239,14 @@ def extract_run_metrics(lines: DataFrame, patterns: dict[str, str], run: str = "
     for p in parts[1:]:
         u = u.unionByName(p)
     last = u.groupBy(run, "key").agg(F.max_by("v", line_no).alias("v"))
-    return last.groupBy(run).pivot("key", list(patterns)).agg(F.first("v"))
+    wide = last.groupBy(run).pivot("key", list(patterns)).agg(F.max("v"))
+    return wide.withColumns({name: F.expr(e) for name, e in (derived or {}).items()})
 
 
 def extract_section_kv(lines: DataFrame, keys: Sequence[str], section: str = "section",
                        line_no: str = "line_no", text: str = "value") -> DataFrame:
-    """``- key: value`` lines; the key matches by substring, the last match wins and the value
-    is the text between the first and second ``:``."""
-    kv = lines.filter(F.col(text).startswith("- ")).select(
-        section, line_no, F.split(F.substring(text, 3, 1 << 20), ":").alias("_p"))
-    out = []
-    for k in keys:
-        m = kv.filter(F.contains(F.get("_p", 0), F.lit(k)) & (F.size("_p") >= 2))
-        out.append(m.groupBy(section).agg(F.max_by(F.trim(F.get("_p", 1)), line_no).alias("value"))
-                   .withColumn("key", F.lit(k)))
-    r = out[0]
-    for o in out[1:]:
-        r = r.unionByName(o)
-    return r
+    """Values of the lines that contain a key, anywhere; the last such line wins and the value
+    is the text between the first and second ``:`` (lines without one don't count)."""
+    named = F.explode(F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(F.col(text), k))).alias("key")
+    kv = lines.select(section, line_no, F.split(F.col(text), ":").alias("_p"), named).filter(F.size("_p") >= 2)
+    return kv.groupBy(section, "key").agg(F.max_by(F.trim(F.get("_p", 1)), line_no).alias("value")).select(section, "value", "key")

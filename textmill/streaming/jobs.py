@@ -9,9 +9,13 @@ driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chat
 from ..operators import tokenize as tok
@@ -36,16 +40,25 @@ def stream_tokenize_new_shards(spark: SparkSession, src: str, out: str, checkpoi
     return q
 
 
+REQUEST = "struct<messages:array<struct<role:string,content:string>>,temperature:double,top_k:int,max_tokens:int>"
+
+
 def stream_validate_requests(spark: SparkSession, src: str, out: str, checkpoint: str,
                              files_per_trigger: int = 1) -> StreamingQuery:
-    """Stateless validation of incoming chat requests (one JSON array per line)."""
+    """Stateless validation of incoming chat requests: a JSON object, or an array of messages, per line.
+
+    What can't be read as either is returned with the reason ``unreadable``.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(src)
-    parsed = lines.select(F.from_json(F.trim("value"), "array<struct<role:string,content:string>>").alias("_m")) \
-                  .filter(F.col("_m").isNotNull())
-    d = parsed.select(F.transform("_m", lambda m: chat.message(m["role"], m["content"])).alias("messages"),
-                      F.lit(None).cast("double").alias("temperature"), F.lit(None).cast("int").alias("top_k"),
-                      F.lit(None).cast("int").alias("max_tokens"))
-    v = chat.validate_chat_request(d).select(F.size("messages").alias("n_messages"), "reason")
+    text = F.trim("value")
+    request = F.from_json(text, REQUEST)
+    listed = F.from_json(text, "array<struct<role:string,content:string>>")
+    d = lines.select(request.alias("_r"), F.coalesce(request["messages"], F.when(text.startswith("["), listed)).alias("_m"))
+    d = d.select(F.transform("_m", lambda m: chat.message(m["role"], m["content"])).alias("messages"),
+                 F.col("_r.temperature").alias("temperature"), F.col("_r.top_k").alias("top_k"), F.col("_r.max_tokens").alias("max_tokens"))
+    v = chat.validate_chat_request(d)
+    v = v.select(F.when(F.col("messages").isNull(), F.lit(0)).otherwise(F.size("messages")).alias("n_messages"),
+                 F.when(F.col("messages").isNull(), F.lit("unreadable")).otherwise(F.col("reason")).alias("reason"))
     q = (v.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(out))
     _run(q)
@@ -54,15 +67,50 @@ def stream_validate_requests(spark: SparkSession, src: str, out: str, checkpoint
 
 def stream_mix_counts(spark: SparkSession, src: str, out: str, checkpoint: str,
                       files_per_trigger: int = 1) -> StreamingQuery:
-    """Running docs / chars per source; each micro-batch rewrites the complete totals."""
+    """Running docs / chars per source; each micro-batch writes the complete totals to a folder of its own."""
     schema = spark.read.parquet(src).schema
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     agg = s.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch_id}")  # a rerun of the batch replaces its folder only
 
     q = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(sink).trigger(availableNow=True).start())
     _run(q)
     return q
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """What the last complete batch of ``stream_mix_counts`` wrote."""
+    every = spark.read.parquet(out)
+    return every.join(F.broadcast(every.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+
+
+def _ema_state(beta: float):
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, step = state.get if state.exists else (0.0, 0)
+        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
+        out = []
+        for x in rows["value"]:
+            value = beta * value + (1 - beta) * x
+            out.append((key[0], step, value / (1 - beta ** (step + 1))))
+            step += 1
+        state.update((value, step))
+        yield pd.DataFrame(out, columns=["user_id", "step", "ema"])
+    return run
+
+
+def stream_ema(spark: SparkSession, src: str, out: str, checkpoint: str, beta: float = 0.9,
+               files_per_trigger: int = 1) -> StreamingQuery:
+    """Debiased EMA per run over arriving step metrics; state is (value, step) per run.
+
+    Files must arrive in time order; a batch holds what arrived since the last one.
+    """
+    schema = spark.read.parquet(src).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(src)
+    r = s.groupBy("user_id").applyInPandasWithState(_ema_state(beta), "user_id long, step long, ema double", "value double, step long",
+                                                    "append", GroupStateTimeout.NoTimeout)
+    q = (r.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
+    _run(q)
+    return q
