@@ -5,7 +5,8 @@ slide over the shingles: as long as the class's largest template plus the stride
 window holds a copy wherever it stands.  A window's minimum under each of ``K`` permutations
 (hashes xor a constant) is a band of one row; a window that shares a band with a template is
 a candidate, and only then the exact containment of the template's distinct shingles is
-counted, 0.8 or more being a match.
+counted, 0.8 or more being a match.  A window can share a band only if it holds the shingle
+with the template's minimum, so minima are taken of the windows around such shingles only.
 
 Guarantee: a window with containment of at least 0.8 has a Jaccard similarity of at least
 J = 0.8 t / (W + 0.2 t) with a template of t shingles, W being the window's length, so it
@@ -60,6 +61,7 @@ class SizeClass(NamedTuple):
     stride: int
     seeds: list[int]
     minima: list[list[int]]  # of the templates, for each band
+    keys: list[int]  # the shingles that have these minima
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,7 +97,8 @@ def size_classes(spark: SparkSession, templates: dict[str, str]) -> list[SizeCla
         worst = min(1.0 if len(s) < WIDTH else CONTAINED * len(s) / (window + (1 - CONTAINED) * len(s)) for _, s in group)
         bands = 1 if worst == 1 else math.ceil(math.log(MISS) / math.log(1 - worst))
         seeds = [rng.getrandbits(64) - (1 << 63) for _ in range(bands)]
-        out.append(SizeClass(group, window, stride, seeds, [sorted({min(x ^ b for x in s) for _, s in group}) for b in seeds]))
+        minima = [sorted({min(x ^ b for x in s) for _, s in group}) for b in seeds]
+        out.append(SizeClass(group, window, stride, seeds, minima, sorted({m ^ b for b, ms in zip(seeds, minima, strict=True) for m in ms})))
     return out
 
 
@@ -109,16 +112,23 @@ def _permuted(b: int, x: Column) -> Column:
 
 def _class_matches(sh: Column, c: SizeClass) -> Column:
     """Array of (license, contained, first_word) of the class's templates found."""
-    def candidates(permuted: Column) -> Column:
-        places = F.when(F.size(sh) > 0, F.sequence(F.lit(0), F.size(sh) - 1, F.lit(c.stride))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<struct<license:string,contained:double,first_word:int>>")
+
+    def starts(p: Column) -> Column:
+        """The windows that hold place ``p``."""
+        first = F.greatest(F.ceil((p - (c.window - 1)) / c.stride), F.lit(0)).cast("int")
+        return F.sequence(first * c.stride, F.floor(p / c.stride).cast("int") * c.stride, F.lit(c.stride))
+
+    def least(window: Column, k: int) -> Column:
+        return F.array_min(F.transform(window, partial(_permuted, c.seeds[k])))
 
-        def near(p: Column) -> Column:
-            out = F.lit(False)
-            for k, minima in enumerate(c.minima):
-                least = F.array_min(F.slice(F.get(permuted, F.lit(k)), p + 1, c.window))
-                out = out | least.isin(*minima)
-            return out
-        return F.filter(places, near)
+    def near(p: Column) -> Column:
+        """Whether the window at ``p`` shares a band with a template."""
+        window = F.slice(sh, p + 1, c.window)
+        out = F.lit(False)
+        for k, minima in enumerate(c.minima):
+            out = out | least(window, k).isin(*minima)
+        return out
 
     def held(own: Column, p: Column) -> Column:
         return F.struct((-F.size(F.array_intersect(F.slice(sh, p + 1, c.window), own))).alias("n"), p.alias("p"))
@@ -130,17 +140,22 @@ def _class_matches(sh: Column, c: SizeClass) -> Column:
             each = F.transform(places, partial(held, _longs(s)))
             best = F.array_min(each)  # most shingles, then the first place
             one = F.struct(F.lit(name).alias("license"), (-best["n"] / F.lit(float(len(s)))).alias("contained"), best["p"].alias("first_word"))
-            found.append(F.when(-best["n"] >= need, F.array(one)).otherwise(F.array().cast("array<struct<license:string,contained:double,first_word:int>>")))
+            found.append(F.when(-best["n"] >= need, F.array(one)).otherwise(none))
         return F.concat(*found)
 
-    permuted = F.array(*[F.transform(sh, partial(_permuted, b)) for b in c.seeds])
-    none = F.array().cast("array<struct<license:string,contained:double,first_word:int>>")
-    return let(let(permuted, candidates), lambda places: F.when(F.size(places) > 0, verified(places)).otherwise(none))
+    # a window's minimum is a template's only if it holds the shingle that has this minimum
+    places = F.filter(F.sequence(F.lit(0), F.size(sh) - 1), lambda p: F.get(sh, p).isin(*c.keys))
+    windows = let(places, lambda ps: F.filter(F.array_distinct(F.flatten(F.transform(ps, starts))), near))
+    some = let(windows, lambda ws: F.when(F.size(ws) > 0, verified(ws)).otherwise(none))
+    return F.when(F.arrays_overlap(sh, _longs(c.keys)), some).otherwise(none)
 
 
 def license_matches(text: Column, classes: list[SizeClass]) -> Column:
     """Array of (license, contained, first_word), by license."""
-    return let(let(words(text), shingles), lambda sh: F.array_sort(F.concat(*[_class_matches(sh, c) for c in classes])))
+    none = F.array().cast("array<struct<license:string,contained:double,first_word:int>>")
+    every = _longs(sorted({k for c in classes for k in c.keys}))
+    found = lambda sh: F.array_sort(F.concat(*[_class_matches(sh, c) for c in classes]))
+    return let(let(words(text), shingles), lambda sh: F.when(F.arrays_overlap(sh, every), found(sh)).otherwise(none))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
