@@ -89,12 +89,13 @@ def test_near_groups_that_one_hash_does_not_join(spark):
 def test_first_shingles_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        n = int(rng.integers(1, 60))
+        n = int(rng.integers(1, 200))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, 3, dtype=np.uint64)]))
         frequent = np.sort(a[rng.random(len(a)) < 0.4])
         if ngram_join._linked(a, b):
-            assert set(ngram_join.first_shingles(a, frequent).tolist()) & set(ngram_join.first_shingles(b, frequent).tolist())
+            shared = set(ngram_join.first_shingles(a, frequent).tolist()) & set(ngram_join.first_shingles(b, frequent).tolist())
+            assert len(shared) >= 1 + (max(len(a), len(b)) * 80 // 100) // ngram_join.SLACK
 
 
 def test_components(spark):

@@ -4,16 +4,17 @@ A document's set holds its distinct five-word shingles (all words as one if fewe
 link when their sets have a Jaccard similarity of at least 0.8.
 
 1. Equal sets become one node, found by set size and two 64-bit sums over the shingles.
-2. Similar sets share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order of
-   shingles common to all.  The order puts shingles that are frequent in a sample of the
-   documents last (a shipped list of at most ``MAX_FREQUENT``; it decides how much work
-   there is, never the result).  Shingles that two nodes share there are kept.
+2. Similar sets share l shingles among the first n - ceil(0.8 n) + l of each, in any order of
+   shingles common to all; l is 1 + n / ``SLACK``.  The order puts shingles that are frequent
+   in a sample of the documents last (a shipped list of at most ``MAX_FREQUENT``; it decides
+   how much work there is, never the result).  Shingles that two nodes share there are kept,
+   and nodes that have enough of them.
 3. Nodes that share one of four minimum hashes are compared with the smallest of them; links
    give first components, so that groups of thousands of near copies are one component.
 4. Nodes are sorted by component and minimum hash and cut into groups of ``GROUP`` similar
    ones.  The token-group matrix has a row for each kept shingle and group.  A node queries
-   the groups that it shares a kept shingle with and that hold another component; a group
-   whose union of shingles can't contain 0.8 of the query's set stays closed; in an opened
+   the groups that it shares enough kept shingles with and that hold another component; a
+   group whose union of shingles can't contain 0.8 of the query's set stays closed; in an opened
    one the exact similarities are computed.  Queries of a group are dealt to tasks of
    ``QUERIES`` each, so no task holds more than these and one group.
 5. Components of all links, by large-star and small-star rounds over the link table.
@@ -41,6 +42,7 @@ from .words import GRAPH, Words, scramble, shards
 
 WIDTH = 5
 NUM, DEN = 80, 100  # a link needs DEN * intersection >= NUM * union
+SLACK = 20  # of so many shingles one more is looked at, and has to be shared
 SAMPLE = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 3  # times in the sample
 MAX_FREQUENT = 200_000
@@ -128,15 +130,20 @@ def frequent_shingles(rows: DataFrame) -> np.ndarray:
 
 
 def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles of which similar sets share one: the first ones, frequent ones last."""
+    """The shingles of which similar sets share ``needed``: the first ones, frequent ones last."""
     n = len(s)
-    take = n - -(-NUM * n // DEN) + 1
+    take = n - -(-NUM * n // DEN) + 1 + n // SLACK
     if len(frequent):
         common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         s = np.concatenate([s[~common], s[common]])
     return s[:take]
 
 
+def needed(n):
+    """How many of its first shingles a set of ``n`` shares with any similar one, which may be smaller."""
+    return F.floor(F.floor(F.col(n) * NUM / DEN) / SLACK) + 1
+
+
 def _spread(frequent: np.ndarray, buckets: int):
     """Emit, for each batch and bucket of shingle hashes, the first shingles and their nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +259,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # shingles shared among the first ones
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(docs), math.ceil(total * (DEN - NUM) / DEN * 12 / BUCKET_BYTES))
+    buckets = max(partitions(docs), math.ceil(total * ((DEN - NUM) / DEN + 1 / SLACK) * 12 / BUCKET_BYTES))
     frequent = frequent_shingles(rows)
     shared = (rows.mapInArrow(_spread(frequent, buckets), "bucket long, tokens binary, nodes binary")
               .groupBy("bucket").applyInArrow(_met, "token long, node long"))
     shared = cut(shared, "shared-shingles")
-    near = nodes.join(shared.select(F.col("node").alias("low")).distinct(), low("k1") == F.col("low"), "left_semi")
+    counts = shared.groupBy(F.col("node").alias("low")).agg(F.count(F.lit(1)).alias("c"))
+    near = nodes.join(counts, low("k1") == F.col("low")).filter(F.col("c") >= needed("n")).select("n", "k1", "k2", "rep")
     near = cut(near.filter("rep is not null"), "near-nodes")
     sets = (rows.join(near, F.col("i") == F.col("rep")).select("rep", "n", "k1", "k2", "text")
             .mapInArrow(_described_sets, "rep long, n long, set binary, least array<long>"))
@@ -287,7 +295,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matrix = tokens.groupBy("token", "g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     asks = tokens.select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(matrix, "token")
     asks = asks.filter(((F.col("c0") != F.col("cx")) | (F.col("c1") != F.col("cx"))) & (DEN * F.col("nx") >= NUM * F.col("n0")) & (DEN * F.col("n1") >= NUM * F.col("nx")))
-    asks = cut(asks.groupBy("x", "g").agg(F.first("cx").alias("comp")), "queries")
+    asks = asks.groupBy("x", "g").agg(F.first("cx").alias("comp"), F.first("nx").alias("nx"), F.count(F.lit(1)).alias("c"))
+    asks = cut(asks.filter(F.col("c") >= needed("nx")).select("x", "g", "comp"), "queries")
     parts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     asking = (asks.join(parts, "g").join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set")), "x")
               .select("g", F.pmod(F.xxhash64("x"), F.col("parts")).alias("p"), "x", "comp", "set"))
