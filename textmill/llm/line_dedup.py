@@ -63,6 +63,7 @@ def doubled(ranks: DataFrame, width: int) -> tuple[DataFrame, int]:
     kind = F.when(F.col("left") <= width, 0).when(F.col("ar").isNull(), 1).otherwise(2)
     both = both.select("u", "pos", "i", "left", "r", kind.alias("k"), F.when(kind == 1, F.col("u")).when(kind == 2, F.col("ar")).otherwise(0).alias("a"),
                        F.when(kind == 1, F.col("pos")).otherwise(0).alias("b"))
+    both = cut(both, "doubled")  # read by the distinct pairs, their sampled bounds and the join
     pairs = sorted_index(both.select("r", "k", "a", "b").distinct(), *[F.col(c) for c in ("r", "k", "a", "b")], name="pairs")
     new = both.join(pairs, ["r", "k", "a", "b"])
     return cut(new.select("u", "pos", "i", "left", F.col("rank").alias("r")), "ranks"), pairs.count()
