@@ -1,7 +1,7 @@
 """Benchmark decontamination by FM-indexes of the training text.
 
 The windows of a benchmark item are its runs of ``WINDOW`` words, or all of them if fewer.
-The tasks that read the documents index them shard by shard (about 4 MB of whole texts, so
+The tasks that read the documents index them shard by shard (about 2 MB of whole texts, so
 a shard never needs a shuffle): words become symbols, words that no item has separate, and
 runs shorter than the shortest window can't hold one and are left out.  Over the symbols of a
 shard an FM-index is built (``fmindex``); all windows are searched backwards side by side

@@ -43,6 +43,7 @@ from .words import _LETTER, prefix_hash, scramble, shards, span_hash
 LENGTH = 50
 GRAM = 24
 HOT = 50_000
+SHARD = 1 << 20  # bytes of text looked at at once; a longer text is a shard of its own
 BUCKET_ANCHORS = 500_000
 BUCKET_CONTEXTS = 20_000
 LAST = (1 << 63) - 1  # stands for a null id
@@ -109,7 +110,7 @@ def _spread(buckets: int):
             texts = dict(zip(batch.column("x").to_pylist(), batch.column("text").to_pylist(), strict=True))  # equal ones go once
             nodes, bodies = np.array(list(texts), np.int64), list(texts.values())
             tokens, owners = [], []
-            for lo, hi in shards(bodies):
+            for lo, hi in shards(bodies, SHARD):
                 token, doc, _, _ = anchors(bodies[lo:hi])
                 tokens.append(token)
                 owners.append(doc + lo)
@@ -176,7 +177,7 @@ def _contexts(buckets: int):
             bodies, reps = _inflated(batch), np.array(batch.column("i").to_pylist(), np.int64)
             nth = np.array(batch.column("o").to_pylist(), np.int64) << TEXT_SHIFT
             wanted, hot = (([unpacked(b"".join(x), 6) for x in batch.column(c).to_pylist()]) for c in ("tokens", "hot"))
-            for lo, hi in shards(bodies):
+            for lo, hi in shards(bodies, SHARD):
                 token, doc, start, count = anchors(bodies[lo:hi])
                 low = token & np.uint64((1 << 48) - 1)
                 keep, is_hot = np.zeros(len(token), bool), np.zeros(len(token), bool)

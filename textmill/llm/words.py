@@ -12,7 +12,7 @@ _RNG = np.random.default_rng(0x5EED)
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse
 _INVERSE = np.uint64(pow(int(_MIX), -1, 1 << 64))
 _LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 # Byte tables: 0 between words, else the byte with A-Z in lower case.
 _LOWER = np.arange(256, dtype=np.uint8)
