@@ -72,6 +72,24 @@ def test_near_classes(docs, rows):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(want)
 
 
+def test_near_null_and_repeated_ids(spark):
+    """Unrelated rows without id or with the same id all stay; their near copies are still found."""
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = [prose() for _ in range(8)]
+    alike = lambda t: f"{t} end"
+    rows = [(None, texts[0]), (None, texts[1]), (None, alike(texts[1])), (7, texts[2]), (7, texts[3]), (7, alike(texts[3])),
+            (9, texts[4]), (None, alike(texts[4])), (None, texts[5]), (5, texts[6]), (5, alike(texts[7])), (6, texts[7]), (None, texts[0]), (5, texts[6])]
+    got = ngram_join.near_classes(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    ends = {t: k for k, t in enumerate(texts)}
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.without_near_copies(frame(spark, rows)).select("doc_id", "text").collect()]
+    assert sorted(ends[t.removesuffix(" end")] for _, t in kept) == list(range(8))  # one of each group of near copies
+    assert {(9, texts[4]), (5, alike(texts[7]))} <= set(kept)  # the smallest id, which isn't null
+    assert sorted((r["i"], r["component_id"]) for r in got if r["i"] is not None) == [(5, 5)] * 3 + [(6, 5)] + [(7, 7)] * 3 + [(9, 9)]
+    assert len({r["component"] for r in got}) == 8
+
+
 def test_near_groups_that_one_hash_does_not_join(spark):
     """Chains of near copies, whose ends are not similar, and pairs at the threshold."""
     rng = random.Random(8)

@@ -3,7 +3,8 @@
 A document's set holds its distinct five-word shingles (all words as one if fewer); documents
 link when their sets have a Jaccard similarity of at least 0.8.
 
-1. Equal sets become one node, found by set size and two 64-bit sums over the shingles.
+1. Equal sets become one node, found by set size and two 64-bit sums over the shingles, and
+   numbered; components are of node numbers, whatever ids the rows have.
 2. Similar sets share l shingles among the first n - ceil(0.8 n) + l of each, in any order of
    shingles common to all; l is 1 + n / ``SLACK``.  The order puts shingles that are frequent
    in a sample of the documents last (a shipped list of at most ``MAX_FREQUENT``; it decides
@@ -23,8 +24,10 @@ Links inside a first component aren't listed, as they don't change components.
 
 Defined cases: null or empty text, or one of spaces, has an empty set and is its own
 component; of rows that repeat an id, each has its own set; a null id never is a component's
-name, unless all its ids are null; an empty table gives an empty result; other columns are
-ignored, or kept by ``without_near_copies``, whatever their names.
+name, unless all its ids are null, so unlinked components can have the same name; ids come
+before null ones where ``without_near_copies`` picks the row that stays; an empty table gives
+an empty result; other columns are ignored, or kept by ``without_near_copies``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -251,10 +254,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: i, x (hash of the text), n_shingles, component_id."""
+    """One row per document: i, x (hash of the text), n_shingles, component (its key; null if the set is empty), component_id."""
     rows = _rows(docs, id_col, text_col)
     every = cut(rows.mapInArrow(_describe, "i long, x long, n long, k1 long, k2 long"), "sets")
-    nodes = cut(every.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("i").alias("rep")), "nodes")
+    nodes = every.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "x")).alias("of"))
+    nodes = cut(nodes.select("n", "k1", "k2", F.col("of.i").alias("name"), F.col("of.x").alias("text_hash"), F.monotonically_increasing_id().alias("rep")), "nodes")
     low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 48) - 1))
 
     # shingles shared among the first ones
@@ -265,11 +269,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .groupBy("bucket").applyInArrow(_met, "token long, node long"))
     shared = cut(shared, "shared-shingles")
     counts = shared.groupBy(F.col("node").alias("low")).agg(F.count(F.lit(1)).alias("c"))
-    near = nodes.join(counts, low("k1") == F.col("low")).filter(F.col("c") >= needed("n")).select("n", "k1", "k2", "rep")
-    near = cut(near.filter("rep is not null"), "near-nodes")
-    sets = (rows.join(near, F.col("i") == F.col("rep")).select("rep", "n", "k1", "k2", "text")
+    near = nodes.join(counts, low("k1") == F.col("low")).filter(F.col("c") >= needed("n")).select("n", "k1", "k2", "name", "text_hash", "rep")
+    near = cut(near, "near-nodes")
+    sets = (rows.join(near, F.col("i").eqNullSafe(F.col("name")) & (F.col("x") == F.col("text_hash"))).select("rep", "n", "k1", "k2", "text")
             .mapInArrow(_described_sets, "rep long, n long, set binary, least array<long>"))
     sets = cut(sets, "near-sets")
+    if not sets.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():  # rows that repeat id and text
+        sets = cut(sets.dropDuplicates(["rep"]), "near-sets-once")
 
     # first components: comparison with the smallest node of each minimum hash
     keys = sets.select("rep", "n", F.posexplode("least").alias("k", "m"))
@@ -306,15 +312,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     opened = asking.groupBy("g", "p").cogroup(members.groupBy("g", "p")).applyInArrow(_opened, "x long, y long")
     whole = components(stars.unionByName(cut(opened, "opened-links")))
 
-    classes = nodes.join(whole, F.col("rep") == F.col("u"), "left").select("n", "k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
-    linked = every.filter("n > 0").join(classes, ["n", "k1", "k2"]).select("i", "x", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(every.filter("n = 0").select("i", "x", F.col("n").alias("n_shingles"), F.col("i").alias("component_id")))
+    classes = cut(nodes.join(whole, F.col("rep") == F.col("u"), "left").select("n", "k1", "k2", "name", F.coalesce("comp", "rep").alias("component")), "classes")
+    names = classes.groupBy("component").agg(F.min("name").alias("component_id"))
+    classes = classes.join(names, "component").select("n", "k1", "k2", "component", "component_id")
+    linked = every.filter("n > 0").join(classes, ["n", "k1", "k2"]).select("i", "x", F.col("n").alias("n_shingles"), "component", "component_id")
+    empty = every.filter("n = 0").select("i", "x", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("i").alias("component_id"))
+    return linked.unionByName(empty)
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of each component the smallest id, and empty texts."""
     found = near_classes(docs, id_col, text_col).filter("n_shingles > 0")
-    best = cut(found.groupBy("component_id").agg(F.min(F.struct("i", "x")).alias("b")).select(F.col("b.i").alias("__i"), F.col("b.x").alias("__x")), "near-winners")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "x")).alias("b"))
+    best = cut(best.select(F.col("b.i").alias("__i"), F.col("b.x").alias("__x")), "near-winners")
     text = F.coalesce(F.col(text_col), F.lit(""))
     mine = docs.withColumn("__h", F.xxhash64(text)).withColumn("__e", ~text.rlike(r"[^\x20\x09-\x0D]"))
     hit = mine.filter(~F.col("__e")).join(best, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")))
