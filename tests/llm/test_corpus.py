@@ -234,6 +234,22 @@ def test_license_scan(spark):
         license_scan.scan(frame(spark, rows), templates={"short": "all rights reserved"})
 
 
+def test_license_families(spark):
+    """Notices of common families, as they stand in files, are found by the registered templates."""
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
+    rows = [(1, f"# This library is free software; {gnu.format('Lesser General Public License')}; either version 2.1 of the License, or (at your option) any later version."),
+            (2, f"This program is free software: {gnu.format('Affero General Public License')}, either version 3 of the License, or (at your option) any later version."),
+            (3, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy"),
+            (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+                "copyright notice and this permission notice appear in all copies."),
+            (5, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+            (6, "This is free and unencumbered software released into the public domain.\n\nAnyone is free"), (7, "No license is named in these plain words at all.")]
+    want = {1: "lgpl-2.1", 2: "agpl-3.0", 3: "mpl-2.0", 4: "isc", 5: "cc-by-sa-4.0", 6: "unlicense"}
+    for r in license_scan.scan(frame(spark, rows)).collect():
+        best = max(r["matches"], key=lambda m: m["contained"], default=None)
+        assert (best and best["license"]) == want.get(r["doc_id"])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -38,18 +38,49 @@ WIDTH = 5
 CONTAINED = 0.8
 MISS = 1e-3
 GROWTH = 1.25
-# Public license notices and the openings of public license texts.
+# Public license notices, openings of public license texts, and short license texts whole.
+_GNU = "under the terms of the GNU {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {0} International License."
 TEMPLATES = {
+    "afl-3.0": "Licensed under the Academic Free License version 3.0",
+    "agpl-3.0": f"This program is free software: you can redistribute it and/or modify it {_GNU.format('Affero General Public License', 3)}",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
                           "License. You may obtain a copy of the License at"),
+    "artistic-2.0": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
             "are met"),
+    "bsd-3-clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+                     "this software without specific prior written permission."),
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-4.0": _CC.format("Attribution 4.0"),
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-nd-4.0": _CC.format("Attribution-NonCommercial-NoDerivatives 4.0"),
+    "cc-by-nc-sa-4.0": _CC.format("Attribution-NonCommercial-ShareAlike 4.0"),
+    "cc-by-sa-3.0": _CC.replace(" International", " Unported").format("Attribution-ShareAlike 3.0"),
+    "cc-by-sa-4.0": _CC.format("Attribution-ShareAlike 4.0"),
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gfdl-1.3": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 "
+                 "or any later version published by the Free Software Foundation"),
+    "gpl-2.0-notice": f"This program is free software; you can redistribute it and/or modify it {_GNU.format('General Public License', 2)}",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-notice": f"This program is free software: you can redistribute it and/or modify it {_GNU.format('General Public License', 3)}",
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+            "above copyright notice and this permission notice appear in all copies."),
+    "lgpl-2.1": f"This library is free software; you can redistribute it and/or modify it {_GNU.format('Lesser General Public License', '2.1')}",
+    "lgpl-3.0": f"This library is free software; you can redistribute it and/or modify it {_GNU.format('Lesser General Public License', 3)}",
     "mit": "Released under the MIT License.",
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-text": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
                  "to deal in the Software without restriction"),
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+             "from the use of this software."),
 }
 
 
