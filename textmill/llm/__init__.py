@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, license_scan, line_dedup, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
+from . import decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 # SQL exists where it can state the result; the other queries are tested against brute force.
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_decontamination": decontamination.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
