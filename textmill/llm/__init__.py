@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, spelling, suffix_dedup, toxicity, warc
+from . import automata, decontamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, spelling, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_spelling": spelling.op12_spelling,
+    "op13_substring_dedup": automata.op13_substring_dedup,
 }
 # SQL exists where it can state the result; the other queries are tested against brute force.
 ORACLES = {
