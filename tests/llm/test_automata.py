@@ -55,6 +55,7 @@ def test_op13(spark):
 def test_odd_rows(spark, monkeypatch, hot):
     """Contexts of hot anchors are dealt by window; the result is the same."""
     monkeypatch.setattr(A, "HOT", hot)
+    monkeypatch.setattr(A, "SAMPLE", 64 if hot else 1)
     monkeypatch.setattr(A, "CONTEXTS", 50)
     monkeypatch.setattr(A, "PART", 40)
     rows = rows_of(hot)

@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, partitions, table
+from .common import cut, partitions, table
 from .suffix_dedup import merged
 from .words import _LETTER, prefix_hash, scramble, shards, span_hash
 
 LENGTH = 35
 GRAM = 8
 HOT = 20_000
+SAMPLE = 64
+BUCKET = 500_000  # anchors, about
 SHARD_BYTES = 1 << 20  # bytes of text looked at at once; a longer text is a shard of its own
 CONTEXTS = 4_000  # of a shard, about
 PART = 20_000  # contexts that are streamed in one place, about
@@ -171,25 +173,97 @@ def _ints(values, kind: str) -> bytes:
     return np.asarray(values).astype(kind).tobytes()
 
 
+def sequence(text: bytes) -> bytes:
+    """The words of a text with one space between them; ASCII white space is the contract's."""
+    return b" ".join(text.split())
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, d, x, n_words): the digest of a text's words, and its first bytes as a number."""
+    for batch in batches:
+        bodies = [sequence(t) for t in batch.column("text").to_pylist()]
+        digests = [hashlib.sha256(t).digest() for t in bodies]
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(digests, pa.binary()), pa.array([_number(d) for d in digests], pa.int64()),
+                                          pa.array([t.count(b" ") + 1 if t else 0 for t in bodies], pa.int64())], ["i", "d", "x", "n_words"])
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _distinct(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], Sequences]]:
+    """(x, copies in the batch, words) of the texts of a batch, each once, some at a time."""
+    copies: dict[bytes, int] = {}
+    for t in batch.column("text").to_pylist():
+        t = sequence(t)
+        copies[t] = copies.get(t, 0) + 1
+    bodies, times = list(copies), list(copies.values())
+    for lo, hi in shards(bodies, SHARD_BYTES):
+        yield [_number(hashlib.sha256(t).digest()) for t in bodies[lo:hi]], times[lo:hi], Sequences(bodies[lo:hi])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, x, n): anchors by text, each text of a batch once, with the copies of all."""
     for batch in batches:
-        copies: dict[tuple[int, bytes], int] = {}
-        for k in zip(batch.column("x").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            copies[k] = copies.get(k, 0) + 1
-        bodies, node = [t for _, t in copies], np.array([x for x, _ in copies], np.int64)
-        times = np.array(list(copies.values()), np.int64)
-        for lo, hi in shards(bodies, SHARD_BYTES):
-            token, doc, _, _ = anchors(Sequences(bodies[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[lo + doc]), pa.array(times[lo + doc])], ["token", "x", "n"])
+        for _, times, words in _distinct(batch):
+            token, doc, _, _ = anchors(words)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(np.array(times, np.int64)[doc])], ["token", "n"])
+
+
+def _bounds(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values start and end."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+
+def _spread(buckets: int, known: list[int]):
+    """The anchors of each piece of a batch by bucket: anchors, their texts, and how often they occur.
+
+    Those known to be very common meet nowhere: buckets from ``buckets`` on only pass them on.
+    """
+    common = np.array(known, np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, times, words in _distinct(batch):
+                token, doc, _, _ = anchors(words)
+                order = np.lexsort((doc, token))
+                token, doc = token[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])])[:len(token)])
+                number = np.diff(np.concatenate([first, [len(token)]])) * np.array(times, np.int64)[doc[first]]
+                token, node = token[first], np.array(x, np.int64)[doc[first]]
+                bucket = (((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                bucket[np.isin(token, common)] = buckets + abs(x[0]) % buckets
+                order = np.argsort(bucket, kind="stable")
+                token, node, number, bucket = token[order], node[order], np.minimum(number[order], 255), bucket[order]
+                rows = [(int(bucket[a]), token[a:b].tobytes(), node[a:b].tobytes(), _ints(number[a:b], "u1")) for a, b in _bounds(bucket)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "tokens", "nodes", "numbers"])
+    return run
+
+
+def _met(buckets: int):
+    """(x, tokens, hot, places) of the anchors of a bucket that occur more than once."""
+    def run(rows: pa.Table) -> pa.Table:
+        token, node, number = (np.concatenate([np.frombuffer(v, t) for v in rows.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("numbers", np.uint8)))
+        passed = rows.column("bucket")[0].as_py() >= buckets
+        _, of = np.unique(token, return_inverse=True)
+        total = np.bincount(of, number)[of]
+        many = (total > 1) | passed
+        token, node, hot = token[many], node[many], (total[many] > HOT) | passed
+        order = np.argsort(node, kind="stable")
+        token, node, hot = token[order], node[order], hot[order]
+        runs = _bounds(node)
+        return pa.table({"x": pa.array([int(node[a]) for a, _ in runs], pa.int64()), "tokens": pa.array([token[a:b].tobytes() for a, b in runs], pa.binary()),
+                         "hot": pa.array([token[a:b][hot[a:b]].tobytes() for a, b in runs], pa.binary()), "places": pa.array([b - a for a, b in runs], pa.int64())})
+    return run
 
 
 def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd, with their size, for an exchange."""
+    """(i, d, size, z): the words of texts that can hold a window, as zstd, for an exchange."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("d"), pa.array([len(t) for t in texts], pa.int64()),
-                                          pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())], ["i", "d", "size", "z"])
+        rows = [(i, t) for i, t in zip(batch.column("i").to_pylist(), map(sequence, batch.column("text").to_pylist()), strict=True) if t.count(b" ") + 1 >= LENGTH]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([hashlib.sha256(t).digest() for _, t in rows], pa.binary()),
+                                          pa.array([len(t) for _, t in rows], pa.int64()), pa.array([pa.compress(t, "zstd", asbytes=True) for _, t in rows], pa.binary())], ["i", "d", "size", "z"])
 
 
 def _parts(sizes: list[int]) -> list[tuple[int, int]]:
@@ -213,8 +287,7 @@ def _contexts(number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             zs, sizes, ds, weight = (batch.column(c).to_pylist() for c in ("z", "size", "d", "copies"))
-            wanted = [np.array(x, np.int64).view(np.uint64) for x in batch.column("tokens").to_pylist()]
-            hot = [np.array(x, np.int64).view(np.uint64) for x in batch.column("hot").to_pylist()]
+            wanted, hot = ([np.frombuffer(b"".join(x), np.uint64) for x in batch.column(c).to_pylist()] for c in ("tokens", "hot"))
             for lo, hi in _parts(sizes):
                 words = Sequences([pa.decompress(z, n, "zstd", asbytes=True) for z, n in zip(zs[lo:hi], sizes[lo:hi], strict=True)])
                 token, doc, start, count = anchors(words)
@@ -235,9 +308,8 @@ def _contexts(number: int):
                 shard = ((token >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)
                 order = np.argsort(shard, kind="stable")
                 shard, token, doc, start, count = (x[order].astype(np.int64) if k != 1 else x[order] for k, x in enumerate((shard, token, doc, start, count)))
-                bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
                 rows = []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for a, b in _bounds(shard):
                     first = words.first[doc[a:b]] + start[a:b]
                     place: dict[tuple[int, bytes], int] = {}
                     of = [place.setdefault((t, words.text(f, f + n + LENGTH - 2)), len(place)) for t, f, n in zip(token[a:b].tolist(), first.tolist(), count[a:b].tolist(), strict=True)]
@@ -321,22 +393,15 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["d", "n_removed", "kept", "edges"])
 
 
-def _shared_tokens(tokens: DataFrame) -> DataFrame:
-    """(x, tokens, hot): of each text the anchors that occur more than once.
+def _very_common(rows: DataFrame) -> list[int]:
+    """At most a thousand anchors: those with a thousandth or more of the occurrences in one text of ``SAMPLE``.
 
-    An anchor with a thousandth of all occurrences, or more, is joined by broadcast: there are
-    at most a thousand.  The others meet their texts by shuffle, none of them with many rows.
+    They occur twice for sure, and often, so they needn't meet.  The choice changes the work, never the result.
     """
-    counts = cut(tokens.groupBy("token").agg(F.sum("n").alias("n")), "automata-counts")
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_tokens, "token long, n long")
+    counts = cut(some.groupBy("token").agg(F.sum("n").alias("n")), "automata-sample")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    often = max(2, math.ceil(total / 1000))
-    shared = counts.filter(F.col("n") >= 2).select(F.col("token").alias("t"), (F.col("n") > HOT).alias("hot"), "n")
-    common, rare = F.broadcast(shared.filter(F.col("n") >= often)), shared.filter(F.col("n") < often)
-    own = tokens.select("x", "token")
-    met = own.join(common, own["token"] == F.col("t"))
-    rest = own.join(common, own["token"] == F.col("t"), "left_anti")
-    met = met.unionByName(rest.join(rare, F.col("token") == F.col("t")))
-    return met.groupBy("x").agg(F.collect_set("token").alias("tokens"), F.collect_set(F.when(F.col("hot"), F.col("token"))).alias("hot"), F.count(F.lit(1)).alias("places"))
+    return [r[0] for r in counts.filter(F.col("n") >= max(total / 1000, HOT / SAMPLE, 2)).collect()]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,19 +409,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``edges`` are the bounds of the removed spans, in words: start, end, start, end, ...
     """
-    text = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " "))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("i"), text.alias("t"))
-    n_words = F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.translate("t", " ", "")) + 1).cast("long")
-    rows = rows.select("i", F.unhex(F.sha2("t", 256)).alias("d"), n_words.alias("n_words"), F.col("t").cast("binary").alias("text"))
-    every = cut(rows.select("i", "d", "n_words"), "automata-rows")
-    firsts = every.groupBy("d").agg(F.min("i").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    long = rows.filter(F.col("n_words") >= LENGTH)
-
-    found = cut(long.select(F.xxhash64("d").alias("x"), "text").mapInArrow(_tokens, "token long, x long, n long"), "automata-tokens")
-    lists = cut(_shared_tokens(found), "automata-shared")  # an x that two texts share only gives them more tokens than their own
-    number = lists.agg(F.sum("places")).first()[0] or 0
-    near = firsts.join(lists, F.xxhash64("d") == F.col("x")).select("rep", F.col("d").alias("rd"), "copies", "tokens", "hot")
-    small = long.select("i", "d", "text").mapInArrow(_deflated, "i long, d binary, size long, z binary")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    every = cut(rows.mapInArrow(_rows, "i long, d binary, x long, n_words long"), "automata-rows")
+    firsts = every.groupBy("d").agg(F.min("i").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
+
+    total = every.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(partitions(docs), math.ceil(total / 14 / BUCKET))
+    found = rows.select("text").mapInArrow(_spread(buckets, _very_common(rows)), "bucket long, tokens binary, nodes binary, numbers binary")
+    found = cut(found.groupBy("bucket").applyInArrow(_met(buckets), "x long, tokens binary, hot binary, places long"), "automata-shared")
+    number = found.agg(F.sum("places")).first()[0] or 0
+    lists = found.groupBy("x").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("hot").alias("hot"))  # of one text; of two with one x, both have all
+    near = firsts.join(lists.withColumnRenamed("x", "of"), F.col("x") == F.col("of")).select("rep", F.col("d").alias("rd"), "copies", "tokens", "hot")
+    small = rows.mapInArrow(_deflated, "i long, d binary, size long, z binary")
     count = max(partitions(docs), math.ceil(number / CONTEXTS))
     contexts = small.join(near, (F.col("i") == F.col("rep")) & (F.col("d") == F.col("rd"))).select("d", "size", "z", "copies", "tokens", "hot")
     contexts = cut(contexts.mapInArrow(_contexts(count), CONTEXT_ROW), "automata-contexts")
