@@ -3,10 +3,19 @@
 import random
 
 import numpy as np
+from naive import budget_boundaries, first_fit_decreasing, greedy_pad_rows
 
 from textmill.operators import kernels
 
 
+def packed(packer, lengths):
+    """All placements of documents that arrive one by one."""
+    out = []
+    for k, n in enumerate(lengths):
+        out += packer.add(int(n), k)
+    return out + packer.end()
+
+
 def choose(pool, room):
     """(length, arrival, taken) of the document to place: the longest that fits, else the shortest, cut."""
     fitting = sorted((d for d in pool if d[0] <= room), key=lambda d: (-d[0], d[1]))
@@ -47,8 +56,7 @@ def test_bestfit_crop_matches_naive():
     for _ in range(20):
         lengths = [rng.randint(1, 300) for _ in range(rng.randint(50, 400))]
         cap, buffer, batch = rng.choice([64, 129, 257]), rng.randint(3, 40), rng.randint(1, 10)
-        k, r, o, t = kernels.bestfit_crop(np.array(lengths), cap, buffer, batch)
-        got = [(a, b, c, d) for a, b, c, d in zip(k, r, o, t)]
+        got = packed(kernels.CropPacker(cap, buffer, batch), lengths)
         want = [(kk, ri, p, tk) for ri, row in enumerate(naive_bestfit_crop(lengths, cap, buffer, batch))
                 for kk, p, tk in row]
         assert got == want
@@ -58,7 +66,7 @@ def test_bestfit_pad_places_the_longest_that_fits():
     """Replayed from the result: each placement is the best of what the buffer holds then."""
     rng = random.Random(4)
     lengths, cap, buffer = [rng.randint(1, 100) for _ in range(300)], 101, 12
-    k, r, o, content = kernels.bestfit_pad(np.array(lengths), cap, buffer)
+    k, r, o, _, _ = zip(*packed(kernels.PadPacker(cap, buffer), lengths))
     waiting, held = list(range(len(lengths))), []
     row, used = 0, 0
     for doc, at, offset in zip(k, r, o):
@@ -76,26 +84,26 @@ def test_bestfit_pad_places_the_longest_that_fits():
 
 def test_bestfit_pad_rows_are_full_or_padded():
     rng = random.Random(1)
-    lengths = np.array([rng.randint(1, 100) for _ in range(500)])
-    k, r, o, content = kernels.bestfit_pad(lengths, 101, 20)
-    assert sorted(k) == list(range(500))  # every conversation used exactly once
-    for row in set(r):
-        used = sum(int(lengths[kk]) for kk, rr in zip(k, r) if rr == row)
-        assert used == content[row] <= 101
+    lengths = [rng.randint(1, 100) for _ in range(500)]
+    got = packed(kernels.PadPacker(101, 20), lengths)
+    assert sorted(p[0] for p in got) == list(range(500))  # every conversation used exactly once
+    for row in {p[1] for p in got}:
+        used = sum(lengths[p[0]] for p in got if p[1] == row)
+        assert {p[4] for p in got if p[1] == row} == {used} and used <= 101
 
 
 def test_budget_boundaries():
     lengths = np.array([5, 5, 5, 20, 1, 1, 1, 9])
-    gid, closed = kernels.budget_boundaries(lengths, 10)
+    gid, closed = budget_boundaries(lengths, 10)
     assert list(gid) == [0, 0, 1, 1, 2, 2, 2, 2] and closed == 3
-    gid, closed = kernels.budget_boundaries(lengths, 10, multiple=4)
+    gid, closed = budget_boundaries(lengths, 10, multiple=4)
     assert list(gid) == [0, 0, 0, 0, 1, 1, 1, 1] and closed == 2
 
 
 def test_ffd_conserves_and_fits():
     rng = random.Random(2)
     lengths = np.array([rng.randint(1, 150) for _ in range(300)])
-    rows, offs, take = kernels.first_fit_decreasing(lengths, 128)
+    rows, offs, take = first_fit_decreasing(lengths, 128)
     assert (take == np.minimum(lengths, 128)).all()
     for row in set(rows.tolist()):
         m = rows == row
@@ -106,5 +114,21 @@ def test_ffd_conserves_and_fits():
 
 
 def test_greedy_pad_rows():
-    rows, offs = kernels.greedy_pad_rows(np.array([4, 4, 4, 10, 2]), 10)
+    rows, offs = greedy_pad_rows(np.array([4, 4, 4, 10, 2]), 10)
     assert list(rows) == [0, 0, 1, 2, 3] and list(offs) == [0, 4, 0, 0, 0]
+
+
+def test_ffd_runs_place_as_one_by_one():
+    rng = random.Random(6)
+    for _ in range(60):
+        cap = rng.choice([7, 16, 101])
+        lengths = np.array([rng.randint(1, cap) for _ in range(rng.randint(1, 200))])
+        rows, offs, _ = first_fit_decreasing(lengths, cap)
+        histogram = {int(n): int((lengths == n).sum()) for n in set(lengths.tolist())}
+        runs = kernels.first_fit_runs(histogram, cap)
+        for n in histogram:
+            own = [r for r in runs if r[0] == n]
+            assert [r[1] for r in own] == list(range(1, len(own) + 1))
+            for at, k in enumerate(np.flatnonzero(lengths == n)):
+                _, _, first, each, row0, fill = [r for r in own if r[2] <= at][-1]
+                assert (row0 + (at - first) // each, fill + (at - first) % each * n) == (rows[k], offs[k])

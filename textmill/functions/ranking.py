@@ -66,39 +66,42 @@ def with_bucket(df: DataFrame, order: Sequence[str | Column], n_buckets: int | N
 def running_sum(df: DataFrame, value: Column | str, order: Sequence[str | Column],
                 by: Sequence[str] = (), out: str = "cum", inclusive: bool = True,
                 n_buckets: int | None = None, dense: tuple[int, int] | None = None,
-                previous: dict[str, str] | None = None) -> DataFrame:
+                previous: dict[str, str] | None = None, also: dict[str, Column] | None = None) -> DataFrame:
     """Prefix sum of ``value`` ordered by ``order`` (a total order, NULLs first) within ``by``.
 
-    ``previous={"new": "col"}`` also adds the value that ``col`` has in the row before.  Rows
-    with NULL order or group keys are kept.
+    ``previous={"new": "col"}`` also adds the value that ``col`` has in the row before, and
+    ``also={"new": value}`` further sums of the same pass.  Rows with NULL order or group keys
+    are kept.
     """
     by = list(by)
     previous = previous or {}
+    also = also or {}
     order = as_columns(order)
     value = F.col(value) if isinstance(value, str) else value
-    base = with_bucket(df.withColumn("_v", value), order, n_buckets, dense)
+    values = {"_v": value, **{f"_v_{new}": v for new, v in also.items()}}
+    base = with_bucket(df.withColumns(values), order, n_buckets, dense)
     w = Window.partitionBy(*by, BKT).orderBy(*order)
-    local = base.withColumn("_local", F.coalesce(F.sum("_v").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)), F.lit(0)))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    local = base.withColumns({f"_local{v}": F.coalesce(F.sum(v).over(upto), F.lit(0)) for v in values})
     if previous:
         local = local.withColumn("_nth", F.row_number().over(w))
     for new, col in previous.items():
         local = local.withColumn(new, F.lag(col).over(w))
     last = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    totals = base.groupBy(*by, BKT).agg(F.sum("_v").alias("_tot"), *[F.max_by(c, last).alias(f"_last_{n}") for n, c in previous.items()])
+    totals = base.groupBy(*by, BKT).agg(*[F.sum(v).alias(f"_tot{v}") for v in values], *[F.max_by(c, last).alias(f"_last_{n}") for n, c in previous.items()])
     wo = Window.partitionBy(*by).orderBy(BKT)
     offsets = totals.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(BKT).alias("_b2"),
-                            F.coalesce(F.sum("_tot").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                            *[F.coalesce(F.sum(f"_tot{v}").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_off{v}") for v in values],
                             *[F.lag(f"_last_{n}").over(wo).alias(f"_last_{n}") for n in previous])
     if not by:
         offsets = F.broadcast(offsets)  # one row per bucket
     on = F.col(BKT) == F.col("_b2")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_by{i}"))
-    res = local.join(offsets, on).withColumn(out, F.col("_local") + F.col("_off"))
+    res = local.join(offsets, on).withColumns({new: F.col(f"_local{v}") + F.col(f"_off{v}") for new, v in zip([out, *also], values, strict=True)})
     for new in previous:
         res = res.withColumn(new, F.when(F.col("_nth") == 1, F.col(f"_last_{new}")).otherwise(F.col(new)))
-    return res.drop("_v", "_local", "_off", BKT, "_b2", "_nth", *[f"_by{i}" for i in range(len(by))], *[f"_last_{n}" for n in previous])
+    return res.drop(*values, *[f"_local{v}" for v in values], *[f"_off{v}" for v in values], BKT, "_b2", "_nth", *[f"_by{i}" for i in range(len(by))], *[f"_last_{n}" for n in previous])
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),

@@ -14,58 +14,6 @@ from collections import deque
 import numpy as np
 
 
-# ----------------------------------------------------------------------------
-# Budget cuts (shards, greedy packing): boundary recurrences on prefix sums.
-
-def budget_boundaries(lengths: np.ndarray, budget: int, multiple: int = 1) -> tuple[np.ndarray, int]:
-    """Group id per item: a group closes at the first item where its running
-    total reaches ``budget`` (the crossing item is included) and, if
-    ``multiple`` > 1, its item count is a multiple of ``multiple``.
-    Items after the last close get id = number of closed groups (the tail).
-    Returns (group ids, number of closed groups).
-    """
-    n = len(lengths)
-    gid = np.empty(n, dtype=np.int64)
-    cs = np.cumsum(lengths, dtype=np.int64)
-    start, g = 0, 0
-    base = 0
-    while start < n:
-        j = int(np.searchsorted(cs, base + budget, side="left"))
-        if j >= n:
-            break
-        if multiple > 1:
-            cnt = j - start + 1
-            j = start + -(-cnt // multiple) * multiple - 1
-            if j >= n:
-                break
-        gid[start:j + 1] = g
-        base = int(cs[j])
-        start, g = j + 1, g + 1
-    gid[start:] = g
-    return gid, g
-
-
-def greedy_pad_rows(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """In order; a document that does not fit the rest of the row starts a new row.
-
-    Documents longer than ``cap`` are cropped to ``cap`` in a row of their own.
-    Returns (row id, offset) per document.
-    """
-    n = len(lengths)
-    rows = np.empty(n, dtype=np.int64)
-    offs = np.empty(n, dtype=np.int64)
-    row, pos = 0, 0
-    for i in range(n):
-        ln = min(int(lengths[i]), cap)
-        if pos + ln > cap:
-            row, pos = row + 1, 0
-        rows[i], offs[i] = row, pos
-        pos += ln
-        if pos == cap:
-            row, pos = row + 1, 0
-    return rows, offs
-
-
 # ----------------------------------------------------------------------------
 # Best fit with a bounded buffer.
 
@@ -106,117 +54,144 @@ class _LengthIndex:
         return ln, self._pop(ln)
 
 
-def bestfit_crop(lengths: np.ndarray, cap: int, buffer: int = 1000, batch: int = 128,
-                 keep_tail: bool = False):
-    """Best-fit cropping packer.
+Placed = tuple  # (item, row, offset, take, ...)
+
+
+class Packer:
+    """Documents go in one at a time, placements come out when their row is complete."""
+
+    def __init__(self, cap: int, buffer: int):
+        self.cap, self.buffer = cap, buffer
+        self.index = _LengthIndex()
+        self.row, self.pos = 0, 0
+        self.open: list[Placed] = []  # of the row that is being filled
+
+    def _put(self, item, take: int) -> None:
+        self.open.append((item, self.row, self.pos, take))
+        self.pos += take
+
+    def _close(self) -> list[Placed]:
+        done, self.open = self.open, []
+        self.row, self.pos = self.row + 1, 0
+        return done
+
 
-    Before each placement the buffer is refilled while it holds fewer than
-    ``buffer`` documents, one batch of ``batch`` documents at a time.  The
-    largest document that fits the rest of the row is placed (earliest among
-    equals); if none fits, the shortest (earliest among equals) is cropped to
-    fill the row and its remainder is discarded.  Rows are exactly ``cap``
-    long.  Returns lists (doc index, row, offset, take).
+class CropPacker(Packer):
+    """Best-fit cropping: rows are exactly ``cap`` long.
+
+    Before each placement the buffer is refilled while it holds fewer than ``buffer`` documents,
+    one batch of ``batch`` documents at a time.  The largest document that fits the rest of the
+    row is placed (earliest among equals); if none fits, the shortest (earliest among equals) is
+    cropped to fill the row and its remainder is discarded.
     """
-    n = len(lengths)
-    idx = _LengthIndex()
-    nxt = 0
-    out_doc, out_row, out_off, out_take = [], [], [], []
-    row = 0
-    while True:
-        pos = 0
-        placed_start = len(out_doc)
-        while pos < cap:
-            while idx.size < buffer and nxt < n:
-                end = min(n, nxt + batch)
-                for k in range(nxt, end):
-                    idx.add(int(lengths[k]), k)
-                nxt = end
-            if idx.size == 0:
-                break
-            rem = cap - pos
-            hit = idx.pop_largest_fitting(rem)
-            if hit is not None:
-                ln, k = hit
-                out_doc.append(k), out_row.append(row), out_off.append(pos), out_take.append(ln)
-                pos += ln
-            else:
-                ln, k = idx.pop_shortest()
-                out_doc.append(k), out_row.append(row), out_off.append(pos), out_take.append(rem)
-                pos += rem
-        if pos < cap:
-            if not keep_tail:
-                del out_doc[placed_start:], out_row[placed_start:], out_off[placed_start:], out_take[placed_start:]
-            break
-        row += 1
-    return out_doc, out_row, out_off, out_take
-
-
-def bestfit_pad(lengths: np.ndarray, cap: int, buffer: int = 100):
-    """Best-fit padding packer (documents must be <= cap).
-
-    The buffer is refilled one document at a time up to ``buffer``.  The
-    largest fitting document is placed; when none fits the row is padded and
-    closed.  When input and buffer run out the last row is padded.
-    Returns (doc index, row, offset) lists and the content length per row.
+
+    def __init__(self, cap: int, buffer: int = 1000, batch: int = 128, keep_tail: bool = False):
+        super().__init__(cap, buffer)
+        self.batch, self.keep_tail = batch, keep_tail
+        self.waiting: list[tuple[int, object]] = []  # a batch that isn't complete yet
+
+    def _refill(self) -> None:
+        for length, item in self.waiting:
+            self.index.add(length, item)
+        self.waiting = []
+
+    def _place(self) -> list[Placed]:
+        room = self.cap - self.pos
+        hit = self.index.pop_largest_fitting(room)
+        if hit is not None:
+            self._put(hit[1], hit[0])
+        else:
+            self._put(self.index.pop_shortest()[1], room)
+        return self._close() if self.pos == self.cap else []
+
+    def add(self, length: int, item) -> list[Placed]:
+        self.waiting.append((length, item))
+        out: list[Placed] = []
+        if len(self.waiting) == self.batch:
+            self._refill()
+            while self.index.size >= self.buffer:
+                out += self._place()
+        return out
+
+    def end(self) -> list[Placed]:
+        self._refill()
+        out: list[Placed] = []
+        while self.index.size:
+            out += self._place()
+        return out + (self._close() if self.keep_tail else [])
+
+
+class PadPacker(Packer):
+    """Best-fit padding (documents are at most ``cap`` long); placements also tell their row's content.
+
+    The buffer is refilled one document at a time up to ``buffer``.  The largest fitting document
+    is placed; when none fits the row is padded and closed, as is the last one.
     """
-    n = len(lengths)
-    idx = _LengthIndex()
-    nxt = 0
-    out_doc, out_row, out_off, content = [], [], [], []
-    row = 0
-    while True:
-        pos = 0
-        while pos < cap:
-            while idx.size < buffer and nxt < n:
-                idx.add(int(lengths[nxt]), nxt)
-                nxt += 1
-            if idx.size == 0:
-                break
-            hit = idx.pop_largest_fitting(cap - pos)
-            if hit is None:
-                break
-            ln, k = hit
-            out_doc.append(k), out_row.append(row), out_off.append(pos)
-            pos += ln
-        if pos == 0:
-            break
-        content.append(pos)
-        row += 1
-        if idx.size == 0 and nxt >= n:
-            break
-    return out_doc, out_row, out_off, content
-
-
-def first_fit_decreasing(lengths: np.ndarray, cap: int):
-    """First-fit decreasing; documents longer than ``cap`` are cropped to ``cap``.
-
-    Order: length descending, then input position.  A max segment tree over
-    row free space finds the first row with room in O(log rows).
-    Returns (row, offset, take) per document in input order.
+
+    def _close(self) -> list[Placed]:
+        content = self.pos
+        return [(*placed, content) for placed in super()._close()]
+
+    def _place(self) -> list[Placed]:
+        hit = self.index.pop_largest_fitting(self.cap - self.pos)
+        if hit is None:
+            return self._close()
+        self._put(hit[1], hit[0])
+        return self._close() if self.pos == self.cap else []
+
+    def add(self, length: int, item) -> list[Placed]:
+        self.index.add(length, item)
+        out: list[Placed] = []
+        while self.index.size >= self.buffer:
+            out += self._place()
+        return out
+
+    def end(self) -> list[Placed]:
+        out: list[Placed] = []
+        while self.index.size:
+            out += self._place()
+        return out + (self._close() if self.open else [])
+
+
+# ----------------------------------------------------------------------------
+# First fit decreasing.
+
+def first_fit_runs(histogram: dict[int, int], cap: int) -> list[tuple[int, int, int, int, int, int]]:
+    """First-fit decreasing of documents given as {length: number}; lengths are 1 to ``cap``.
+
+    Rows with the same room that follow one another are one run, which equal documents fill alike.
+    Returns (length, nth, first, each, row0, fill): of the documents of a length, the nth line
+    places those from number ``first`` on, ``each`` to a row, from row ``row0`` on, whose first
+    ``fill`` places are taken.  ``nth`` counts from 1.
     """
-    n = len(lengths)
-    take = np.minimum(lengths.astype(np.int64), cap)
-    order = sorted(range(n), key=lambda i: (-int(take[i]), i))
-    size = 1
-    while size < max(1, n):
-        size *= 2
-    tree = [0] * (2 * size)  # free space per row; unopened rows hold cap
-    for i in range(size):
-        tree[size + i] = cap
-    for i in range(size - 1, 0, -1):
-        tree[i] = max(tree[2 * i], tree[2 * i + 1])
-    rows = np.empty(n, dtype=np.int64)
-    offs = np.empty(n, dtype=np.int64)
-    for i in order:
-        need = int(take[i])
-        node = 1
-        while node < size:
-            node = 2 * node if tree[2 * node] >= need else 2 * node + 1
-        r = node - size
-        rows[i], offs[i] = r, cap - tree[node]
-        tree[node] -= need
-        node //= 2
-        while node:
-            tree[node] = max(tree[2 * node], tree[2 * node + 1])
-            node //= 2
-    return rows, offs, take
+    runs: list[tuple[int, int, int]] = []  # (first row, rows, room)
+    rows = 0
+    out = []
+    shortest = min(histogram, default=0)
+    for length in sorted(histogram, reverse=True):
+        left, first, nth = histogram[length], 0, 0
+        new = -(-left // (cap // length))
+        after: list[tuple[int, int, int]] = []
+        opened = rows
+        for row0, number, room in [*runs, (rows, new, cap)]:  # the last are rows that could be opened
+            each = room // length
+            if left and each:
+                whole = min(number, left // each)
+                rest = left - whole * each if whole < number else 0
+                rest = min(rest, each)
+                nth += 1
+                out.append((length, nth, first, each, row0, cap - room))
+                if whole:
+                    after.append((row0, whole, room - each * length))
+                if rest:
+                    after.append((row0 + whole, 1, room - rest * length))
+                left -= whole * each + rest
+                first += whole * each + rest
+                used = whole + (1 if rest else 0)
+                opened = max(opened, row0 + used)
+                row0, number = row0 + used, number - used
+            if number and row0 < opened:
+                after.append((row0, number, room))
+        rows = opened
+        runs = [r for r in after if r[2] >= shortest]
+    return out

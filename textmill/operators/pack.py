@@ -1,26 +1,34 @@
-"""Sharding and sequence packing: plan per lane on lengths, then assemble tokens.
+"""Sharding and sequence packing: plan on lengths, then assemble tokens.
 
 Lanes replace data-parallel ranks: a lane is ``md5(seed|key) mod n_lanes``,
 so a hot source or shard spreads over all lanes, and results are defined per
-lane (the lane count is part of the contract).  A grouped Arrow function
-receives only ``(lane, key, length)`` -- 16 bytes per document -- and returns
-the plan; token arrays are joined to the plan afterwards and each packed row
-(at most T+1 tokens) is assembled by a bounded ``collect_list``.
+lane (the lane count is part of the contract).  Plans are made of narrow rows:
+cuts by budget and greedy packing by ``boundaries``, first-fit decreasing on the
+histogram of lengths, and best fit by streaming a lane's sorted rows past a
+bounded buffer, so no lane has to fit a task.  Token arrays are joined to the
+plan afterwards and each packed row (at most T+1 tokens) is assembled by a
+bounded ``collect_list``.
+
+Keys can be of any type.  Where they repeat or are NULL, rows are told apart by
+their other columns; a NULL length is 0.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions.hashing import hash32
 from ..functions.ranking import running_sum
+from ..functions.sizing import broadcast_if_small
+from ..session import materialised
 from . import kernels
-
-PLAN_SCHEMA = "lane int, key long, row long, offset long, take long"
-
+from .boundaries import budget_successors, grouped, pad_successors, prefixed
 
 LANE_BUDGET = 50_000_000  # tokens or characters of a lane: what one planning task sees
 
@@ -35,14 +43,51 @@ def lanes_for(d: DataFrame, length: str, lane_budget: int = LANE_BUDGET) -> int:
     return max(1, -(-total // lane_budget))
 
 
-def _lane_input(d: DataFrame, key: str, length: str, n_lanes: int | None, seed: int) -> DataFrame:
+SAME = ["_h1", "_h2"]  # tell rows of one key apart where keys repeat or are missing
+ORDER = ["key", *SAME, "_nth"]
+
+
+def _identity(d: DataFrame, key: str) -> tuple[dict[str, Column], bool]:
+    """Values of ``SAME``, and whether they are needed: a key that tells all rows apart saves reading the others."""
+    keys = d.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    if keys.filter((F.col("_n") > 1) | F.col("_k").isNull()).isEmpty():
+        return {c: F.lit(0).cast("long") for c in SAME}, False
+    return {"_h1": F.xxhash64(*d.columns), "_h2": F.hash(*d.columns).cast("long")}, True
+
+
+def numbered_rows(d: DataFrame, key: str, length: str) -> DataFrame:
+    """(key, _h1, _h2, _nth, len) of each row; ``ORDER`` is a total order."""
+    size = F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long"))
+    rows = d.select(F.col(key).alias("key"), size.alias("len"), *[c.alias(n) for n, c in _identity(d, key)[0].items()])
+    copies = rows.groupBy("key", *SAME, "len").agg(F.count(F.lit(1)).alias("_n"))
+    return copies.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+
+def lane_rows(d: DataFrame, key: str, length: str, n_lanes: int | None, seed: int) -> DataFrame:
     n_lanes = n_lanes or lanes_for(d, length)
-    return d.select(lane_of(key, n_lanes, seed).alias("lane"), F.col(key).cast("long").alias("key"),
-                    F.col(length).cast("long").alias("len"))
+    return numbered_rows(d, key, length).withColumn("lane", lane_of("key", n_lanes, seed))
+
 
+def with_plan(d: DataFrame, plan: DataFrame, key: str) -> DataFrame:
+    """Each line of a plan of ``d`` (with ``key`` and ``SAME``) with its row, null-safe.
+
+    Rows that agree in every column are one row here, which all their lines share.
+    """
+    same, repeated = _identity(d, key)
+    rows = d.withColumns(same)
+    if repeated:
+        rows = rows.dropDuplicates([key, *SAME])
+    names = {"key": "_pk", **{c: f"_p{c}" for c in SAME}}
+    lines = plan.drop("_nth").withColumnsRenamed(names)
+    on = F.col(key).eqNullSafe(F.col("_pk"))
+    for c in SAME:
+        on = on & (F.col(c) == F.col(f"_p{c}"))
+    return rows.join(lines, on).drop(*SAME, *names.values())
 
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("key", kind="stable").reset_index(drop=True)
+
+def _most(items: DataFrame, unit: int) -> int:
+    """A bound on the groups of a lane that hold at least ``unit``."""
+    return int((items.agg(F.max("c")).first()[0] or 0) // max(1, unit) + 2)
 
 
 # ---------------------------------------------------------------------------
@@ -58,99 +103,116 @@ def shard_by_budget(d: DataFrame, budget: int, key: str = "doc_id", length: str
     characters are at least ``keep_tail * budget``; ``keep_tail=None`` drops it.
     Returns ``d`` with ``lane`` and ``shard`` (per lane) for kept documents.
     """
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        lens = pdf["len"].to_numpy(dtype=np.int64)
-        gid, n_closed = kernels.budget_boundaries(lens, budget, multiple)
-        tail = gid == n_closed
-        if tail.any():
-            keep = keep_tail is not None and int(lens[tail].sum()) >= keep_tail * budget
-            if not keep:
-                pdf, gid = pdf[~tail], gid[~tail]
-        return pd.DataFrame({"lane": pdf["lane"].astype("int32"), "key": pdf["key"], "shard": gid})
-
-    plan = _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(
-        fn, "lane int, key long, shard long")
-    return d.join(plan.withColumnRenamed("key", key), key)
+    items = prefixed(lane_rows(d, key, length, n_lanes, seed), ORDER)
+    got = grouped(items, budget_successors(items, budget, multiple), _most(items, budget))
+    kept = F.col("closed")
+    if keep_tail is not None:
+        whole = items.groupBy("lane").agg(F.max("c").alias("_all")).withColumnRenamed("lane", "_l")
+        got = got.join(whole, F.col("lane") == F.col("_l")).drop("_l")
+        kept = kept | (F.col("_all") - F.col("base") >= F.lit(keep_tail * budget))
+    plan = got.filter(kept).select("key", *SAME, "lane", F.col("group").alias("shard"))
+    return with_plan(d, plan, key)
 
 
 # ---------------------------------------------------------------------------
 # Packing plans
 
-def plan_bestfit_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
-                      buffer: int = 1000, batch: int = 128, keep_tail: bool = False) -> DataFrame:
-    cap = T + 1
+def _streamed(rows: DataFrame, packer: Callable[[], kernels.Packer], with_content: bool) -> DataFrame:
+    """The plan of a packer for each lane: sorted rows stream past it, and it holds its buffer only."""
+    key = rows.schema["key"].dataType
+    names = ["lane", "key", *SAME, "row", "offset", "take", "content_len"][:None if with_content else -1]
+    schema = T_.StructType([T_.StructField(n, T_.IntegerType() if n == "lane" else key if n == "key" else T_.LongType()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, own, types = None, None, None
+
+        def lines(placed):
+            if placed:
+                cols = zip(*((lane, *item, *rest)[:len(names)] for item, *rest in placed), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            types = [pa.int32() if n == "lane" else kind if n == "key" else pa.int64() for n in names]
+            placed: list = []
+            for at, size, *item in zip(*(batch.column(c).to_pylist() for c in ("lane", "len", "key", *SAME)), strict=True):
+                if at != lane:
+                    if own is not None:
+                        placed += own.end()
+                    yield from lines(placed)
+                    lane, own, placed = at, packer(), []
+                placed += own.add(size, item)
+            yield from lines(placed)
+        if own is not None:
+            yield from lines(own.end())
+
+    return rows.repartition("lane").sortWithinPartitions("lane", *ORDER).mapInArrow(run, schema)
 
-    def fn(pdf):
-        pdf = _sorted(pdf)
-        k, r, o, t = kernels.bestfit_crop(pdf["len"].to_numpy(np.int64), cap, buffer, batch, keep_tail)
-        return pd.DataFrame({"lane": pdf["lane"].iloc[k].astype("int32").to_numpy() if k else [],
-                             "key": pdf["key"].to_numpy()[k] if k else [], "row": r, "offset": o, "take": t})
 
-    return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
+def plan_bestfit_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
+                      buffer: int = 1000, batch: int = 128, keep_tail: bool = False) -> DataFrame:
+    """Full rows of the longest documents of a buffer that fit, the shortest cropped where none does; empty ones aren't placed."""
+    rows = lane_rows(d, key, length, n_lanes, seed).filter(F.col("len") > 0)
+    return _streamed(rows, lambda: kernels.CropPacker(T + 1, buffer, batch, keep_tail), False)
 
 
 def plan_bestfit_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
                      buffer: int = 100) -> DataFrame:
-    """Plan plus ``content_len`` of each row (documents must be <= T+1 tokens)."""
+    """Plan plus ``content_len`` of each row; documents are cut to T+1 tokens, empty ones aren't placed."""
     cap = T + 1
-
-    def fn(pdf):
-        pdf = _sorted(pdf)
-        lens = pdf["len"].to_numpy(np.int64)
-        k, r, o, content = kernels.bestfit_pad(lens, cap, buffer)
-        c = np.asarray(content, dtype=np.int64)
-        r = np.asarray(r, dtype=np.int64)
-        return pd.DataFrame({"lane": pdf["lane"].to_numpy()[k].astype("int32") if k else [],
-                             "key": pdf["key"].to_numpy()[k] if k else [], "row": r,
-                             "offset": o, "take": lens[k] if k else [],
-                             "content_len": c[r] if len(r) else []})
-
-    return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(
-        fn, PLAN_SCHEMA + ", content_len long")
+    rows = lane_rows(d, key, length, n_lanes, seed).filter(F.col("len") > 0)
+    rows = rows.withColumn("len", F.least(F.col("len"), F.lit(cap).cast("long")))
+    return _streamed(rows, lambda: kernels.PadPacker(cap, buffer), True)
 
 
 def plan_greedy_crop(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42,
                      keep_tail: bool = False) -> DataFrame:
     """Docs in order; the one that overflows is cropped; the incomplete last row only with ``keep_tail``."""
     cap = T + 1
-
-    def fn(pdf):
-        pdf = _sorted(pdf)
-        lens = pdf["len"].to_numpy(np.int64)
-        gid, n_closed = kernels.budget_boundaries(lens, cap)
-        before = pd.Series(lens).groupby(gid).cumsum().to_numpy() - lens
-        take = np.minimum(lens, cap - before)
-        full = (gid < n_closed) | keep_tail
-        return pd.DataFrame({"lane": pdf["lane"].astype("int32"), "key": pdf["key"], "row": gid,
-                             "offset": before, "take": take})[full]
-
-    return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
+    items = prefixed(lane_rows(d, key, length, n_lanes, seed), ORDER)
+    got = grouped(items, budget_successors(items, cap), _most(items, cap))
+    before = F.col("p") - F.col("base")
+    return got.filter(F.col("closed") | F.lit(keep_tail)).select(
+        "lane", "key", *SAME, F.col("group").alias("row"), before.alias("offset"), F.least(F.col("len"), F.lit(cap) - before).alias("take"))
 
 
 def plan_greedy_pad(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42) -> DataFrame:
+    """In order; a document that doesn't fit the rest of the row starts a new one; longer ones are cropped to a row."""
     cap = T + 1
-
-    def fn(pdf):
-        pdf = _sorted(pdf)
-        lens = pdf["len"].to_numpy(np.int64)
-        rows, offs = kernels.greedy_pad_rows(lens, cap)
-        return pd.DataFrame({"lane": pdf["lane"].astype("int32"), "key": pdf["key"], "row": rows,
-                             "offset": offs, "take": np.minimum(lens, cap)})
-
-    return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
+    rows = lane_rows(d, key, length, n_lanes, seed).withColumn("len", F.least(F.col("len"), F.lit(cap).cast("long")))
+    items = prefixed(rows, ORDER)
+    got = grouped(items, pad_successors(items, cap), _most(items, cap // 2))  # two neighbours hold more than cap
+    return got.select("lane", "key", *SAME, F.col("group").alias("row"), (F.col("p") - F.col("base")).alias("offset"), F.col("len").alias("take"))
 
 
 def plan_ffd(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None = None, seed: int = 42) -> DataFrame:
-    cap = T + 1
+    """First-fit decreasing, ties in order; longer documents are cropped to T+1 tokens, empty ones aren't placed.
 
-    def fn(pdf):
-        pdf = _sorted(pdf)
-        rows, offs, take = kernels.first_fit_decreasing(pdf["len"].to_numpy(np.int64), cap)
-        return pd.DataFrame({"lane": pdf["lane"].astype("int32"), "key": pdf["key"], "row": rows,
-                             "offset": offs, "take": take})
-
-    return _lane_input(d, key, length, n_lanes, seed).groupBy("lane").applyInPandas(fn, PLAN_SCHEMA)
+    Documents of one length are alike, so the packer places the histogram of a lane's lengths
+    (at most T+1 lines): runs of documents into runs of rows.  A document finds its place by
+    its number among those of its length.
+    """
+    cap = T + 1
+    rows = lane_rows(d, key, length, n_lanes, seed).filter(F.col("len") > 0)
+    rows = rows.withColumn("len", F.least(F.col("len"), F.lit(cap).cast("long")))
+    rows = running_sum(rows, F.lit(1).cast("long"), ORDER, by=["lane", "len"], out="at", inclusive=False)
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = kernels.first_fit_runs(dict(zip(pdf["len"].tolist(), pdf["n"].tolist(), strict=True)), cap)
+        out = pd.DataFrame(lines, columns=["len", "nth", "first", "each", "row0", "fill"], dtype="int64")
+        return out.assign(lane=pdf["lane"].iloc[0])[["lane", *out.columns]]
+
+    histogram = rows.groupBy("lane", "len").agg(F.count(F.lit(1)).alias("n"))
+    runs = histogram.groupBy("lane").applyInPandas(place, "lane int, len long, nth long, first long, each long, row0 long, fill long")
+    runs = materialised(runs, "ffd-runs")
+    # the run of a document is the last one that starts at or before its number
+    own = rows.select("lane", "len", "key", *SAME, "at", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("one"))
+    starts = runs.select("lane", "len", F.col("first").alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("one"))
+    met = running_sum(own.unionByName(starts, allowMissingColumns=True), "one", ["at", "kind"], by=["lane", "len"], out="nth").filter(F.col("kind") == 1)
+    met = met.join(broadcast_if_small(runs), ["lane", "len", "nth"])
+    past = F.col("at") - F.col("first")
+    return met.select("lane", "key", *SAME, (F.col("row0") + F.expr("(at - first) div each")).alias("row"),
+                      (F.col("fill") + past % F.col("each") * F.col("len")).alias("offset"), F.col("len").alias("take"))
 
 
 # ---------------------------------------------------------------------------
@@ -158,21 +220,22 @@ def plan_ffd(d: DataFrame, T: int, key: str, length: str, n_lanes: int | None =
 
 def assemble_rows(plan: DataFrame, tokens: DataFrame, T: int, key: str = "doc_id", ids: str = "tokens",
                   pad_id: int = 0, mask: str | None = None) -> DataFrame:
-    """Join tokens to the plan and build each row: ``inputs = row[:-1]``, ``targets = row[1:]``.
+    """Join tokens to their plan and build each row: ``inputs = row[:-1]``, ``targets = row[1:]``.
+
+    ``tokens`` is the frame that was planned.
 
     With ``mask``, targets are -1 where ``mask[1:] == 0`` and, in padded rows,
     at positions >= content_len - 1.
     """
     cap = T + 1
-    cols = [F.col(key).cast("long").alias("key"), F.col(ids).alias("_ids")]
-    if mask:
-        cols.append(F.col(mask).alias("_mask"))
-    j = plan.join(tokens.select(*cols), "key")
-    piece = [F.col("offset").alias("o"), F.slice("_ids", 1, F.col("take").cast("int")).alias("ids")]
+    j = with_plan(tokens, plan.select("key", *SAME, *[F.col(c).alias(f"_{c}") for c in ("lane", "row", "offset", "take")]), key)
+    size = F.col("_take").cast("int")
+    piece = [F.col("_offset").alias("o"), F.slice(ids, 1, size).alias("ids")]
     if mask:
-        piece.append(F.slice("_mask", 1, F.col("take").cast("int")).alias("m"))
-    g = j.groupBy("lane", "row").agg(F.array_sort(F.collect_list(F.struct(*piece))).alias("_p"),
-                                     F.sum("take").alias("content_len"))
+        piece.append(F.slice(mask, 1, size).alias("m"))
+    j = j.filter(F.col("_take") > 0)
+    g = j.groupBy(F.col("_lane").alias("lane"), F.col("_row").alias("row")).agg(F.array_sort(F.collect_list(F.struct(*piece))).alias("_p"),
+                                                                                F.sum("_take").alias("content_len"))
     row = F.flatten(F.transform("_p", lambda p: p["ids"]))
     padn = F.greatest(F.lit(cap) - F.size(row), F.lit(0))
     row = F.concat(row, F.array_repeat(F.lit(pad_id), padn))
@@ -212,11 +275,12 @@ def chunk_flat(d: DataFrame, T: int, key: str = "doc_id", ids: str = "tokens", l
     The incomplete last row is dropped unless ``keep_tail``.
     """
     cap = T + 1
-    sizes = d.select(F.col(key).alias("_key"), (F.col(length) if length else F.size(ids)).cast("long").alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("t"))
+    sized = d.withColumn("_n", (F.col(length) if length else F.size(ids)).cast("long"))
+    sizes = numbered_rows(sized, key, "_n")
+    total = sizes.agg(F.sum("len").alias("t"))
     n_rows = total.select((F.ceil(F.col("t") / cap) if keep_tail else F.floor(F.col("t") / cap)).alias("n_rows"))
-    starts = running_sum(sizes, "_n", ["_key"], out="start", inclusive=False)
-    d = d.join(starts, F.col(key) == F.col("_key"))
+    starts = running_sum(sizes, "len", ORDER, out="start", inclusive=False).select("key", *SAME, "start")
+    d = with_plan(sized, starts, key)
     r0 = (F.col("start") / cap).cast("long")
     r1 = ((F.col("start") + F.col("_n") - 1) / cap).cast("long")
     pieces = d.filter(F.col("_n") > 0).select(key, "start", ids, F.explode(F.sequence(r0, r1)).alias("row"))

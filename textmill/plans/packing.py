@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters, pack
 from ..operators import tokenize as tok
 from ..operators.mix import seeded_shuffle
+from ..session import materialised
 from .fixtures import SEED, table
 from .registry import query
 from .tokens import BYTES_SQL, rendered
@@ -66,7 +67,19 @@ def q_shard_by_budget(spark, sf_dir):
     return r.select("doc_id", "lane", "shard")
 
 
-@query("shard_by_budget_aligned")
+# One step a document: where its lane's open shard, or row, stands after it.
+WALK_SQL = """o AS (SELECT lane, doc_id, len, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS i FROM d)"""
+
+
+@query("shard_by_budget_aligned", oracle=f"""WITH RECURSIVE {lane_sql('length(text)')}, {WALK_SQL},
+w(lane, doc_id, i, shard, chars, docs, closed) AS (
+  SELECT lane, doc_id, i, 0::BIGINT, len, 1::BIGINT, false FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.lane, o.doc_id, o.i, CASE WHEN full_ THEN shard + 1 ELSE shard END, CASE WHEN full_ THEN 0 ELSE chars END + o.len,
+         CASE WHEN full_ THEN 0 ELSE docs END + 1, false
+  FROM (SELECT *, chars >= {SHARD_BUDGET} AND docs % 8 = 0 AS full_ FROM w) x JOIN o ON o.lane = x.lane AND o.i = x.i + 1),
+e AS (SELECT lane, shard, max(docs) AS n_docs, max(chars) AS n_chars FROM w GROUP BY lane, shard)
+SELECT lane, shard, n_docs, n_chars FROM e WHERE n_chars >= {SHARD_BUDGET} AND n_docs % 8 = 0""")
 def q_shard_by_budget_aligned(spark, sf_dir):
     """Row-group aligned shards (doc count a multiple of 8 here; 1024 for real shards); tail dropped."""
     d = doc_chars(spark, sf_dir)
@@ -159,7 +172,17 @@ def q_pack_bestfit_crop(spark, sf_dir):
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
-@query("pack_greedy_pad")
+@query("pack_greedy_pad", oracle=f"""WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {WALK_SQL},
+w(lane, doc_id, i, row, pos, take) AS (
+  SELECT lane, doc_id, i, 0::BIGINT, 0::BIGINT, least(len, {CAP}) FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.lane, o.doc_id, o.i, w.row + CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 1 ELSE 0 END,
+         CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 0 ELSE w.pos + w.take END, least(o.len, {CAP})
+  FROM w JOIN o ON o.lane = w.lane AND o.i = w.i + 1),
+k AS (SELECT w.*, list_slice(list_prepend(256, {BYTES_SQL}), 1, take) AS toks FROM w JOIN documents USING (doc_id)),
+g AS (SELECT lane, row, sum(take)::BIGINT AS content_len, sum(list_sum(toks))::BIGINT AS total, arg_max(toks[-1], pos) AS last FROM k GROUP BY lane, row)
+SELECT lane, row, content_len, (total + ({CAP} - content_len) * 256 - CASE WHEN content_len = {CAP} THEN last ELSE 256 END)::BIGINT AS inputs_sum,
+       (total + ({CAP} - content_len) * 256 - 256)::BIGINT AS targets_sum FROM g""")
 def q_pack_greedy_pad(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
     plan = pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
@@ -186,15 +209,11 @@ def q_pack_bestfit_pad(spark, sf_dir):
 
 @query("packing_stats")
 def q_packing_stats(spark, sf_dir):
-    d = doc_tokens(spark, sf_dir).select("doc_id", "n_tokens")
-    plans = {
-        "bestfit_crop": pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
-        "greedy_crop": pack.plan_greedy_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
-        "greedy_pad": pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
-        "ffd": pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED),
-    }
+    d = materialised(doc_tokens(spark, sf_dir).select("doc_id", "n_tokens"), "packing-lengths")  # every plan reads them
+    n = lanes(d, "n_tokens")
     out = None
-    for name, plan in plans.items():
-        s = pack.packing_stats(plan, d, T, "doc_id", "n_tokens", name)
+    for name, planner in (("bestfit_crop", pack.plan_bestfit_crop), ("greedy_crop", pack.plan_greedy_crop),
+                          ("greedy_pad", pack.plan_greedy_pad), ("ffd", pack.plan_ffd)):
+        s = pack.packing_stats(planner(d, T, "doc_id", "n_tokens", n_lanes=n, seed=SEED), d, T, "doc_id", "n_tokens", name)
         out = s if out is None else out.unionByName(s)
     return out
