@@ -75,6 +75,10 @@ class Packer:
         self.row, self.pos = self.row + 1, 0
         return done
 
+    def buffered(self) -> list[tuple[int, object]]:
+        """(length, item) of the buffer; added again in this order, they are chosen alike."""
+        return [(length, item) for length in self.index.lens for item in self.index.by_len[length]]
+
 
 class CropPacker(Packer):
     """Best-fit cropping: rows are exactly ``cap`` long.

@@ -10,7 +10,7 @@ from ..operators.mix import seeded_shuffle
 from ..session import materialised
 from .fixtures import SEED, table
 from .registry import query
-from .tokens import BYTES_SQL, rendered
+from .tokens import BYTES_SQL, RENDER_SQL, rendered
 
 T = 2048
 CAP = T + 1
@@ -29,6 +29,64 @@ nl AS (SELECT greatest(1, ceil(sum(len) / {LANE_BUDGET}.0))::BIGINT AS n FROM d0
 d AS (SELECT ('0x' || substr(md5(concat_ws('|', {SEED}, doc_id)), 1, 8))::BIGINT % nl.n AS lane, doc_id, len FROM d0, nl)"""
 
 
+def lists_sql(name: str = "d", key: str = "doc_id") -> str:
+    """``l``: of each lane its documents with tokens, in order, as a list of (-length, place)."""
+    return f"""o AS (SELECT lane, {key} AS key, len, row_number() OVER (PARTITION BY lane ORDER BY {key}) AS i FROM {name} WHERE len > 0),
+l AS (SELECT lane, list({{'neg': -len, 'i': i}} ORDER BY i) AS docs FROM o GROUP BY lane)"""
+
+
+# Best fit, one placement a step: the buffer is a list, of which the first of the longest that fit
+# is the smallest entry, and the first of the shortest the smallest of those with the sign turned.
+def bestfit_crop_sql(buffer: int = 1000, batch: int = 128) -> str:
+    return f"""{lists_sql()},
+s(lane, docs, held, nxt, row, pos, i, "offset", take) AS (
+  SELECT lane, docs, []::STRUCT(neg BIGINT, i BIGINT)[], 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM l
+  UNION ALL
+  SELECT lane, docs, list_filter(held, lambda x: x.i <> best.i), nxt, CASE WHEN pos + cut = {CAP} THEN row + 1 ELSE row END,
+         CASE WHEN pos + cut = {CAP} THEN 0 ELSE pos + cut END, best.i, row * {CAP} + pos, cut
+  FROM (SELECT *, CASE WHEN fit IS NOT NULL THEN fit ELSE {{'neg': -least_.len, 'i': least_.i}} END AS best,
+               CASE WHEN fit IS NOT NULL THEN -fit.neg ELSE {CAP} - pos END AS cut
+        FROM (SELECT *, list_min(list_filter(held, lambda x: x.neg >= pos - {CAP})) AS fit,
+                     list_min(list_transform(held, lambda x: {{'len': -x.neg, 'i': x.i}})) AS least_
+              FROM (SELECT lane, docs, list_concat(held, list_slice(docs, nxt + 1, upto)) AS held, least(upto, len(docs)) AS nxt, row, pos
+                    FROM (SELECT *, CASE WHEN len(held) < {buffer} THEN nxt + {batch} * (({buffer} - len(held) + {batch - 1}) // {batch}) ELSE nxt END AS upto FROM s))
+              WHERE len(held) > 0))),
+p AS (SELECT o.lane, o.key, s."offset" // {CAP} AS row, s."offset" % {CAP} AS "offset", s.take FROM s JOIN o ON o.lane = s.lane AND o.i = s.i)"""
+
+
+def bestfit_pad_sql(buffer: int, name: str, key: str) -> str:
+    return f"""{lists_sql(name, key)},
+s(lane, docs, held, nxt, row, pos, i, "offset", take) AS (
+  SELECT lane, docs, []::STRUCT(neg BIGINT, i BIGINT)[], 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM l
+  UNION ALL
+  SELECT lane, docs, CASE WHEN fit IS NULL THEN held ELSE list_filter(held, lambda x: x.i <> fit.i) END, nxt, CASE WHEN fit IS NULL THEN row + 1 ELSE row END,
+         CASE WHEN fit IS NULL THEN 0 ELSE pos - fit.neg END, fit.i, row * {CAP} + pos, -fit.neg
+  FROM (SELECT *, list_min(list_filter(held, lambda x: x.neg >= pos - {CAP})) AS fit
+        FROM (SELECT lane, docs, list_concat(held, list_slice(docs, nxt + 1, upto)) AS held, least(upto, len(docs)) AS nxt, row, pos
+              FROM (SELECT *, greatest(nxt, nxt + {buffer} - len(held)) AS upto FROM s))
+        WHERE len(held) > 0)),
+placed AS (SELECT o.lane, o.key, s."offset" // {CAP} AS row, s."offset" % {CAP} AS "offset", s.take FROM s JOIN o ON o.lane = s.lane AND o.i = s.i)"""
+
+
+# First fit decreasing, one document a step: the room of each row is a list.
+FFD_SQL = f"""o AS (SELECT lane, doc_id AS key, least(len, {CAP}) AS len, row_number() OVER (PARTITION BY lane ORDER BY least(len, {CAP}) DESC, doc_id) AS i FROM d WHERE len > 0),
+s(lane, i, room, row, "offset", take) AS (
+  SELECT lane, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM (SELECT DISTINCT lane FROM o)
+  UNION ALL
+  SELECT lane, i, CASE WHEN spot IS NULL THEN list_append(room, {CAP} - len) ELSE list_transform(room, lambda x, k: CASE WHEN k = spot THEN x - len ELSE x END) END,
+         coalesce(spot - 1, len(room)), CASE WHEN spot IS NULL THEN 0 ELSE {CAP} - room[spot] END, len
+  FROM (SELECT s.lane, o.i, o.len, s.room, list_min(list_filter(range(1, len(s.room) + 1), lambda k: s.room[k] >= o.len)) AS spot
+        FROM s JOIN o ON o.lane = s.lane AND o.i = s.i + 1)),
+p AS (SELECT o.lane, o.key, s.row, s."offset", s.take FROM s JOIN o ON o.lane = s.lane AND o.i = s.i)"""
+
+# Sums of the packed rows of documents; each starts with 256, as does its padding.
+SUMS_SQL = f"""k AS (SELECT p.*, list_slice(list_prepend(256, {BYTES_SQL}), 1, take) AS toks FROM p JOIN documents ON doc_id = p.key),
+g AS (SELECT lane, row, sum(take)::BIGINT AS content_len, sum(list_sum(toks))::BIGINT AS total, arg_max(toks[-1], "offset") AS last FROM k GROUP BY lane, row)
+SELECT lane, row, content_len, (total + ({CAP} - content_len) * 256 - CASE WHEN content_len = {CAP} THEN last ELSE 256 END)::BIGINT AS inputs_sum,
+       (total + ({CAP} - content_len) * 256 - 256)::BIGINT AS targets_sum FROM g"""
+FULL_SQL = f"p AS (SELECT * FROM p0 QUALIFY sum(take) OVER (PARTITION BY lane, row) = {CAP})"  # incomplete rows are dropped
+
+
 def doc_chars(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
@@ -71,6 +129,14 @@ def q_shard_by_budget(spark, sf_dir):
 WALK_SQL = """o AS (SELECT lane, doc_id, len, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS i FROM d)"""
 
 
+PAD_WALK_SQL = f"""w(lane, doc_id, i, row, pos, take) AS (
+  SELECT lane, doc_id, i, 0::BIGINT, 0::BIGINT, least(len, {CAP}) FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.lane, o.doc_id, o.i, w.row + CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 1 ELSE 0 END,
+         CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 0 ELSE w.pos + w.take END, least(o.len, {CAP})
+  FROM w JOIN o ON o.lane = w.lane AND o.i = w.i + 1)"""
+
+
 @query("shard_by_budget_aligned", oracle=f"""WITH RECURSIVE {lane_sql('length(text)')}, {WALK_SQL},
 w(lane, doc_id, i, shard, chars, docs, closed) AS (
   SELECT lane, doc_id, i, 0::BIGINT, len, 1::BIGINT, false FROM o WHERE i = 1
@@ -165,7 +231,10 @@ def _row_summary(rows):
                        s("targets").alias("targets_sum"))
 
 
-@query("pack_bestfit_crop")
+BESTFIT_CROP_SQL = bestfit_crop_sql().replace("\np AS (", "\np0 AS (") + ",\n" + FULL_SQL
+
+
+@query("pack_bestfit_crop", oracle=f"WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {BESTFIT_CROP_SQL},\n{SUMS_SQL}")
 def q_pack_bestfit_crop(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
     plan = pack.plan_bestfit_crop(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
@@ -173,30 +242,27 @@ def q_pack_bestfit_crop(spark, sf_dir):
 
 
 @query("pack_greedy_pad", oracle=f"""WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {WALK_SQL},
-w(lane, doc_id, i, row, pos, take) AS (
-  SELECT lane, doc_id, i, 0::BIGINT, 0::BIGINT, least(len, {CAP}) FROM o WHERE i = 1
-  UNION ALL
-  SELECT o.lane, o.doc_id, o.i, w.row + CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 1 ELSE 0 END,
-         CASE WHEN w.pos + w.take + least(o.len, {CAP}) > {CAP} THEN 0 ELSE w.pos + w.take END, least(o.len, {CAP})
-  FROM w JOIN o ON o.lane = w.lane AND o.i = w.i + 1),
-k AS (SELECT w.*, list_slice(list_prepend(256, {BYTES_SQL}), 1, take) AS toks FROM w JOIN documents USING (doc_id)),
-g AS (SELECT lane, row, sum(take)::BIGINT AS content_len, sum(list_sum(toks))::BIGINT AS total, arg_max(toks[-1], pos) AS last FROM k GROUP BY lane, row)
-SELECT lane, row, content_len, (total + ({CAP} - content_len) * 256 - CASE WHEN content_len = {CAP} THEN last ELSE 256 END)::BIGINT AS inputs_sum,
-       (total + ({CAP} - content_len) * 256 - 256)::BIGINT AS targets_sum FROM g""")
+{PAD_WALK_SQL},
+p AS (SELECT lane, doc_id AS key, row, pos AS "offset", take FROM w),
+{SUMS_SQL}""")
 def q_pack_greedy_pad(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
     plan = pack.plan_greedy_pad(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
-@query("pack_ffd")
+@query("pack_ffd", oracle=f"WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {FFD_SQL},\n{SUMS_SQL}")
 def q_pack_ffd(spark, sf_dir):
     d = doc_tokens(spark, sf_dir)
     plan = pack.plan_ffd(d, T, "doc_id", "n_tokens", n_lanes=lanes(d, "n_tokens"), seed=SEED)
     return _row_summary(pack.assemble_rows(plan, d, T, "doc_id", "tokens", pad_id=tok.ByteEncoder().bos))
 
 
-@query("pack_bestfit_pad")
+@query("pack_bestfit_pad", oracle=f"""WITH RECURSIVE {RENDER_SQL},
+nl AS (SELECT greatest(1, ceil(sum(n_tokens) / {LANE_BUDGET}.0))::BIGINT AS n FROM r),
+e AS (SELECT ('0x' || substr(md5(concat_ws('|', {SEED}, conv_id)), 1, 8))::BIGINT % nl.n AS lane, conv_id, n_tokens AS len FROM r, nl),
+{bestfit_pad_sql(100, 'e', 'conv_id')}
+SELECT lane, row, sum(take)::BIGINT AS content_len, sum(n_supervised)::BIGINT AS n_trained FROM placed JOIN r ON r.conv_id = placed.key GROUP BY lane, row""")
 def q_pack_bestfit_pad(spark, sf_dir):
     """Rendered conversations (cut to T tokens) packed with padding; masked targets."""
     r = rendered(spark, sf_dir, max_tokens=T).filter(F.col("reason").isNull()).withColumn(
@@ -207,7 +273,22 @@ def q_pack_bestfit_pad(spark, sf_dir):
                        F.size(F.filter("targets", lambda t: t >= 0)).cast("long").alias("n_trained"))
 
 
-@query("packing_stats")
+def _stats_sql(name: str, ctes: str) -> str:
+    return f"""SELECT '{name}' AS packer, rows, round(used / (rows * {CAP}) * 100.0, 4) AS util_pct, round((total - used) / total * 100.0, 4) AS crop_pct,
+       round((rows * {CAP} - used) / (rows * {CAP}) * 100.0, 4) AS pad_pct, round(over_ / total * 100.0, 4) AS floor_pct
+FROM (WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {ctes}
+      SELECT (SELECT count(*) FROM (SELECT DISTINCT lane, row FROM p)) AS rows, (SELECT sum(take) FROM p) AS used, (SELECT sum(len) FROM d) AS total,
+             (SELECT sum(greatest(len - {CAP}, 0)) FROM d) AS over_)"""
+
+
+GREEDY_CROP_SQL = f"""{_boundary_sql('strlen(text) + 1', CAP).split("AS lane, doc_id, len FROM d0, nl)," + chr(10))[1]},
+p AS (SELECT lane, grp AS row, least(len, {CAP} - (cs - len - base)) AS take FROM s2 WHERE grp < n_closed)"""
+GREEDY_PAD_SQL = f"""{WALK_SQL}, {PAD_WALK_SQL},
+p AS (SELECT lane, row, take FROM w)"""
+
+
+@query("packing_stats", oracle=" UNION ALL ".join(_stats_sql(n, c) for n, c in (
+    ("bestfit_crop", BESTFIT_CROP_SQL), ("greedy_crop", GREEDY_CROP_SQL), ("greedy_pad", GREEDY_PAD_SQL), ("ffd", FFD_SQL))))
 def q_packing_stats(spark, sf_dir):
     d = materialised(doc_tokens(spark, sf_dir).select("doc_id", "n_tokens"), "packing-lengths")  # every plan reads them
     n = lanes(d, "n_tokens")

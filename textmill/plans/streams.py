@@ -9,16 +9,41 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..operators.pack import lane_of
+from ..session import materialised, scratch_path
 from ..sources import shards as S
 from ..streaming import jobs
+from ..streaming.packing import packed_rows, stream_pack
 from . import runs  # noqa: F401  the batch EMA's oracle
 from .chats import REQUEST_SQL, convs, request_params
-from .fixtures import source_docs, table
+from .fixtures import SEED, source_docs, table
 from .io import positioned
+from .packing import BESTFIT_CROP_SQL, SUMS_SQL, T, doc_tokens, lane_sql, lanes
 from .registry import ORACLES, query
 
 
+ROWS_PER_FILE = 50_000
+
+
+def sliced(d, at):
+    """``d`` cut by ``at`` into frames of one file each, in order: as many as the rows fill, four at least.
+
+    Written one after the other, they arrive in this order, as the file source goes by modification time.
+    """
+    d = d.withColumn("_at", at)
+    n = max(4, -(-d.count() // ROWS_PER_FILE))
+    ordered = materialised(d.repartitionByRange(n, "_at"), "stream-slices")  # a slice reads its own files only
+    edges = [int(x) for x in ordered.approxQuantile("_at", [k / n for k in range(1, n)], 0.1 / n)]
+    after = [None, *sorted(set(edges))]
+    for lo, hi in zip(after, [*after[1:], None], strict=True):
+        part = ordered
+        if lo is not None:
+            part = part.filter(F.col("_at") >= lo)
+        if hi is not None:
+            part = part.filter(F.col("_at") < hi)
+        yield part.drop("_at").coalesce(1)
+
+
 @query("stream_tokenize_new_shards", oracle="""
 SELECT CAST(substr(source, 4) AS INTEGER) AS shard_id, count(*) AS n_docs, sum(strlen(text) + 1)::BIGINT AS n_tokens
 FROM documents GROUP BY 1""")
@@ -56,12 +81,33 @@ def q_stream_mix_counts(spark, sf_dir):
 
 @query("stream_ema", oracle=ORACLES["ema_debiased"])
 def q_stream_ema(spark, sf_dir):
-    """The events arrive in four files, in time order; the result is that of the batch EMA."""
+    """The events arrive in files, in time order; the result is that of the batch EMA."""
     src, out, ck = (scratch_path(spark, n) for n in ("stream-events", "stream-ema", "stream-ema-ck"))
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    lo, hi = e.agg(F.min("ts_us"), F.max("ts_us")).first()
-    edges = [lo + (hi + 1 - lo) * k // 4 for k in range(5)]
-    for a, b in zip(edges, edges[1:]):  # one after the other: the file source goes by modification time
-        e.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(src)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    for part in sliced(e, F.col("ts_us")):
+        part.write.mode("append").parquet(src)
     jobs.stream_ema(spark, src, out, ck)
-    return spark.read.parquet(out).select("user_id", "step", F.round("ema", 6).alias("ema"))
+    return jobs.streamed_ema(spark, out).select(F.col("run").alias("user_id"), "step", F.round("ema", 6).alias("ema"))
+
+
+@query("stream_pack", oracle=f"""WITH RECURSIVE {lane_sql('strlen(text) + 1')}, {BESTFIT_CROP_SQL},
+sums AS ({SUMS_SQL.replace(chr(10) + "SELECT lane", " SELECT lane").replace("k AS (", "WITH k AS (", 1)})
+SELECT lane, row, inputs_sum, targets_sum FROM sums""")
+def q_stream_pack(spark, sf_dir):
+    """Documents arrive in files, in the order of their ids, which stand for seconds; a heartbeat flushes all lanes.
+
+    The rows are those that ``pack_bestfit_crop`` makes of all documents at once.
+    """
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-tokens-in", "stream-packed", "stream-pack-ck"))
+    d = doc_tokens(spark, sf_dir)
+    n = lanes(d, "n_tokens")
+    key = F.format_string("%020d", "doc_id").alias("key")
+    d = d.select(lane_of("doc_id", n, SEED).alias("lane"), key, F.timestamp_seconds(F.col("doc_id") + 1).alias("time"), "tokens", "n_tokens")
+    for part in sliced(d, F.unix_seconds("time")):
+        part.drop("n_tokens").write.mode("append").parquet(src)
+    last = d.agg(F.max("time").alias("t")).select(F.lit(None).cast("int").alias("lane"), F.lit("").alias("key"), (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("time"),
+                                                  F.lit(None).cast("array<int>").alias("tokens"))
+    last.coalesce(1).write.mode("append").parquet(src)
+    stream_pack(spark, src, out, ck, T, late_s=0)
+    s = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return packed_rows(spark, out).select("lane", "row", s("inputs").alias("inputs_sum"), s("targets").alias("targets_sum"))

@@ -9,16 +9,14 @@ driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import chat
+from ..functions.sizing import broadcast_if_small
+from ..operators import chat, runs
 from ..operators import tokenize as tok
+from ..session import materialised
 
 
 def _run(q: StreamingQuery) -> None:
@@ -87,30 +85,61 @@ def latest_totals(spark: SparkSession, out: str) -> DataFrame:
     return every.join(F.broadcast(every.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
-def _ema_state(beta: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, step = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-        out = []
-        for x in rows["value"]:
-            value = beta * value + (1 - beta) * x
-            out.append((key[0], step, value / (1 - beta ** (step + 1))))
-            step += 1
-        state.update((value, step))
-        yield pd.DataFrame(out, columns=["user_id", "step", "ema"])
-    return run
+EMA_ROW = "run {0}, event_id long, ts_us long, step long, ema double"
+LATE_ROW = "run {0}, event_id long, ts_us long, value double"
+STATE_ROW = "run {0}, total double, n long, last_ts long, last_id long"
+
+
+def _with_state(batch: DataFrame, state: DataFrame, beta: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(EMA rows, late rows, next state) of a micro-batch and the state before it.
+
+    The EMA is a decayed sum, so the batch is summed by itself, a run in many blocks, and what
+    the run had before is added, decayed by the number of steps since.
+    """
+    before = broadcast_if_small(state.withColumnsRenamed({"run": "_r", "total": "_total", "n": "_n"}))
+    d = batch.join(before, F.col("run").eqNullSafe(F.col("_r")), "left").drop("_r")
+    seen = F.coalesce(F.struct("ts_us", "event_id") <= F.struct("last_ts", "last_id"), F.lit(False))
+    late = d.filter(seen).select("run", "event_id", "ts_us", "value")
+    d = runs.with_steps(d.filter(~seen).drop("last_ts", "last_id"), "run", ["ts_us", "event_id"], "j")
+    d = runs.decayed_sum(d, "run", "j", "value", beta, "_s")
+    d = d.withColumn("total", F.col("_s") + F.coalesce("_total", F.lit(0.0)) * F.pow(F.lit(beta), F.col("j") + 1))
+    d = d.withColumn("step", F.coalesce("_n", F.lit(0)).cast("long") + F.col("j"))
+    d = materialised(d.select("run", "event_id", "ts_us", "step", "total"), "ema-batch")
+    ema = d.select("run", "event_id", "ts_us", "step", (F.col("total") * (1 - beta) / (1 - F.pow(F.lit(beta), F.col("step") + 1))).alias("ema"))
+    new = d.groupBy("run").agg(F.max_by("total", "step").alias("total"), (F.max("step") + 1).alias("n"),
+                               F.max(F.struct("ts_us", "event_id")).alias("l")).select("run", "total", "n", F.col("l.ts_us").alias("last_ts"), F.col("l.event_id").alias("last_id"))
+    fresh = new.select(F.col("run").alias("_r"))
+    old = state.join(broadcast_if_small(fresh), F.col("run").eqNullSafe(F.col("_r")), "left_anti")
+    return ema, late, new.unionByName(old)
 
 
 def stream_ema(spark: SparkSession, src: str, out: str, checkpoint: str, beta: float = 0.9,
                files_per_trigger: int = 1) -> StreamingQuery:
-    """Debiased EMA per run over arriving step metrics; state is (value, step) per run.
+    """Debiased EMA per run over arriving step metrics (run, event_id, ts_us, value).
 
-    Files must arrive in time order; a batch holds what arrived since the last one.
+    ``out/ema`` gets the values.  A row that is not after the last one of its run, in the order
+    of (ts_us, event_id), comes too late for it and goes to ``out/late``.  The state, a row per
+    run, is the table that the batch before left in ``out/state``; a rerun of a batch replaces
+    its own folders only.
     """
-    schema = spark.read.parquet(src).schema
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(src).schema
+    kind = schema["run"].dataType.simpleString()
+    rows = {name: text.format(kind) for name, text in (("ema", EMA_ROW), ("late", LATE_ROW), ("state", STATE_ROW))}
+    for name, text in rows.items():
+        spark.createDataFrame([], text).write.mode("overwrite").parquet(f"{out}/{name}/batch=-1")
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(src)
-    r = s.groupBy("user_id").applyInPandasWithState(_ema_state(beta), "user_id long, step long, ema double", "value double, step long",
-                                                    "append", GroupStateTimeout.NoTimeout)
-    q = (r.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        state = spark.read.schema(rows["state"]).parquet(f"{out}/state/batch={epoch_id - 1}")
+        d = batch.select("run", F.col("event_id").cast("long").alias("event_id"), F.col("ts_us").cast("long").alias("ts_us"), F.col("value").cast("double").alias("value"))
+        for name, df in zip(("ema", "late", "state"), _with_state(d, state, beta), strict=True):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={epoch_id}")
+
+    q = s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     _run(q)
     return q
+
+
+def streamed_ema(spark: SparkSession, out: str, name: str = "ema") -> DataFrame:
+    """The rows that ``stream_ema`` wrote to ``out/ema`` or ``out/late``."""
+    return spark.read.parquet(f"{out}/{name}").drop("batch")
