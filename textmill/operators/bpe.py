@@ -6,14 +6,24 @@ round counts adjacent pairs weighted by chunk frequency with one
 ``groupBy``, takes the top pair (ties: smallest pair), and rewrites the
 sequences with a left-to-right ``aggregate`` merge.  Lineage is cut with a
 reliable ``checkpoint()`` every few rounds.  The merge table (one row per
-learned token, bounded by the vocabulary size) is the model; encoding ships
-it to the executors inside a pandas UDF and caches chunk encodings.
+learned token, bounded by the vocabulary size) is the model.
+
+Encoding takes a trained model or a public vocabulary file.  The ids of a chunk
+depend on the chunk only, so each task encodes a distinct chunk once and keeps
+it: text and tokens are never shuffled.  A batch is taken apart and put together
+again by Arrow and numpy; Python sees its distinct chunks only.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import base64
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import N_BYTES, SPECIAL_TOKENS, byte_tokens, pretokenize
@@ -81,71 +91,138 @@ def bpe_train(counts: DataFrame, vocab_size: int, chunk: str = "chunk", n: str =
     return vocab_df, merges_df
 
 
-def _encode_chunk(b: bytes, ranks: dict) -> list[int]:
-    """Repeatedly merge every occurrence of the lowest-rank adjacent pair."""
-    ids = list(b)
-    while len(ids) >= 2:
-        best, at = None, -1
-        for i in range(len(ids) - 1):
-            rk = ranks.get((ids[i], ids[i + 1]))
-            if rk is not None and (best is None or rk < best):
-                best, at = rk, i
-        if best is None:
-            break
-        pair, new = (ids[at], ids[at + 1]), N_BYTES + best
-        out, i = [], 0
-        while i < len(ids):
-            if i < len(ids) - 1 and (ids[i], ids[i + 1]) == pair:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a chunk: the pair of neighbours whose bytes have the lowest rank merges first, the leftmost of equals.
+
+    Parts are a linked list over the places of the chunk and pairs wait in a heap, so that a
+    long chunk costs n log n.
+    """
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    pairs = [(ranks[piece[i:i + 2]], i, i + 2) for i in range(n - 1) if piece[i:i + 2] in ranks]
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, end = heapq.heappop(pairs)
+        mid = after[i]
+        if not alive[i] or mid >= n or after[mid] != end:
+            continue  # one of the two has merged since
+        after[i], alive[mid] = end, False
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(piece[i:after[end]])) is not None:
+                heapq.heappush(pairs, (r, i, after[end]))
+        if (p := before[i]) >= 0 and (r := ranks.get(piece[p:end])) is not None:
+            heapq.heappush(pairs, (r, p, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i:after[i]]])
+        i = after[i]
+    return out
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces ``flat[start:start + size]``, one after the other."""
+    begin = np.cumsum(size) - size
+    return flat[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
+
+
+class _Pieces:
+    """Ids of distinct chunks, kept over the batches of a task, at most ``most`` of them at a time."""
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+        self.ranks, self.most = ranks, most
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, chunks: pa.ListArray) -> pa.ListArray:
+        """The ids of each list of chunks; each distinct chunk of the batch is looked up once."""
+        counts = pc.fill_null(pc.list_value_length(chunks), 0).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(chunks).cast(pa.string()).dictionary_encode()
+        if len(self.known) > self.most:
+            self.known.clear()
+        ids = []
+        for c in coded.dictionary.to_pylist():
+            own = self.known.get(c)
+            if own is None:
+                own = self.known[c] = encode_piece(c.encode("utf-8"), self.ranks) if c else []
+            ids.append(own)
+        size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        flat = np.fromiter((t for x in ids for t in x), np.int32, int(size.sum()))
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = _gathered(flat, (_offsets(size)[:-1])[which], size[which])
+        ends = _offsets(size[which])[_offsets(counts)].astype(np.int32)
+        missing = chunks.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(missing, False)) if missing.any() else pa.array(ends), pa.array(tokens, pa.int32()))
 
 
 class BPEEncoder:
-    """Encoder with the same interface as ``ByteEncoder`` (ids, specials, encode/decode Columns)."""
+    """Encoder with the same interface as ``ByteEncoder`` (ids, specials, encode/decode Columns).
+
+    ``ranks`` gives the id of each mergeable token by its bytes, 0, 1, ...; they are shipped
+    once to each executor, and bounded by the size of the vocabulary.
+    """
 
     name = "bpe"
 
-    def __init__(self, vocab: DataFrame, merges: DataFrame):
-        # The model: one row per learned token (bounded by the vocabulary size).
-        rows = merges.select("rank", "left", "right").collect()
-        self.ranks = {(int(r["left"]), int(r["right"])): int(r["rank"]) for r in rows}
-        self.n_mergeable = N_BYTES + len(self.ranks)
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("ids of mergeable tokens must be 0, 1, ...")
+        self.n_mergeable = len(ranks)
         self.special = {s: self.n_mergeable + i for i, s in enumerate(SPECIAL_TOKENS)}
         self.bos = self.special["<|bos|>"]
-        self.token_bytes = {int(r["token_id"]): bytes(r["bytes"]) for r in vocab.select("token_id", "bytes").collect()}
-        self._udfs()
-
-    def _udfs(self):
-        ranks, tb, n_merge = self.ranks, self.token_bytes, self.n_mergeable
-
-        def enc_chunks(chunks, cache):
-            out = []
-            for c in chunks:
-                ids = cache.get(c)
-                if ids is None:
-                    ids = cache[c] = _encode_chunk(c.encode("utf-8"), ranks)
-                out.extend(ids)
-            return out
-
-        @F.pandas_udf("array<int>")
-        def encode_chunks(s: pd.Series) -> pd.Series:
-            cache: dict = {}
-            return s.map(lambda cs: enc_chunks(cs, cache) if cs is not None else None)
-
-        @F.pandas_udf("array<array<int>>")
-        def encode_nested(s: pd.Series) -> pd.Series:
-            cache: dict = {}
-            return s.map(lambda arr: None if arr is None else [enc_chunks(cs, cache) for cs in arr])
-
-        @F.pandas_udf("string")
-        def decode_ids(s: pd.Series) -> pd.Series:
-            return s.map(lambda ids: None if ids is None else b"".join(
-                tb.get(int(i), b"") if int(i) < n_merge else b"" for i in ids).decode("utf-8", errors="replace"))
+        self.token_bytes = {i: b for b, i in ranks.items()}
+        self._udfs(spark.sparkContext.broadcast(ranks))
+
+    @classmethod
+    def trained(cls, vocab: DataFrame, merges: DataFrame) -> BPEEncoder:
+        """Of the tables of ``bpe_train``; of tokens with equal bytes the first counts."""
+        rows = vocab.filter(~F.col("is_special")).orderBy("token_id").select("token_id", "bytes").collect()
+        ranks: dict[bytes, int] = {}
+        for r in rows:
+            ranks.setdefault(bytes(r["bytes"]), len(ranks))
+        return cls(vocab.sparkSession, ranks)
+
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str) -> BPEEncoder:
+        """Of a vocabulary file with a token in base64 and its id on each line."""
+        lines = spark.read.text(path).filter(F.length("value") > 0).collect()
+        return cls(spark, {base64.b64decode(t): int(i) for t, i in (r[0].split() for r in lines)})
+
+    def _udfs(self, ranks):
+        @F.arrow_udf("array<int>")
+        def encode_chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            pieces = _Pieces(ranks.value)
+            for chunks in batches:
+                yield pieces.encode(chunks)
+
+        @F.arrow_udf("array<array<int>>")
+        def encode_nested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            pieces = _Pieces(ranks.value)
+            for texts in batches:
+                counts = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().astype(np.int64)
+                missing = texts.is_null().to_numpy(zero_copy_only=False)
+                ends = _offsets(counts).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends, mask=np.append(missing, False)) if missing.any() else pa.array(ends), pieces.encode(pc.list_flatten(texts)))
+
+        @F.arrow_udf("string")
+        def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            tokens = sorted((i, b) for b, i in ranks.value.items())
+            data = np.frombuffer(b"".join(b for _, b in tokens), np.uint8)
+            size = np.array([len(b) for _, b in tokens] + [0], np.int64)  # one more: specials have no bytes
+            start = _offsets(size)[:-1]
+            for ids in batches:
+                flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+                flat = np.where((flat >= 0) & (flat < len(tokens)), flat, len(tokens)).astype(np.int64)
+                body = _gathered(data, start[flat], size[flat]).tobytes()
+                counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
+                ends = _offsets(size[flat])[_offsets(counts)].tolist()
+                yield pa.array([body[a:b].decode("utf-8", errors="replace") if ok else None for a, b, ok in
+                                zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
 
         self._encode_chunks, self._encode_nested, self._decode = encode_chunks, encode_nested, decode_ids
 

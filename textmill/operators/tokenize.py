@@ -174,18 +174,18 @@ def special_ids(enc) -> list[tuple[str, int]]:
 
 
 def compression_eval(texts: DataFrame, encoders: dict, group: str, base: str) -> DataFrame:
-    """Bytes, tokens and bytes/token per (encoder, group); ``rel_pct`` = token saving vs ``base``."""
-    parts = []
-    for name, count_fn in encoders.items():
-        parts.append(texts.select(F.lit(name).alias("encoder"), F.col(group).alias("group"),
-                                  F.octet_length("text").cast("long").alias("b"),
-                                  count_fn(F.col("text")).cast("long").alias("t")))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    agg = allp.groupBy("encoder", "group").agg(F.sum("b").alias("n_bytes"), F.sum("t").alias("n_tokens"))
-    basecol = agg.filter(F.col("encoder") == base).select("group", F.col("n_tokens").alias("_base"))
-    return (agg.join(basecol, "group", "left")
+    """Bytes, tokens and bytes/token per (encoder, group); ``rel_pct`` = token saving vs ``base``.
+
+    ``better`` names the one of the two, encoder or base, with more bytes a token, or is ``tie``.
+    All encoders count in one pass over the texts.
+    """
+    sums = texts.select(F.col(group).alias("group"), F.octet_length("text").cast("long").alias("b"),
+                        *[f(F.col("text")).cast("long").alias(f"t{k}") for k, f in enumerate(encoders.values())])
+    sums = sums.groupBy("group").agg(F.sum("b").alias("n_bytes"), *[F.sum(f"t{k}").alias(f"t{k}") for k in range(len(encoders))])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("encoder"), F.col(f"t{k}").alias("n_tokens")) for k, name in enumerate(encoders)]))
+    agg = sums.select("group", "n_bytes", F.col(f"t{list(encoders).index(base)}").alias("_base"), each.alias("_e")).select("group", "n_bytes", "_base", "_e.*")
+    better = F.when(F.col("n_tokens") < F.col("_base"), F.col("encoder")).when(F.col("n_tokens") > F.col("_base"), F.lit(base)).otherwise(F.lit("tie"))
+    return (agg.withColumn("better", better)
             .withColumn("bytes_per_token", F.round(F.col("n_bytes") / F.col("n_tokens"), 6))
             .withColumn("rel_pct", F.round((F.col("_base") - F.col("n_tokens")) / F.col("_base") * 100.0, 6))
             .drop("_base"))

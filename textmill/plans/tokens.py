@@ -219,19 +219,6 @@ def q_roundtrip_check(spark, sf_dir):
                  F.count(F.when(back != F.col("text"), 1)).alias("n_byte_mismatch"))
 
 
-@query("compression_eval", oracle=f"""WITH e AS (
-  SELECT 'bytes' AS encoder, lang AS "group", strlen(text) AS b, strlen(text) AS t FROM documents
-  UNION ALL SELECT 'pretokens', lang, strlen(text), len({sql_pretokens('text')}) FROM documents),
-a AS (SELECT encoder, "group", sum(b)::BIGINT AS n_bytes, sum(t)::BIGINT AS n_tokens FROM e GROUP BY ALL)
-SELECT a.encoder, a."group", a.n_bytes, a.n_tokens, round(a.n_bytes / a.n_tokens, 6) AS bytes_per_token,
-       round((b.n_tokens - a.n_tokens) / b.n_tokens * 100.0, 6) AS rel_pct
-FROM a LEFT JOIN a b ON a."group" = b."group" AND b.encoder = 'bytes'""")
-def q_compression_eval(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("text", "lang")
-    encoders = {"bytes": lambda t: F.octet_length(t), "pretokens": lambda t: F.size(pretokenize(t))}
-    return tok.compression_eval(d, encoders, "lang", "bytes")
-
-
 # --- byte-level BPE -----------------------------------------------------------
 BPE_VOCAB = 256 + len(SPECIAL_TOKENS) + 24
 BPE_BUDGET = 10_000_000_000  # characters of capped documents that the model may be trained on
@@ -260,22 +247,74 @@ def q_bpe_train(spark, sf_dir):
     return merges
 
 
-@query("bpe_encode", oracle="""
-SELECT doc_id, strlen(text)::BIGINT AS n_bytes, md5(text) AS decoded_md5, true AS shorter FROM documents""")
-def q_bpe_encode(spark, sf_dir):
+# Public vocabularies: their paths are parameters, and nothing of them is kept here.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY_MULTI = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def bpe_sql(texts: str, path: str, p: str = "") -> str:
+    """``{p}ids``: of each text (doc_id, text) the list of its ids, and ``{p}enc``: of each distinct chunk.
+
+    Tokens are hex strings.  A step merges in each chunk the pair of the lowest rank, the leftmost of equals.
+    """
+    return f"""{p}ranks AS (SELECT hex(from_base64(t)) AS h, r FROM read_csv('{path}', delim = ' ', header = false, quote = '', escape = '', columns = {{'t': 'VARCHAR', 'r': 'INTEGER'}})),
+{p}cut AS (SELECT doc_id, {sql_pretokens('text')} AS chunks FROM {texts}),
+{p}pieces AS (SELECT DISTINCT hex(encode(unnest(chunks))) AS piece FROM {p}cut),
+{p}merge(piece, toks, n) AS (
+  SELECT piece, CASE WHEN h IS NOT NULL THEN [piece] ELSE list_transform(range(0, len(piece) // 2), lambda i: substr(piece, 2 * i + 1, 2)) END,
+         CASE WHEN h IS NOT NULL THEN 0 ELSE 1 END
+  FROM {p}pieces LEFT JOIN {p}ranks ON h = piece
+  UNION ALL
+  SELECT piece, list_concat(list_append(list_slice(toks, 1, (best & 1048575) - 1), toks[best & 1048575] || toks[(best & 1048575) + 1]),
+                            list_slice(toks, (best & 1048575) + 2, len(toks))), n + 1
+  FROM (SELECT piece, any_value(toks) AS toks, any_value(n) AS n, min(r::BIGINT * 1048576 + i) AS best
+        FROM (SELECT piece, toks, n, unnest(range(1, len(toks))) AS i FROM {p}merge WHERE n > 0) x JOIN {p}ranks ON h = toks[i] || toks[i + 1] GROUP BY piece)),
+{p}last AS (SELECT piece, arg_max(toks, n) AS toks FROM {p}merge GROUP BY piece),
+{p}flat AS (SELECT piece, unnest(toks) AS h, unnest(range(0, len(toks))) AS j FROM {p}last),
+{p}enc AS (SELECT piece, list(r ORDER BY j) AS ids FROM {p}flat JOIN {p}ranks USING (h) GROUP BY piece),
+{p}parts AS (SELECT doc_id, unnest(chunks) AS chunk, unnest(range(0, len(chunks))) AS k FROM {p}cut),
+{p}ids AS (SELECT doc_id, flatten(list(ids ORDER BY k)) AS ids FROM {p}parts JOIN {p}enc ON piece = hex(encode(chunk)) GROUP BY doc_id)"""
+
+
+@query("bpe_encode", oracle=f"""WITH RECURSIVE {bpe_sql('documents', VOCABULARY)}
+SELECT d.doc_id, strlen(text)::BIGINT AS n_bytes, coalesce(len(ids), 0)::BIGINT AS n_tokens, md5(coalesce(array_to_string(ids, ','), '')) AS ids_md5
+FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id""")
+def q_bpe_encode(spark, sf_dir, vocabulary=VOCABULARY):
+    """Ids of whole texts in a public vocabulary of 50,256 tokens."""
     from ..operators.bpe import BPEEncoder
-    enc = BPEEncoder(*bpe_model(spark, sf_dir))
+    enc = BPEEncoder.from_file(spark, vocabulary)
     d = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", enc.encode(F.col("text")))
-    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(enc.decode(F.col("ids"))).alias("decoded_md5"),
-                    (F.size("ids") <= F.octet_length("text")).alias("shorter"))
+    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
-@query("bpe_decode", oracle=f"""SELECT doc_id, true AS roundtrip_ok FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM ({EDGE_SQL}))""")
-def q_bpe_decode(spark, sf_dir):
+@query("bpe_decode", oracle=f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({EDGE_SQL})), {bpe_sql('d', VOCABULARY)}
+SELECT d.doc_id, coalesce(len(ids), 0)::BIGINT AS n_tokens, md5(text) AS decoded_md5 FROM d LEFT JOIN ids ON ids.doc_id = d.doc_id""")
+def q_bpe_decode(spark, sf_dir, vocabulary=VOCABULARY):
+    """Texts that their ids decode to, and how many ids: with fewer than bytes the round trip says something."""
     from ..operators.bpe import BPEEncoder
-    enc = BPEEncoder(*bpe_model(spark, sf_dir))
+    enc = BPEEncoder.from_file(spark, vocabulary)
     d = docs_with_edges(spark, sf_dir).withColumn("ids", enc.encode(F.col("text")))
-    return d.select("doc_id", (enc.decode(F.col("ids")) == F.col("text")).alias("roundtrip_ok"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(enc.decode(F.col("ids"))).alias("decoded_md5"))
+
+
+@query("compression_eval", oracle=f"""WITH RECURSIVE {bpe_sql('documents', VOCABULARY, 'a_')},
+{bpe_sql('documents', VOCABULARY_MULTI, 'm_')},
+e AS (SELECT 'bytes' AS encoder, lang AS "group", strlen(text) AS b, strlen(text) AS t FROM documents
+  UNION ALL SELECT 'pretokens', lang, strlen(text), len({sql_pretokens('text')}) FROM documents
+  UNION ALL SELECT 'bpe_50k', lang, strlen(text), coalesce(len(ids), 0) FROM documents LEFT JOIN a_ids USING (doc_id)
+  UNION ALL SELECT 'bpe_multi_50k', lang, strlen(text), coalesce(len(ids), 0) FROM documents LEFT JOIN m_ids USING (doc_id)),
+a AS (SELECT encoder, "group", sum(b)::BIGINT AS n_bytes, sum(t)::BIGINT AS n_tokens FROM e GROUP BY ALL)
+SELECT a.encoder, a."group", a.n_bytes, a.n_tokens, round(a.n_bytes / a.n_tokens, 6) AS bytes_per_token,
+       round((b.n_tokens - a.n_tokens) / b.n_tokens * 100.0, 6) AS rel_pct,
+       CASE WHEN a.n_bytes / a.n_tokens > b.n_bytes / b.n_tokens THEN a.encoder WHEN a.n_bytes / a.n_tokens < b.n_bytes / b.n_tokens THEN b.encoder ELSE 'tie' END AS better
+FROM a LEFT JOIN a b ON a."group" = b."group" AND b.encoder = 'bpe_50k'""")
+def q_compression_eval(spark, sf_dir, base=VOCABULARY, other=VOCABULARY_MULTI):
+    """Two public vocabularies, bytes and chunks: the first vocabulary is the base."""
+    from ..operators.bpe import BPEEncoder
+    d = table(spark, sf_dir, "documents").select("text", "lang")
+    encoders = {"bytes": lambda t: F.octet_length(t), "pretokens": lambda t: F.size(pretokenize(t)),
+                "bpe_50k": BPEEncoder.from_file(spark, base).count, "bpe_multi_50k": BPEEncoder.from_file(spark, other).count}
+    return tok.compression_eval(d, encoders, "lang", "bpe_50k")
 
 
 @query("token_bytes_table")
