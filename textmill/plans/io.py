@@ -20,6 +20,13 @@ def positioned(spark, sf_dir):
     return S.with_shard_position(d)
 
 
+def written(spark, sf_dir):
+    """A folder of shards with row groups of ``RG`` rows."""
+    path = scratch_path(spark, "shards")
+    S.write_text_shards(positioned(spark, sf_dir), path, row_group=RG)
+    return path
+
+
 POS_SQL = """pos AS (SELECT doc_id, text, CAST(substr(source, 4) AS INTEGER) AS shard_id,
   row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_in_shard FROM documents),
 rg AS (SELECT *, row_in_shard // 8 AS row_group, max(shard_id) OVER () AS last_shard FROM pos)"""
@@ -28,16 +35,16 @@ rg AS (SELECT *, row_in_shard // 8 AS row_group, max(shard_id) OVER () AS last_s
 @query("scan_text_shards", oracle=f"""WITH {POS_SQL}
 SELECT doc_id, shard_id, row_in_shard, row_group FROM rg WHERE shard_id < last_shard AND row_group % 3 = 1""")
 def q_scan_text_shards(spark, sf_dir):
-    r = S.scan_text_shards(positioned(spark, sf_dir), "train", rank=1, world=3, size=RG)
+    r = S.scan_text_shards(spark, written(spark, sf_dir), "train", rank=1, world=3, size=RG)
     return r.select("doc_id", "shard_id", "row_in_shard", "row_group")
 
 
 @query("split_last_shard", oracle=f"""WITH {POS_SQL}
 SELECT doc_id, CASE WHEN shard_id < last_shard THEN 'train' ELSE 'val' END AS split FROM rg""")
 def q_split_last_shard(spark, sf_dir):
-    d = positioned(spark, sf_dir)
-    return S.split_last_shard(d, "train").select("doc_id", F.lit("train").alias("split")).unionByName(
-        S.split_last_shard(d, "val").select("doc_id", F.lit("val").alias("split")))
+    path = written(spark, sf_dir)
+    of = lambda split: S.scan_text_shards(spark, path, split, size=RG).select("doc_id", F.lit(split).alias("split"))
+    return of("train").unionByName(of("val"))
 
 
 @query("row_group_of", oracle=f"""WITH {POS_SQL}
@@ -55,8 +62,8 @@ def q_rank_shard(spark, sf_dir):
 SELECT doc_id, shard_id, row_group FROM rg
 WHERE (shard_id > 5 OR (shard_id = 5 AND row_group >= (2 // 2 + 1) * 2 + 1)) AND row_group % 2 = 1""")
 def q_resume_after(spark, sf_dir):
-    d = S.row_group_of(positioned(spark, sf_dir), RG)
-    return S.resume_after(d, pq=5, rg=2, rank=1, world=2).select("doc_id", "shard_id", "row_group")
+    r = S.scan_text_shards(spark, written(spark, sf_dir), None, rank=1, world=2, size=RG, after=(5, 2))
+    return r.select("doc_id", "shard_id", "row_group")
 
 
 @query("resume_epochs", oracle=f"""WITH {POS_SQL}

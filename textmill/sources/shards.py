@@ -12,8 +12,9 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.ranking import dense_index
 from ..operators.chat import MESSAGE
@@ -72,9 +73,53 @@ def epochs_after(d: DataFrame, epoch: int, pq: int, rg: int, rank: int, world: i
     return rest.unionByName(later)
 
 
-def scan_text_shards(d: DataFrame, split: str = "train", rank: int = 0, world: int = 1,
-                     size: int = ROW_GROUP) -> DataFrame:
-    return rank_shard(row_group_of(split_last_shard(d, split), size), rank, world)
+def last_shard(spark: SparkSession, path: str) -> int | None:
+    """The largest shard number of a folder of shards: file names are listed, nothing is read."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return names.agg(F.max(F.regexp_extract("path", r"/shard_id=(\d+)/", 1).cast("int"))).first()[0]
+
+
+def row_groups_of_rank(rank: int, world: int, size: int = ROW_GROUP, start: int = 0, terms: int = 64) -> Column:
+    """Rows of the row groups ``rank, rank + world, ...`` from group ``start`` on.
+
+    The first ``terms`` groups are ranges of ``row_in_shard``, which the Parquet reader compares
+    with its statistics, so that other row groups aren't read; later ones are filtered.
+    """
+    row = F.col("row_in_shard")
+    if world == 1:
+        return row >= start * size
+    first = start + (rank - start) % world
+    groups = [first + k * world for k in range(terms)]
+    picked = row.between(groups[0] * size, groups[0] * size + size - 1)
+    for g in groups[1:]:
+        picked = picked | row.between(g * size, g * size + size - 1)
+    rest = (row >= (groups[-1] + 1) * size) & (F.floor(row / size) % world == rank)
+    return picked | rest
+
+
+def scan_text_shards(spark: SparkSession, path: str, split: str | None = "train", rank: int = 0, world: int = 1,
+                     size: int = ROW_GROUP, after: tuple[int, int] | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """The rows of shards written by ``write_text_shards`` that a rank reads, with ``row_group``.
+
+    ``split``: "train" is all shards but the last, "val" the last, None all.  ``after=(shard, row group)``
+    resumes behind a position.  Shards are chosen by their folders and row groups by the
+    reader's statistics: what isn't selected is not read.  ``size`` is that of the row groups
+    written; ``schema`` saves looking into a file for it.
+    """
+    if split not in ("train", "val", None):
+        raise ValueError("split must be train, val or None")
+    reader = spark.read.option("pathGlobFilter", "*.parquet")
+    d = (reader.schema(schema) if schema is not None else reader).parquet(path)
+    if split:
+        last = last_shard(spark, path)
+        d = d.filter(F.lit(False) if last is None else F.col("shard_id") < last if split == "train" else F.col("shard_id") == last)
+    wanted = row_groups_of_rank(rank, world, size)
+    if after is not None:
+        pq, rg = after
+        d = d.filter(F.col("shard_id") >= pq)
+        resumed = row_groups_of_rank(rank, world, size, start=(rg // world + 1) * world)
+        wanted = ((F.col("shard_id") > pq) & wanted) | ((F.col("shard_id") == pq) & resumed)
+    return row_group_of(d.filter(wanted), size)
 
 
 def skip_done(d: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,13 +140,13 @@ def existing_shards(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-ROWS_PER_FILE = 64 * ROW_GROUP
+GROUPS_PER_FILE = 64
 
 
-def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repack: bool = False) -> None:
-    """One folder per shard, zstd, 1024-row groups; shards already present are skipped.
+def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repack: bool = False, row_group: int = ROW_GROUP) -> None:
+    """One folder per shard, zstd, groups of ``row_group`` rows; shards already present are skipped.
 
-    A shard of more than ``ROWS_PER_FILE`` rows is written by several tasks, a file each.
+    A shard of more than 64 row groups is written by several tasks, a file each.
     ``repack=True`` writes without dictionary encoding or column statistics
     (zstd level 3), as the repackaging variant does.
     """
@@ -110,10 +155,11 @@ def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repac
         done = existing_shards(spark, path)
         if done is not None:
             d = skip_done(d, done, ["shard_id"])
-    part = F.floor(F.col("row_in_shard") / ROWS_PER_FILE)
+    rows_per_file = GROUPS_PER_FILE * row_group
+    part = F.floor(F.col("row_in_shard") / rows_per_file)
     w = (d.repartition("shard_id", part).sortWithinPartitions("shard_id", "row_in_shard")
-         .write.mode("append").partitionBy("shard_id").option("maxRecordsPerFile", ROWS_PER_FILE)
-         .option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP))
+         .write.mode("append").partitionBy("shard_id").option("maxRecordsPerFile", rows_per_file)
+         .option("compression", "zstd").option("parquet.block.row.count.limit", row_group))
     if repack:
         w = (w.option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "3")
              .option("parquet.column.statistics.enabled", "false"))
