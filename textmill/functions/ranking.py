@@ -110,3 +110,32 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     """0-based position of each row in ``order`` within ``by`` (skew-safe row_number - 1)."""
     return running_sum(df, F.lit(1).cast("long"), order, by, out, inclusive=False,
                        n_buckets=n_buckets, dense=dense, previous=previous)
+
+
+def last_known(df: DataFrame, value: str, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "known",
+               n_buckets: int | None = None) -> DataFrame:
+    """The last non-NULL ``value`` up to each row, itself included, in ``order`` within ``by`` (an as-of carry).
+
+    As with ``running_sum``, windows end at bucket edges, and a small table says what each
+    bucket starts with.
+    """
+    by = list(by)
+    order = as_columns(order)
+    base = with_bucket(df, order, n_buckets)
+    w = Window.partitionBy(*by, BKT).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = base.withColumn("_local", F.last(value, ignorenulls=True).over(w))
+    given = base.filter(F.col(value).isNotNull())
+    ends = given.groupBy(*by, BKT).agg(F.max_by(value, F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])).alias("_end"))
+    buckets = base.select(*by, BKT).distinct().join(ends.withColumnsRenamed({**{b: f"_e{i}" for i, b in enumerate(by)}, BKT: "_eb"}),
+                                                    _same(by, "_e", "_eb"), "left")
+    before = Window.partitionBy(*by).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col(BKT).alias("_b2"), F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    got = local.join(starts, _same(by, "_by", "_b2"))
+    return got.withColumn(out, F.coalesce("_local", "_start")).drop("_local", "_start", BKT, "_b2", *[f"_by{i}" for i in range(len(by))])
+
+
+def _same(by: Sequence[str], prefix: str, bucket: str) -> Column:
+    on = F.col(BKT) == F.col(bucket)
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"{prefix}{i}"))
+    return on

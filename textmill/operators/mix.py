@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32, order_cols
+from ..functions.identity import NTH, SAME, numbered, with_lines
 from ..functions.ranking import count_not_above, dense_index
 from ..functions.sizing import broadcast_if_small
 from ..session import materialised
@@ -52,7 +53,7 @@ def weighted_interleave(docs: DataFrame, spec: DataFrame, n_draws: int, seed: in
     ``pos``-th of the epoch's permutation ``md5(seed|source|epoch|key)``.
     """
     spark = docs.sparkSession
-    keys = materialised(docs.select("source", key), "mix-keys")  # read by the count and by every epoch
+    keys = materialised(numbered(docs, ["source", key], {}), "mix-keys")  # read by the count and by every epoch
     entry = F.struct("spec_idx", "w_hi", "source", "n_docs")
     live = _live_spec(keys, spec).agg(F.array_sort(F.collect_list(entry)).alias("_live"), F.max("w_tot").alias("_w"))
     live = live.withColumn("_hi", F.transform("_live", lambda e: -e["w_hi"])).withColumn("_hi", F.reverse("_hi"))
@@ -70,9 +71,9 @@ def weighted_interleave(docs: DataFrame, spec: DataFrame, n_draws: int, seed: in
             .drop("_me"))
     oc = order_cols(seed, [key], F.col("source"), F.col("epoch"))
     perm = perm.withColumn("_h60", oc[0]).withColumn("_md5", oc[1])
-    perm = dense_index(perm, ["_h60", "_md5", key], by=["source", "epoch"], out="pos", dense=H60).drop("_h60", "_md5")
+    perm = dense_index(perm, ["_h60", "_md5", key, *SAME, NTH], by=["source", "epoch"], out="pos", dense=H60).drop("_h60", "_md5")
     drawn = ranked.drop("n_docs").join(perm, ["source", "epoch", "pos"])
-    return drawn.join(docs, ["source", key])  # keys are ranked; documents come last
+    return with_lines(docs, drawn, ["source", key])  # keys are ranked; documents come last
 
 
 def mix_realized(mixed: DataFrame, spec: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from ..functions.hashing import hash32
+from ..functions.identity import NTH, SAME, numbered, with_lines
 from ..functions.ranking import running_sum
 from ..functions.sizing import broadcast_if_small
 from ..session import materialised
@@ -43,24 +44,13 @@ def lanes_for(d: DataFrame, length: str, lane_budget: int = LANE_BUDGET) -> int:
     return max(1, -(-total // lane_budget))
 
 
-SAME = ["_h1", "_h2"]  # tell rows of one key apart where keys repeat or are missing
-ORDER = ["key", *SAME, "_nth"]
-
-
-def _identity(d: DataFrame, key: str) -> tuple[dict[str, Column], bool]:
-    """Values of ``SAME``, and whether they are needed: a key that tells all rows apart saves reading the others."""
-    keys = d.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    if keys.filter((F.col("_n") > 1) | F.col("_k").isNull()).isEmpty():
-        return {c: F.lit(0).cast("long") for c in SAME}, False
-    return {"_h1": F.xxhash64(*d.columns), "_h2": F.hash(*d.columns).cast("long")}, True
+ORDER = ["key", *SAME, NTH]
 
 
 def numbered_rows(d: DataFrame, key: str, length: str) -> DataFrame:
     """(key, _h1, _h2, _nth, len) of each row; ``ORDER`` is a total order."""
     size = F.coalesce(F.col(length).cast("long"), F.lit(0).cast("long"))
-    rows = d.select(F.col(key).alias("key"), size.alias("len"), *[c.alias(n) for n, c in _identity(d, key)[0].items()])
-    copies = rows.groupBy("key", *SAME, "len").agg(F.count(F.lit(1)).alias("_n"))
-    return copies.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+    return numbered(d, [key], {"len": size}).withColumnRenamed(key, "key")
 
 
 def lane_rows(d: DataFrame, key: str, length: str, n_lanes: int | None, seed: int) -> DataFrame:
@@ -69,20 +59,8 @@ def lane_rows(d: DataFrame, key: str, length: str, n_lanes: int | None, seed: in
 
 
 def with_plan(d: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """Each line of a plan of ``d`` (with ``key`` and ``SAME``) with its row, null-safe.
-
-    Rows that agree in every column are one row here, which all their lines share.
-    """
-    same, repeated = _identity(d, key)
-    rows = d.withColumns(same)
-    if repeated:
-        rows = rows.dropDuplicates([key, *SAME])
-    names = {"key": "_pk", **{c: f"_p{c}" for c in SAME}}
-    lines = plan.drop("_nth").withColumnsRenamed(names)
-    on = F.col(key).eqNullSafe(F.col("_pk"))
-    for c in SAME:
-        on = on & (F.col(c) == F.col(f"_p{c}"))
-    return rows.join(lines, on).drop(*SAME, *names.values())
+    """Each line of a plan of ``d`` with its row."""
+    return with_lines(d, plan.withColumnRenamed("key", key), [key])
 
 
 def _most(items: DataFrame, unit: int) -> int:

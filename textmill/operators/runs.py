@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import dense_index
+from ..functions.ranking import dense_index, last_known, running_sum
 from ..functions.sizing import broadcast_if_small
 
 # ---------------------------------------------------------------------------
@@ -77,8 +77,8 @@ def peak_flops_lookup(d: DataFrame, table: DataFrame, name: str = "device") -> D
 
 
 def linreg(d: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """1-D OLS per group: slope, intercept, R^2 = 1 - SSres/SStot."""
-    return d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"),
+    """1-D OLS per group: slope, intercept, R^2 = 1 - SSres/SStot, of the ``n`` rows that have both values."""
+    return d.groupBy(*group).agg(F.regr_count(y, x).alias("n"),
                                  F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                                  F.regr_r2(y, x).alias("r2"))
 
@@ -102,16 +102,23 @@ def ridge(d: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float]
     """(X'X + aI')^-1 X'y with an unpenalised intercept, for each alpha.
 
     The Gram matrix is one Spark aggregate of d(d+1)/2 + d + 1 sums; the
-    (d+1)x(d+1) solve happens on the driver (a handful of numbers).
+    (d+1)x(d+1) solve happens on the driver (a handful of numbers).  Rows with a NULL
+    or NaN take no part; without any row there are no coefficients.
     """
     cols = ["_one", *features]
-    base = d.withColumn("_one", F.lit(1.0))
+    complete = F.lit(True)
+    for c in (*features, y):
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    base = d.filter(complete).withColumn("_one", F.lit(1.0))
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
             aggs.append(F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"g_{a}_{b}"))
         aggs.append(F.sum(F.col(a).cast("double") * F.col(y).cast("double")).alias(f"r_{a}"))
     row = base.agg(*aggs).first().asDict()
+    schema = "alpha double, term string, coef double"
+    if not row["g__one__one"]:
+        return d.sparkSession.createDataFrame([], schema)
     k = len(cols)
     g = np.zeros((k, k))
     r = np.zeros(k)
@@ -123,9 +130,9 @@ def ridge(d: DataFrame, features: Sequence[str], y: str, alphas: Sequence[float]
     for alpha in alphas:
         pen = np.eye(k) * alpha
         pen[0, 0] = 0.0
-        coef = np.linalg.solve(g + pen, r)
+        coef = np.linalg.lstsq(g + pen, r, rcond=None)[0]  # the smallest of several solutions
         out += [(float(alpha), name, float(c)) for name, c in zip(["intercept", *features], coef)]
-    return d.sparkSession.createDataFrame(out, "alpha double, term string, coef double")
+    return d.sparkSession.createDataFrame(out, schema)
 
 
 def predict_from_fit(d: DataFrame, fit: DataFrame, group: Sequence[str], x: str, out: str = "pred") -> DataFrame:
@@ -208,19 +215,25 @@ def repeat_run_stats(d: DataFrame, group: Sequence[str], value: str, threshold:
 
 def interp_column(points: DataFrame, knots: DataFrame, group: Sequence[str], at: str,
                   kx: str = "x", ky: str = "y") -> DataFrame:
-    """Piecewise-linear interpolation per group, clamped to the end knots (like ``np.interp``)."""
-    w = Window.partitionBy(*group).orderBy(kx)
-    knot = knots.select(*group, F.col(kx).alias("_x"), F.lit(0).alias("_kind"), F.struct(
-        F.col(kx).alias("x0"), F.col(ky).alias("y0"), F.lead(kx).over(w).alias("x1"), F.lead(ky).over(w).alias("y1")).alias("_knot"))
-    # points and knots in one order: a point's segment starts at the last knot before it
-    both = knot.unionByName(points.select("*", F.col(at).alias("_x"), F.lit(1).alias("_kind")), allowMissingColumns=True)
-    upto = Window.partitionBy(*group).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_k", F.last("_knot", ignorenulls=True).over(upto)).filter("_kind = 1")
-    ends = knots.groupBy(*group).agg(F.min_by(ky, kx).alias("_y_first"))
-    j = both.join(ends, list(group), "left")
-    k, x = F.col("_k"), F.col(at)
-    val = (F.when(k.isNull(), F.col("_y_first")).when(k["x1"].isNull() | (x == k["x0"]), k["y0"])
-           .otherwise(k["y0"] + (k["y1"] - k["y0"]) * (x - k["x0"]) / (k["x1"] - k["x0"])))
+    """Piecewise-linear interpolation per group, clamped to the end knots (like ``np.interp``).
+
+    A group's points and knots are scanned in range buckets, so a hot group spreads over tasks.
+    A NULL point, or a group without knots, gives NULL; knots with a NULL place count for nothing.
+    """
+    k = knots.select(*group, F.col(kx).cast("double").alias("_x"), F.col(ky).alias("_y")).filter("_x IS NOT NULL")
+    k = running_sum(k, F.lit(0), ["_x", "_y"], by=group, out="_n", previous={"_x0": "_x", "_y0": "_y"})
+    knot = k.select(*group, (-F.col("_x")).alias("_at"), F.lit(0).alias("_kind"), F.struct("_x", "_y", "_x0", "_y0").alias("_knot"))
+    # from right to left: a point meets the first knot at or after it, which knows the one before
+    point = points.withColumn("_at", -F.col(at).cast("double")).withColumn("_kind", F.lit(1))
+    both = last_known(knot.unionByName(point, allowMissingColumns=True), "_knot", ["_at", "_kind"], by=group, out="_next").filter("_kind = 1")
+    ends = knots.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.max_by(ky, kx).alias("_y_last"))
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    j = both.join(ends, on, "left")
+    n, x = F.col("_next"), F.col(at)
+    val = (F.when(x.isNull(), F.lit(None)).when(n.isNull(), F.col("_y_last")).when(n["_x0"].isNull() | (x == n["_x"]), n["_y"])
+           .otherwise(n["_y0"] + (n["_y"] - n["_y0"]) * (x - n["_x0"]) / (n["_x"] - n["_x0"])))
     return j.select(*points.columns, val.alias("interp"))
 
 

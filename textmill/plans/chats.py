@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import render_mc
 from ..operators import chat
+from ..operators.tools import verify_tool_outputs
 from .fixtures import table
 from .registry import query
 
@@ -240,3 +241,33 @@ def q_render_mc(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     letters = F.array(*[F.lit(x) for x in LETTERS])
     return b.select("item_id", render_mc(F.col("text"), letters, mc_choices(F.col("text"))).alias("prompt"))
+
+
+TOOL_SQL = """t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS letters FROM conversations WHERE role = 'assistant'),
+v AS (SELECT *, (turn + 3) * 2 - conv_id / 4 AS sum_, length(left(letters, 40)) - length(replace(left(letters, 40), 'e', '')) AS e_ FROM t)"""
+
+
+def tool_conversations(spark, sf_dir):
+    """Assistant turns as calls: a sum, a letter count over the turn's text, and four that fail; some outputs are wrong."""
+    t = table(spark, sf_dir, "conversations")
+    letters = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40)
+    total = ((F.col("turn") + 3) * 2 - F.col("conv_id") / 4).cast("string")
+    count = (F.length(letters) - F.length(F.replace(letters, F.lit("e"), F.lit("")))).cast("string")
+    call = lambda expr, out: [F.struct(F.lit("python").alias("type"), expr.alias("text")), F.struct(F.lit("python_output").alias("type"), out.alias("text"))]
+    parts = [*call(F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(" + 3) * 2 - "), F.format_string("%,d", "conv_id"), F.lit(" / 4")),
+                   F.when(F.col("conv_id") % 5 == 0, F.lit("0.123")).otherwise(total)),
+             *call(F.concat(F.lit("'"), letters, F.lit("'.count('e')")), F.when(F.col("turn") % 3 == 0, F.lit("-1")).otherwise(count)),
+             *call(F.lit("2 ** 3"), F.lit("8")), *call(F.lit("1 / (2 - 2)"), F.lit("0")), *call(F.lit("(1 + 2"), F.lit("3")), *call(F.lit("open('x').count('y')"), F.lit("0")),
+             F.struct(F.lit("python").alias("type"), F.lit("7 // 2").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("3").alias("text"))]
+    part = F.when(F.col("role") == "assistant", F.array(*parts))
+    entry = F.struct(F.col("turn").alias("o"), chat.message(F.col("role"), F.col("text"), part).alias("m"))
+    return t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["m"]).alias("messages"))
+
+
+@query("verify_tool_outputs", oracle=f"""WITH {TOOL_SQL}
+SELECT c.conv_id, 7 * count(v.turn) AS n_calls, 4 * count(v.turn) AS n_refused, count(v.turn) AS n_unanswered,
+       coalesce(sum(CASE WHEN CASE WHEN v.conv_id % 5 = 0 THEN 0.123 ELSE sum_ END <> sum_ THEN 1 ELSE 0 END
+                  + CASE WHEN CASE WHEN v.turn % 3 = 0 THEN -1 ELSE e_ END <> e_ THEN 1 ELSE 0 END), 0)::BIGINT AS n_mismatched
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN v ON v.conv_id = c.conv_id GROUP BY c.conv_id""")
+def q_verify_tool_outputs(spark, sf_dir):
+    return verify_tool_outputs(tool_conversations(spark, sf_dir)).drop("messages")

@@ -28,6 +28,18 @@ def q_source_filter(spark, sf_dir):
     return filtered_docs(spark, sf_dir).select("doc_id", "shard", "source", "n_chars")
 
 
+@query("source_filter_fields", oracle=f"""WITH {FILTERED_SQL}
+SELECT doc_id, source, md5(text) AS text_md5 FROM filtered WHERE shard <> 'src3'""")
+def q_source_filter_fields(spark, sf_dir):
+    """Each source has its text in a column of its own (French in ``body``), and a predicate of the user's."""
+    d = source_docs(spark, sf_dir)
+    french = F.col("source") == "fr"
+    d = d.withColumn("body", F.when(french, F.col("text"))).withColumn("text", F.when(french, F.lit("x" * 500)).otherwise(F.col("text")))
+    spec = spec_df(spark).withColumn("text_col", F.when(french, F.lit("body")).otherwise(F.lit("text")))
+    r = filters.source_filter(d, spec, scores(spark, sf_dir), extra=F.col("shard") != "src3", text_cols=("text", "body"))
+    return r.select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 INTERLEAVE_SQL = f"""{FILTERED_SQL},
 counts AS (SELECT source, count(*) AS n_docs FROM filtered GROUP BY source),
 live AS (

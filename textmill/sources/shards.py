@@ -12,7 +12,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -76,10 +76,10 @@ def epochs_after(d: DataFrame, epoch: int, pq: int, rg: int, rank: int, world: i
 def last_shard(spark: SparkSession, path: str) -> int | None:
     """The largest shard number of a folder of shards: file names are listed, nothing is read."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    return names.agg(F.max(F.regexp_extract("path", r"/shard_id=(\d+)/", 1).cast("int"))).first()[0]
+    return names.agg(F.max(F.regexp_extract("path", r"/shard_id=(\d+)/", 1).try_cast("int"))).first()[0]
 
 
-def row_groups_of_rank(rank: int, world: int, size: int = ROW_GROUP, start: int = 0, terms: int = 64) -> Column:
+def row_groups_of_rank(d: DataFrame, rank: int, world: int, size: int = ROW_GROUP, start: int = 0, terms: int = 64) -> DataFrame:
     """Rows of the row groups ``rank, rank + world, ...`` from group ``start`` on.
 
     The first ``terms`` groups are ranges of ``row_in_shard``, which the Parquet reader compares
@@ -87,14 +87,13 @@ def row_groups_of_rank(rank: int, world: int, size: int = ROW_GROUP, start: int
     """
     row = F.col("row_in_shard")
     if world == 1:
-        return row >= start * size
+        return d.filter(row >= start * size)
     first = start + (rank - start) % world
     groups = [first + k * world for k in range(terms)]
-    picked = row.between(groups[0] * size, groups[0] * size + size - 1)
-    for g in groups[1:]:
+    picked = row >= (groups[-1] + 1) * size
+    for g in groups:
         picked = picked | row.between(g * size, g * size + size - 1)
-    rest = (row >= (groups[-1] + 1) * size) & (F.floor(row / size) % world == rank)
-    return picked | rest
+    return d.filter(picked).filter(F.floor(row / size) % world == rank)  # only the first of the two reaches the reader
 
 
 def scan_text_shards(spark: SparkSession, path: str, split: str | None = "train", rank: int = 0, world: int = 1,
@@ -113,13 +112,12 @@ def scan_text_shards(spark: SparkSession, path: str, split: str | None = "train"
     if split:
         last = last_shard(spark, path)
         d = d.filter(F.lit(False) if last is None else F.col("shard_id") < last if split == "train" else F.col("shard_id") == last)
-    wanted = row_groups_of_rank(rank, world, size)
-    if after is not None:
-        pq, rg = after
-        d = d.filter(F.col("shard_id") >= pq)
-        resumed = row_groups_of_rank(rank, world, size, start=(rg // world + 1) * world)
-        wanted = ((F.col("shard_id") > pq) & wanted) | ((F.col("shard_id") == pq) & resumed)
-    return row_group_of(d.filter(wanted), size)
+    if after is None:
+        return row_group_of(row_groups_of_rank(d, rank, world, size), size)
+    pq, rg = after
+    rest = row_groups_of_rank(d.filter(F.col("shard_id") == pq), rank, world, size, start=(rg // world + 1) * world)
+    later = row_groups_of_rank(d.filter(F.col("shard_id") > pq), rank, world, size)
+    return row_group_of(rest.unionByName(later), size)
 
 
 def skip_done(d: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
