@@ -49,6 +49,7 @@ SLACK = 20  # of so many shingles one more is looked at, and has to be shared
 SAMPLE = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 3  # times in the sample
 MAX_FREQUENT = 200_000
+LEADS = 3
 GROUP = 32
 QUERIES = 500
 BUCKET_BYTES = 16 << 20
@@ -277,9 +278,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not sets.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():  # rows that repeat id and text
         sets = cut(sets.dropDuplicates(["rep"]), "near-sets-once")
 
-    # first components: comparison with the smallest node of each minimum hash
-    keys = sets.select("rep", "n", F.posexplode("least").alias("k", "m"))
-    lead = keys.groupBy("k", "m").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # first components: comparison with ``LEADS`` nodes of each minimum hash, and of each two of
+    # them, whose nodes are closer to one another; hashes pick them, so that a family has many
+    two = [F.xxhash64(F.get("least", i), F.get("least", j)) for i in range(len(_SEEDS)) for j in range(i)]
+    keys = sets.select("rep", "n", F.posexplode(F.concat("least", F.array(*two))).alias("k", "m"))
+    leads = [F.min(F.struct(F.xxhash64("rep", "k", F.lit(t)), "rep", "n")).alias(f"l{t}") for t in range(LEADS)]
+    lead = keys.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c"), *leads).filter("c > 1")
+    lead = lead.select("k", "m", F.explode(F.array_distinct(F.array(*[f"l{t}" for t in range(LEADS)]))).alias("lead"))
     pairs = keys.join(lead, ["k", "m"]).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"), "n", F.col("lead.n").alias("ln"))
     pairs = pairs.filter((F.col("x") != F.col("y")) & (DEN * F.least("n", "ln") >= NUM * F.greatest("n", "ln"))).select("x", "y").distinct()
     a, b = sets.select(F.col("rep").alias("x"), F.col("set").alias("sx")), sets.select(F.col("rep").alias("y"), F.col("set").alias("sy"))
