@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, dense_sorted_index, partitions, table
+from .suffix_dedup import _deflated, _inflated
 from .words import GRAPH, Words, scramble, shards
 
 WIDTH = 5
@@ -49,8 +50,8 @@ SLACK = 20  # of so many shingles one more is looked at, and has to be shared
 SAMPLE = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 3  # times in the sample
 MAX_FREQUENT = 200_000
-LEADS = 3
-GROUP = 32
+LEADS = 2
+GROUP = 64
 QUERIES = 500
 BUCKET_BYTES = 16 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -191,7 +192,7 @@ def _described_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         n, k1, k2, rep = (batch.column(c).to_pylist() for c in ("n", "k1", "k2", "rep"))
         rows = [(rep[j], n[j], packed(s), [int(x) for x in (s[:, None] ^ _SEEDS).min(0).view(np.int64)])
-                for j, s in enumerate(shingle_sets(_texts(batch))) if len(s) == n[j] and len(s) and _sums(s) == (k1[j], k2[j])]
+                for j, s in enumerate(shingle_sets(_inflated(batch))) if len(s) == n[j] and len(s) and _sums(s) == (k1[j], k2[j])]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                               pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["rep", "n", "set", "least"])
@@ -272,7 +273,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = shared.groupBy(F.col("node").alias("low")).agg(F.count(F.lit(1)).alias("c"))
     near = nodes.join(counts, low("k1") == F.col("low")).filter(F.col("c") >= needed("n")).select("n", "k1", "k2", "name", "text_hash", "rep")
     near = cut(near, "near-nodes")
-    sets = (rows.join(near, F.col("i").eqNullSafe(F.col("name")) & (F.col("x") == F.col("text_hash"))).select("rep", "n", "k1", "k2", "text")
+    small = rows.mapInArrow(_deflated, "i long, x long, size long, z binary")
+    sets = (small.join(near, F.col("i").eqNullSafe(F.col("name")) & (F.col("x") == F.col("text_hash"))).select("rep", "n", "k1", "k2", "size", "z")
             .mapInArrow(_described_sets, "rep long, n long, set binary, least array<long>"))
     sets = cut(sets, "near-sets")
     if not sets.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():  # rows that repeat id and text
