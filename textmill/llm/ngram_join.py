@@ -50,8 +50,8 @@ SLACK = 20  # of so many shingles one more is looked at, and has to be shared
 SAMPLE = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 3  # times in the sample
 MAX_FREQUENT = 200_000
-LEADS = 2
-GROUP = 64
+LEADS = 3
+GROUP = 32
 QUERIES = 500
 BUCKET_BYTES = 16 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
