@@ -64,15 +64,15 @@ def contamination(rows, items, window=13):
     windows = {}
     for name, t in items:
         w = ALNUM.findall(lowered(t))
-        for k in range(max(1, len(w) - window + 1) if w and name is not None else 0):
-            windows.setdefault(tuple(w[k:k + window]), set()).add(str(name))
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k:k + window]), set()).update([] if name is None else [str(name)])
     lengths = {len(w) for w in windows}
     out = {}
     for i, t in rows:
         w, hit, found = ALNUM.findall(lowered(t)), set(), set()
         for n in lengths:
             for k in range(len(w) - n + 1):
-                if names := windows.get(tuple(w[k:k + n])):
+                if (names := windows.get(tuple(w[k:k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found |= names
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
@@ -98,14 +98,20 @@ def suffixes(rows, length=50):
     return out
 
 
-def lines(rows, least=2):
-    """{doc_id: sorted removed line numbers} of rows with distinct ids."""
+def lines(rows, least=1):
+    """{doc_id: sorted removed line numbers} of rows with distinct ids.
+
+    With ``least`` 1 a blank line goes only with a neighbour that isn't blank.
+    """
     first, split = {}, {i: (t or "").split("\n") for i, t in rows}
     gone = {i: set() for i in split}
     for i in sorted(split):
-        for p in range(len(split[i]) - least + 1):
-            if first.setdefault(tuple(split[i][p:p + least]), (i, p)) != (i, p):
-                gone[i].update(range(p, p + least))
+        for n in (least, 2) if least == 1 else (least,):
+            for p in range(len(split[i]) - n + 1):
+                run = tuple(split[i][p:p + n])
+                blank = sum(not GRAPH.search(line) for line in run)
+                if (blank == n - 1 or least > 1) and first.setdefault(run, (i, p)) != (i, p):
+                    gone[i].update(range(p, p + n))
     return {i: sorted(g) for i, g in gone.items()}
 
 

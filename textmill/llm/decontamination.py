@@ -8,17 +8,21 @@ shard an FM-index is built (``fmindex``); all windows are searched backwards sid
 through the ranks of its wavelet matrix, occurrences are located by sampled suffix
 positions, and overlapping occurrences merge into spans.
 
-The benchmark is the query set.  It is read in blocks of at most ``BLOCK_WORDS`` words, each
-shipped with one pass over the documents; the passes add to one another's spans.
+The benchmark is the query set.  One of at most ``BLOCK_WORDS`` words is shipped with the one
+pass over the documents.  A larger one is read in blocks of that size, one at a time: each
+block's pass writes the spans it found, by digest of the text, before the next is read, and a
+last pass merges the spans of all blocks.
 
 Defined cases: null or empty text has no words and is clean; an item without words is never
-found; items that repeat an id are one item; items without id are ignored; an empty
-benchmark leaves every document clean; an empty table gives an empty result; other columns
+found; items that repeat an id are one item; windows of items without id are hit like all
+others, but such items have no id to list or count; an empty benchmark leaves every document clean; an empty table gives an empty result; other columns
 are ignored, or kept by ``decontaminated``, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_rows, cut, table
 from .fmindex import FMIndex
 from .words import ALNUM, Words, shards
 
@@ -51,17 +55,19 @@ class Block(NamedTuple):
     names: list[str]
 
 
-def block_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Block:
+def block_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Block:
     """The distinct windows of ``items``; symbols are 2 + the place in the vocabulary."""
     words = Words([t for _, t in items], ALNUM)
     vocabulary, symbol = np.unique(words.hash, return_inverse=True)
-    names = sorted({n for n, _ in items})
+    names = sorted({n for n, _ in items if n is not None})
     number = {n: k for k, n in enumerate(names)}
     owners: dict[bytes, set[int]] = {}
     for k, (name, _) in enumerate(items):
         own = symbol[words.first[k]:words.first[k + 1]].astype(np.int64) + 2
         for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-            owners.setdefault(own[at:at + window].tobytes(), set()).add(number[name])
+            owner = owners.setdefault(own[at:at + window].tobytes(), set())
+            if name is not None:
+                owner.add(number[name])
     phrases = np.zeros((len(owners), window), np.int64)
     lengths = np.zeros(len(owners), np.int64)
     for k, key in enumerate(owners):
@@ -74,7 +80,7 @@ def block_of(items: list[tuple[str, bytes]], window: int = WINDOW) -> Block:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark in blocks of bounded size, read one partition at a time."""
-    rows = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
     held, size = [], 0
     for name, text in rows.toLocalIterator():
         n = 1 + len(text) // 2
@@ -116,7 +122,7 @@ def occurrences(words: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(texts: list[bytes], block: Block, before: list | None = None) -> list[dict]:
-    """FOUND of each text; ``before`` has that of earlier blocks."""
+    """FOUND of each text; ``before`` has that of earlier blocks, or None."""
     out = []
     for lo, hi in shards(texts):
         words = Words(texts[lo:hi], ALNUM)
@@ -129,6 +135,8 @@ def search(texts: list[bytes], block: Block, before: list | None = None) -> list
             items[doc].update(block.names[x] for x in block.item_of[block.item_from[phrase]:block.item_from[phrase + 1]])
         if before:
             for k, old in enumerate(before[lo:hi]):
+                if old is None:
+                    continue
                 items[k].update(old["items"])
                 for s in old["spans"]:
                     mark[words.first[k] + s["first_word"]] += 1
@@ -156,13 +164,37 @@ def _scanner(block: Block):
 
 
 def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "__found") -> DataFrame:
-    """``docs`` with a column of FOUND: words, hit words, items found, and merged spans."""
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    earlier: Column = F.lit(None).cast(FOUND_SQL)
-    docs = docs.withColumn(out, earlier)
-    for block in [*blocks(benchmark)] or [block_of([])]:
-        docs = docs.withColumn(out, _scanner(block)(text, F.col(out)))
-    return docs
+    """``docs`` with a column of FOUND: words, hit words, items found, and merged spans.
+
+    A column of ``docs`` that is named ``out`` is replaced.
+    """
+    mine = as_rows(docs)
+    text = F.coalesce(F.col("row")[text_col].cast("binary"), F.lit("").cast("binary"))
+    none, rest = F.lit(None).cast(FOUND_SQL), blocks(benchmark)
+    block, more = next(rest, block_of([])), next(rest, None)
+    if more is None:
+        done = mine.withColumn("found", _scanner(block)(text, none))
+    else:
+        mine = mine.withColumn("digest", F.sha2(text, 256))
+        hits = _merged(mine.select("digest", text.alias("text")), itertools.chain([block, more], rest))
+        done = mine.join(hits, "digest", "left").withColumn("found", _scanner(block_of([]))(text, F.col("before")))
+    return done.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], F.col("found").alias(out))
+
+
+def _merged(texts: DataFrame, rest: Iterator[Block]) -> DataFrame:
+    """(digest, before) of the texts that blocks hit: FOUND with the items and spans of all blocks.
+
+    Equal texts have equal spans, so they are one row from the map side of the grouping on.
+    """
+    passes = []
+    for block in rest:
+        got = texts.select("digest", _scanner(block)(F.col("text"), F.lit(None).cast(FOUND_SQL)).alias("found")).filter("found.n_hit > 0")
+        passes.append(cut(got.groupBy("digest").agg(F.first("found").alias("found")), "block-hits"))
+    every = functools.reduce(DataFrame.unionByName, passes)
+    whole = every.groupBy("digest").agg(F.max("found.n_words").alias("n_words"), F.max("found.n_hit").alias("n_hit"),
+                                        F.array_distinct(F.flatten(F.collect_list("found.items"))).alias("items"),
+                                        F.flatten(F.collect_list("found.spans")).alias("spans"))  # one entry a block
+    return whole.select("digest", F.struct("n_words", "n_hit", "items", "spans").alias("before"))
 
 
 def contaminated(found_col: str = "__found") -> Column:
@@ -172,7 +204,8 @@ def contaminated(found_col: str = "__found") -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, unchanged."""
-    return found(docs, benchmark, text_col).filter(~contaminated()).drop("__found")
+    mine = as_rows(docs).select("row", F.col("row")[text_col].alias("text"))
+    return found(mine, benchmark).filter(~contaminated()).select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
