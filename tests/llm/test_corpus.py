@@ -152,10 +152,12 @@ def test_contamination(spark, docs, rows, monkeypatch):
 
 
 def test_line_runs(docs, rows):
-    want = lines(rows)
-    got = line_dedup.repeated_runs(docs).collect()
-    assert {r["i"]: sorted(k for a, b in r["runs"] for k in range(a, b)) for r in got} == want
-    assert all(r["n_removed"] == len(want[r["i"]]) for r in got)
+    for least in (2, 3, 1):
+        want = lines(rows, least)
+        got = line_dedup.repeated_runs(docs, min_lines=least).collect()
+        assert {r["i"]: sorted(k for a, b in r["runs"] for k in range(a, b)) for r in got} == want
+        assert all(r["n_removed"] == len(want[r["i"]]) for r in got)
+        assert all(b < c for r in got for (_, b), (c, _) in zip(r["runs"], r["runs"][1:], strict=False))
     texts = dict(rows)
     for r in line_dedup.without_repeats(docs).collect():
         parts = (texts[r["doc_id"]] or "").split("\n")
@@ -163,6 +165,36 @@ def test_line_runs(docs, rows):
         assert (r["text"] or "") == left
 
 
+def test_line_runs_of_one_line(spark):
+    """A line between other neighbours and a one-line document go; gaps between paragraphs stay."""
+    rows = [(1, "a\n\nnotice\n\n\nb"), (2, "notice"), (3, "c\n\nd\nnotice\ne\n\n\nf"), (4, "x\n \nnotice\n\n\nz"), (5, "\n\n"), (6, " ")]
+    got = {r["i"]: [tuple(x) for x in r["runs"]] for r in line_dedup.repeated_runs(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [(0, 1)], 3: [(3, 4)], 4: [(2, 4)], 5: [], 6: []}
+    assert {i: [k for a, b in v for k in range(a, b)] for i, v in got.items()} == lines(rows)
+
+
+def test_line_runs_null_and_repeated_ids(spark):
+    """A null id comes first; rows that repeat id and text are copies of the first."""
+    rows = [(4, "p\nq"), (4, "p\nq"), (None, "q\nr"), (4, "r\ns"), (2, "s\nt")]
+    left = [(r["doc_id"], r["text"]) for r in line_dedup.without_repeats(frame(spark, rows)).collect()]
+    assert sorted(left, key=repr) == sorted([(None, "q\nr"), (2, "s\nt"), (4, "p"), (4, ""), (4, "")], key=repr)
+
+
+def test_clashing_names(spark, rows):
+    """Stages keep other columns whatever their names, names of the operators' own included."""
+    names = ["__d", "__n", "__h", "__found", "__i", "row", "n", "k", "h", "s", "found", "runs", "digest", "copy_no", "a.b", "times", "best", "empty"]
+    docs = frame(spark, rows).select("doc_id", "text", "source", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in names])
+    bench = spark.createDataFrame([(1, rows[15][1])], "item_id long, text string")
+    stages = [exact_dedup.exact_dedup(docs), ngram_join.without_near_copies(docs), line_dedup.without_repeats(docs), decontamination.decontaminated(docs, bench)]
+    for kept in stages:
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert got and all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in names)
+    out = mixing.mixed(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert all(r[c] == f"{c}-{r['doc_id']}" for r in out.collect() for c in names if c != "copy_no")
+
+
 def test_common_prefixes(spark):
     """Suffix order and common prefixes of two short sequences, by comparing lists."""
     rows = [(1, "a\nb\na\nb\na"), (2, "b\na\nb\nc\nz"), (3, "q\na\nb\na\nb\na")]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import as_rows, cut, table
 
 SALTS = 16
 
@@ -78,14 +78,13 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, unchanged: of equal texts the one with the smallest id."""
-    best = winners(docs, id_col, text_col, salts).select(F.col("keep_id").alias("__i"), F.col("d").alias("__w"), F.col("t").alias("__c"))
-    text = normalised(F.col(text_col))
-    mine = docs.withColumn("__d", F.unhex(F.sha2(text, 256)))
-    hit = mine.join(best, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__d") == F.col("__w"))
-                    & (F.col("__c").isNull() | (F.col("__c") == text)))
-    first = Window.partitionBy(id_col, "__d").orderBy(F.lit(1))
-    nth = F.row_number().over(first)
-    return hit.withColumn("__n", nth).filter("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = winners(docs, id_col, text_col, salts).select(F.col("keep_id"), F.col("d").alias("w"), F.col("t").alias("c"))
+    text = normalised(F.col("row")[text_col])
+    mine = as_rows(docs).select("row", F.col("row")[id_col].alias("i"), F.unhex(F.sha2(text, 256)).alias("d"))
+    hit = mine.join(best, F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("d") == F.col("w")) & (F.col("c").isNull() | (F.col("c") == text)))
+    # a digest may have several contents, each with its own winner
+    nth = F.row_number().over(Window.partitionBy("i", "d", "c").orderBy(F.lit(1)))
+    return hit.withColumn("n", nth).filter("n = 1").select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

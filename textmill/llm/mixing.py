@@ -14,7 +14,8 @@ stops at ``max_copies`` times the source's size and the excess is shared again b
 
 Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source;
 repeated rows are rounded each for itself; an empty table gives an empty result; other
-columns are ignored (``mixed`` returns them), whatever their names but ``copy_no``.
+columns are ignored (``mixed`` returns them), whatever their names, but ``mixed`` replaces a
+column ``copy_no``.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, dense_sorted_index, table
+from .common import WORD, as_rows, cut, dense_sorted_index, table
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -135,13 +136,14 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with ``copy_no`` from 1."""
     got = decisions(docs, id_col, text_col, source_col, **how).filter("copies > 0")
-    got = got.select(F.col("i").alias("__i"), F.col("h").alias("__h"), F.col("source").alias("__s"), F.col("n").alias("__k"), F.col("copies").alias("__c"))
-    mine = docs.withColumn("__id", F.col(id_col).cast("string")).withColumn("__x", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    mine = mine.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__x", source_col).orderBy(F.lit(1))))
-    on = (F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__h")) & F.col(source_col).eqNullSafe(F.col("__s"))
-          & (F.col("__n") == F.col("__k")))
-    out = mine.join(got, on).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__c"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no")
+    got = got.select("i", "h", "source", "n", "copies")
+    row = F.col("row")
+    mine = as_rows(docs).select("row", row[id_col].cast("string").alias("id"), F.xxhash64(F.coalesce(row[text_col], F.lit(""))).alias("x"), row[source_col].alias("s"))
+    mine = mine.withColumn("k", F.row_number().over(Window.partitionBy("id", "x", "s").orderBy(F.lit(1))))
+    on = (F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("h")) & F.col("s").eqNullSafe(F.col("source"))
+          & (F.col("k") == F.col("n")))
+    out = mine.join(got, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("times"))
+    return out.select(*[row[c].alias(c) for c in docs.columns if c != "copy_no"], F.col("times").alias("copy_no"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dense_sorted_index, partitions, table
+from .common import as_rows, cut, dense_sorted_index, partitions, table
 from .words import GRAPH, Words, scramble, shards
 
 WIDTH = 5
@@ -329,13 +329,12 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` that stay, unchanged: of each component the smallest id, and empty texts."""
     found = near_classes(docs, id_col, text_col).filter("n_shingles > 0")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("i").isNull().alias("no"), "i", "x")).alias("b"))
-    best = cut(best.select(F.col("b.i").alias("__i"), F.col("b.x").alias("__x")), "near-winners")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    mine = docs.withColumn("__h", F.xxhash64(text)).withColumn("__e", ~text.rlike(r"[^\x20\x09-\x0D]"))
-    hit = mine.filter(~F.col("__e")).join(best, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")))
-    hit = hit.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(F.lit(1)))).filter("__n = 1")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return hit.select(*own).unionByName(mine.filter("__e").select(*own))
+    best = cut(best.select(F.col("b.i").alias("best"), F.col("b.x").alias("x")), "near-winners")
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    mine = as_rows(docs).select("row", F.col("row")[id_col].alias("i"), F.xxhash64(text).alias("h"), (~text.rlike(r"[^\x20\x09-\x0D]")).alias("empty"))
+    hit = mine.filter(~F.col("empty")).join(best, F.col("i").eqNullSafe(F.col("best")) & (F.col("h") == F.col("x")))
+    hit = hit.withColumn("nth", F.row_number().over(Window.partitionBy("i", "h").orderBy(F.lit(1)))).filter("nth = 1")
+    return hit.select("row").unionByName(mine.filter("empty").select("row")).select("row.*")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
