@@ -173,6 +173,15 @@ def test_line_runs_of_one_line(spark):
     assert {i: [k for a, b in v for k in range(a, b)] for i, v in got.items()} == lines(rows)
 
 
+def test_long_line_runs(spark):
+    """Copies of many different lines have long common prefixes after few rounds."""
+    body = [f"different {k}" for k in range(40)]
+    rows = [(1, "\n".join(body)), (2, "\n".join(body)), (3, "\n".join(["own", *body[5:25], "end"])), (4, "\n".join(body[:7])), (5, "\n".join(body[-3:]))]
+    for least in (1, 7, 20, 21):
+        got = {r["i"]: sorted(k for a, b in r["runs"] for k in range(a, b)) for r in line_dedup.repeated_runs(frame(spark, rows), min_lines=least).collect()}
+        assert got == lines(rows, least)
+
+
 def test_line_runs_null_and_repeated_ids(spark):
     """A null id comes first; rows that repeat id and text are copies of the first."""
     rows = [(4, "p\nq"), (4, "p\nq"), (None, "q\nr"), (4, "r\ns"), (2, "s\nt")]

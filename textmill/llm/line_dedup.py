@@ -39,27 +39,26 @@ CHUNK = 100_000
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(u, i, x, pos, mark, h1, h2): a row per line; u numbers the documents, x hashes their text.
+    """(u, i, x, pos, left, mark, h1, h2): a row per line; u numbers the documents, x hashes their text.
 
-    mark: 1 for a line that isn't blank, and 2 more if just one of it and the next is blank.
+    left: lines from pos to the end, so that of all lines at pos 0; mark: 1 for a line that isn't blank, and 2 more if just one of it and the next is blank.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("x"), F.monotonically_increasing_id().alias("u"), F.split(text, "\n", -1).alias("l"))
     rows = rows.withColumn("full", F.transform("l", lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     following = F.slice("full", F.lit(2), F.size("full"))
-    lines = rows.select("u", "i", "x", F.posexplode(F.arrays_zip("l", "full", following.alias("after"))).alias("pos", "at"))
+    lines = rows.select("u", "i", "x", F.size("l").alias("size"), F.posexplode(F.arrays_zip("l", "full", following.alias("after"))).alias("pos", "at"))
     line, full, after = F.col("at.l"), F.col("at.full"), F.col("at.after")
     mark = F.when(full, 1).otherwise(0) + F.when(full != after, 2).otherwise(0)
-    return cut(lines.select("u", "i", "x", "pos", mark.cast("byte").alias("mark"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")), "lines")
+    return cut(lines.select("u", "i", "x", "pos", (F.col("size") - F.col("pos")).alias("left"), mark.cast("byte").alias("mark"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")), "lines")
 
 
-def active_ranks(lines: DataFrame) -> DataFrame:
-    """(u, pos, i, mark, left, r) of the lines that occur more than once; left: lines from pos to the end."""
+def active_ranks(lines: DataFrame) -> tuple[DataFrame, int]:
+    """(u, pos, i, mark, left, r) of the lines that occur more than once, and how many ranks there are."""
     ids = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     ids = sorted_index(ids, F.col("h1"), F.col("h2"), name="line-ids")
-    ends = lines.groupBy("u").agg((F.max("pos") + 1).alias("end"))
-    many = lines.join(ids, ["h1", "h2"]).join(ends, "u")
-    return cut(many.select("u", "pos", "i", "mark", (F.col("end") - F.col("pos")).alias("left"), F.col("rank").alias("r")), "ranks-1")
+    many = lines.join(ids, ["h1", "h2"])
+    return cut(many.select("u", "pos", "i", "mark", "left", F.col("rank").alias("r")), "ranks-1"), ids.count()
 
 
 def _ahead(ranks: DataFrame, width: int) -> DataFrame:
@@ -80,9 +79,9 @@ def doubled(ranks: DataFrame, width: int) -> tuple[DataFrame, int]:
 
 
 def suffix_ranks(lines: DataFrame) -> dict[int, DataFrame]:
-    """{width: ranks by that many lines}; the widest orders all suffixes."""
-    ranks = active_ranks(lines)
-    levels, width, distinct = {1: ranks}, 1, ranks.select("r").distinct().count()
+    """{width: ranks by that many lines}; the widest orders all suffixes, and equal ranks of it are equal to the end."""
+    ranks, distinct = active_ranks(lines)
+    levels, width = {1: ranks}, 1
     while distinct:
         ranks, now = doubled(ranks, width)
         width *= 2
@@ -97,9 +96,11 @@ def common_prefixes(levels: dict[int, DataFrame]) -> DataFrame:
     """(rank, u, pos, i, mark, lcp) in suffix order; lcp: lines shared with the suffix before."""
     last = levels[max(levels)]
     order = dense_sorted_index(last, F.col("r"), F.col("i").asc_nulls_first(), F.col("u"), F.col("pos"), name="suffixes")
-    before = order.select((F.col("rank") + 1).alias("rank"), F.col("u").alias("u0"), F.col("pos").alias("p0"), F.col("left").alias("l0"))
-    state = order.select("rank", "u", "pos", "i", "mark", "left").join(before, "rank", "left").withColumn("lcp", F.lit(0))
-    for width in sorted(levels, reverse=True):
+    before = order.select((F.col("rank") + 1).alias("rank"), F.col("u").alias("u0"), F.col("pos").alias("p0"), F.col("r").alias("r0"))
+    state = order.select("rank", "u", "pos", "i", "mark", "left", "r").join(before, "rank", "left")
+    state = state.withColumn("lcp", F.when(F.col("r") == F.col("r0"), F.col("left")).otherwise(0))
+    # the widest two levels have the same classes, those of suffixes that are equal to the end
+    for width in sorted(levels, reverse=True)[2:]:
         mine = levels[width].select(F.col("u").alias("mu"), F.col("pos").alias("mp"), F.col("r").alias("mr"))
         other = levels[width].select(F.col("u").alias("ou"), F.col("pos").alias("op"), F.col("r").alias("orr"))
         state = state.join(mine, (F.col("u") == F.col("mu")) & (F.col("pos") + F.col("lcp") == F.col("mp")), "left")
@@ -151,7 +152,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = starts.withColumn("new", new).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("u", "run").agg(F.min("pos").alias("start"), F.max("end").alias("end"))
     runs = runs.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))  # of one document
-    sizes = lines.groupBy("u", "i", "x").agg(F.count(F.lit(1)).alias("n_lines"))
+    sizes = lines.filter("pos = 0").select("u", "i", "x", F.col("left").cast("long").alias("n_lines"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = sizes.join(runs, "u", "left").withColumn("runs", F.coalesce("runs", none))
     return whole.withColumn("n_removed", F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]))
