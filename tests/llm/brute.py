@@ -2,7 +2,12 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
+from math import exp, log
+
+import numpy as np
+import regex
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 GRAPH = re.compile(r"[^\x20\x09-\x0D]+")
@@ -130,3 +135,61 @@ def targets(sizes, weights=(1, 2, 3), cap=3):
         held |= over
         if len(held) == len(names):
             return held
+
+
+def statistics(text):
+    """The statistics of the quality model by name, from the whole text."""
+    t = text or ""
+    w = GRAPH.findall(t)
+    share = lambda count, of: count / of if of else 0.0
+    every = lambda pattern: len(regex.findall(pattern, t))
+    return {"s_words": float(len(w)), "s_chars_per_word": share(len(t), len(w)), "s_lines_per_word": share(t.count("\n"), len(w)),
+            "s_capitals": share(every(r"\p{Lu}"), len(t)), "s_digits": share(sum(c in "0123456789" for c in t), len(t)),
+            "s_stops": share(sum(c in ".,;:?" for c in t), len(w)),
+            "s_marks": share(sum(not regex.match(r"[\p{L}\p{N}]", c) and c not in " \t\n\x0b\f\r.,;:?'\"()-" for c in t), len(t)),
+            "s_bars": share(sum(c in "|!" for c in t), len(w)), "s_distinct_words": share(len(set(w)), len(w)),
+            "s_words_again": share(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w))}
+
+
+def rule_score(text, intercept, rules):
+    s, total = statistics(text), intercept
+    for rule, weight in rules:
+        if all(s[name] <= x if op == "<=" else s[name] > x for name, op, x in rule):
+            total += weight
+    return 1 / (1 + exp(-total))
+
+
+def toxic_words(text):
+    out = set()
+    for w in re.findall(r"\w+", (text or "").lower()):
+        out.add("=" + w)
+        out.update(w[:k] for k in range(4, 8) if k <= len(w))
+    return out
+
+
+def severity_sample(rows, labels, limits, most_features, least_g2, ratio):
+    """(kept features, their G2, [(present features, grade)]) of the labelled rows that are fitted."""
+    marked = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None:
+            marked[i] = max(marked.get(i, 0), int(toxic != 0))
+    chosen = {}
+    for toxic, limit in limits.items():
+        order = sorted((zlib.crc32(str(i).encode()), i) for i, t in marked.items() if t == toxic)
+        chosen.update((i, toxic) for _, i in order[:limit])
+    sample = [(toxic_words(t), chosen[i]) for i, t in rows if i in chosen]
+    size = [sum(t == k for _, t in sample) for k in (0, 1)]
+    seen = [Counter(f for fs, t in sample if t == k for f in fs) for k in (0, 1)]
+    n, g2 = len(sample), {}
+    for f in seen[1]:
+        if seen[1][f] * size[0] < ratio * (seen[0][f] + 0.5) * size[1]:
+            continue
+        total = 0.0
+        for k in (0, 1):
+            for count, of in ((seen[k][f], seen[0][f] + seen[1][f]), (size[k] - seen[k][f], n - seen[0][f] - seen[1][f])):
+                total += 2 * count * log(count * n / (of * size[k])) if count else 0.0
+        g2[f] = total
+    kept = sorted((f for f in g2 if g2[f] >= least_g2), key=lambda f: (-g2[f], f))[:most_features]
+    have = [(sorted(fs & set(kept)), t) for fs, t in sample]
+    low, high = np.quantile([len(fs) for fs, t in have if t], [1 / 3, 2 / 3])
+    return kept, g2, [(fs, t and 1 + (len(fs) > low) + (len(fs) > high)) for fs, t in have]

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,42 @@ def test_toxicity_new_documents(spark):
     assert toxicity.severity(spark.createDataFrame([], SCHEMA), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Statistics, rules and scores of whole texts, recomputed in plain Python."""
+    odd = [(-1, None), (-2, ""), (-3, " \n\t"), (-4, "a a a | ! é É ß Ǆ 東 𝒳 — ' \" ( ) 1 2, 3."), (-5, "long word " * 30000), (None, "no id\u00a0here\x85\x00")]
+    docs = frame(spark, [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()] + odd)
+    labels = table(spark, SF, "labels")
+    intercept, rules = quality.fit(docs, labels)
+    want = sorted((brute.rule_score(r["text"], intercept, rules) for r in docs.select("text").collect()))
+    assert sorted(r["score"] for r in quality.quality(docs, labels).collect()) == pytest.approx(want)
+    stats = quality.with_statistics(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))).collect()
+    for r in stats:
+        assert {k: r[k] for k in r.asDict() if k.startswith("s_")} == pytest.approx(brute.statistics(r["__t"]))
+
+
+def test_toxicity_against_brute_force(spark):
+    """The features kept, the grades, the model and the scores, recomputed in plain Python."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    limits = {1: toxicity.MAX_TOXIC, 0: toxicity.MAX_CLEAN}
+    kept, _, sample = brute.severity_sample(rows, [(r["doc_id"], r["toxic"]) for r in labels.collect()], limits, toxicity.MAX_FEATURES, toxicity.MIN_G2, toxicity.MIN_RATIO)
+    weights, bounds = toxicity.fit(docs, labels)
+    assert set(weights) == set(kept)
+    index = {f: j for j, f in enumerate(kept)}
+    row = np.array([k for k, (fs, _) in enumerate(sample) for _ in fs])
+    col = np.array([index[f] for fs, _ in sample for f in fs])
+    w, b = toxicity.fit_ordinal(row, col, np.array([g for _, g in sample]), len(kept))
+    assert bounds == pytest.approx(b, abs=1e-6)
+    assert {f: weights[f] for f in kept} == pytest.approx({f: w[j] for f, j in index.items()}, abs=1e-6)
+    texts = dict(rows)
+    for r in toxicity.op10_toxicity(spark, SF).collect():
+        score = sum(w[index[f]] for f in brute.toxic_words(texts[r["doc_id"]]) if f in index)
+        p = 1 / (1 + np.exp(-(score - b)))
+        assert (r["p1"], r["p2"], r["p3"]) == pytest.approx(tuple(p), abs=1e-5)
+        assert r["expected_severity"] == pytest.approx(p.sum(), abs=1e-5)
+        assert abs(p[0] - toxicity.REJECT) < 1e-5 or r["toxic"] == (p[0] >= toxicity.REJECT)
+
+
 def test_ordinal_fit():
     """Shared weights and ordered thresholds are found again from drawn grades."""
     rng = np.random.default_rng(0)
