@@ -16,8 +16,9 @@ link when their sets have a Jaccard similarity of at least 0.8.
    ones.  The token-group matrix has a row for each kept shingle and group.  A node queries
    the groups that it shares enough kept shingles with and that hold another component; a
    group whose union of shingles can't contain 0.8 of the query's set stays closed; in an opened
-   one the exact similarities are computed.  Queries of a group are dealt to tasks of
-   ``QUERIES`` each, so no task holds more than these and one group.
+   one the exact similarities are computed.  Groups that follow one another are read as a
+   block of bounded size, to which a query's set goes once for all its groups there; queries
+   of a block are dealt to tasks by their size, so no task holds more than these and a block.
 5. Components of all links, by large-star and small-star rounds over the link table.
 
 Links inside a first component aren't listed, as they don't change components.
@@ -50,8 +51,10 @@ SAMPLE = 32  # one document in so many tells which shingles are frequent
 FREQUENT = 3  # times in the sample
 MAX_FREQUENT = 200_000
 LEADS = 3
-GROUP = 32
-QUERIES = 500
+GROUP = 32  # members of a group, a bit each
+BLOCK = 128  # groups of a block at most
+SHINGLES = 1 << 20  # of a block, one group more at most
+QUERY_SHINGLES = 1 << 19  # of the queries that a task gets with a block
 BUCKET_BYTES = 16 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SUMS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7], np.uint64)
@@ -217,21 +220,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for j in ok], pa.int64()), pa.array([y[j] for j in ok], pa.int64())], ["x", "y"])
 
 
+class _Group:
+    """Up to GROUP member sets as one union of shingles, with a bit for each member that has the shingle."""
+
+    def __init__(self, sets: list[np.ndarray], reps: list[int], comps: list[int]):
+        self.reps, self.comps, self.sizes = reps, comps, np.array([len(s) for s in sets])
+        token = np.concatenate(sets)
+        bit = np.repeat(np.uint32(1) << np.arange(len(sets), dtype=np.uint32), self.sizes)
+        order = np.argsort(token, kind="stable")
+        token, bit = token[order], bit[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.union, self.bits = token[first], np.bitwise_or.reduceat(bit, first).astype("<u4")
+
+    def links(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """(rep, comp) of the members similar to the set ``s``; none if the union can't hold enough of it."""
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        at = at[self.union[at] == s]
+        if DEN * len(at) < NUM * len(s):
+            return []  # the group stays closed
+        both = np.unpackbits(self.bits[at].view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").sum(0, dtype=np.int64)[:len(self.reps)]
+        ok = DEN * both >= NUM * (len(s) + self.sizes - both)
+        return [(self.reps[j], self.comps[j]) for j in np.flatnonzero(ok)]
+
+
 def _opened(queries: pa.Table, members: pa.Table) -> pa.Table:
-    """Links between queries and members of one group."""
-    own = [np.sort(unpacked(s)) for s in members.column("own").to_pylist()]
-    comps, reps = members.column("comp").to_pylist(), members.column("rep").to_pylist()
-    union = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]))
+    """Links between queries and the members of the groups of a block that they ask."""
+    g, reps, comps, own = (members.column(c).to_pylist() for c in ("g", "rep", "comp", "own"))
+    of: dict[int, list[int]] = {}
+    for j, group in enumerate(g):
+        of.setdefault(group, []).append(j)
+    groups = {k: _Group([unpacked(own[j]) for j in rows], [reps[j] for j in rows], [comps[j] for j in rows]) for k, rows in of.items()}
     links = []
-    for x, comp, s in zip(*(queries.column(c).to_pylist() for c in ("x", "comp", "set")), strict=True):
-        mine = np.sort(unpacked(s))
-        if not len(union) or DEN * _overlap(mine, union) < NUM * len(mine):
-            continue  # the group stays closed
-        done = {comp}
-        for y, other, t in zip(reps, comps, own, strict=True):
-            if other not in done and _linked(mine, t):
-                done.add(other)  # further links to this component change nothing
-                links.append((x, y))
+    for x, comp, s, asked in zip(*(queries.column(c).to_pylist() for c in ("x", "comp", "set", "asked")), strict=True):
+        mine, done = unpacked(s), {comp}
+        for k in asked:
+            for y, other in groups[k].links(mine):
+                if other not in done:
+                    done.add(other)  # further links to this component change nothing
+                    links.append((x, y))
     return pa.table({"x": pa.array([a for a, _ in links], pa.int64()), "y": pa.array([b for _, b in links], pa.int64())})
 
 
@@ -306,15 +332,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matrix = tokens.groupBy("token", "g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     asks = tokens.select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(matrix, "token")
     asks = asks.filter(((F.col("c0") != F.col("cx")) | (F.col("c1") != F.col("cx"))) & (DEN * F.col("nx") >= NUM * F.col("n0")) & (DEN * F.col("n1") >= NUM * F.col("nx")))
-    asks = asks.groupBy("x", "g").agg(F.first("cx").alias("comp"), F.first("nx").alias("nx"), F.count(F.lit(1)).alias("c"))
-    asks = cut(asks.filter(F.col("c") >= needed("nx")).select("x", "g", "comp"), "queries")
-    parts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
-    asking = (asks.join(parts, "g").join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set")), "x")
-              .select("g", F.pmod(F.xxhash64("x"), F.col("parts")).alias("p"), "x", "comp", "set"))
-    members = (placed.join(parts, "g").withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asks = asks.groupBy("x", "g").agg(F.first("cx").alias("comp"), F.first("nx").alias("nx"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= needed("nx"))
+
+    # groups in blocks: a query's set goes once to a block, with the numbers of the groups it asks
+    sizes = placed.groupBy("g").agg(F.sum("n").alias("size")).withColumn("b", F.floor(F.col("g") / BLOCK))
+    before = F.sum("size").over(Window.partitionBy("b").orderBy("g")) - F.col("size")  # over BLOCK rows
+    blocks = cut(sizes.select("g", "b", F.floor(before / SHINGLES).alias("part")), "blocks")
+    asks = asks.join(blocks, "g").groupBy("x", "b", "part").agg(F.first("comp").alias("comp"), F.first("nx").alias("nx"), F.collect_list("g").alias("asked"))
+    asks = cut(asks, "queries")
+    shares = asks.groupBy("b", "part").agg(F.ceil(F.sum("nx") / QUERY_SHINGLES).alias("shares"))
+    asking = (asks.join(shares, ["b", "part"]).join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set")), "x")
+              .select("b", "part", F.pmod(F.xxhash64("x"), F.col("shares")).alias("p"), "x", "comp", "set", "asked"))
+    members = (placed.join(blocks, "g").join(shares, ["b", "part"]).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
                .join(sets.select(F.col("rep").alias("s"), F.col("set").alias("own")), F.col("rep") == F.col("s"))
-               .select(*[F.col(c).alias(c) for c in ("g", "p", "rep", "comp", "own")]))
-    opened = asking.groupBy("g", "p").cogroup(members.groupBy("g", "p")).applyInArrow(_opened, "x long, y long")
+               .select(*[F.col(c).alias(c) for c in ("b", "part", "p", "g", "rep", "comp", "own")]))
+    opened = asking.groupBy("b", "part", "p").cogroup(members.groupBy("b", "part", "p")).applyInArrow(_opened, "x long, y long")
     whole = components(stars.unionByName(cut(opened, "opened-links")))
 
     classes = cut(nodes.join(whole, F.col("rep") == F.col("u"), "left").select("n", "k1", "k2", "name", F.coalesce("comp", "rep").alias("component")), "classes")
