@@ -104,6 +104,23 @@ def test_near_groups_that_one_hash_does_not_join(spark):
     assert got == near(rows)
 
 
+def test_near_small_blocks(spark, monkeypatch):
+    """Many groups, blocks and shares of queries, and a bitmap that is nearly full, give the same components."""
+    for name, value in (("GROUP", 3), ("BLOCK", 2), ("SHINGLES", 150), ("QUERY_SHINGLES", 200), ("MARKS", 64), ("LEADS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(12)
+    base = [f"w{j}" for j in range(100)]
+    rows = []
+    for k in range(60):  # a family around the threshold
+        now = list(base)
+        for j in rng.sample(range(100), 3):
+            now[j] = f"v{k}-{j}"
+        rows.append((k + 1, " ".join(now)))
+    rows += [(100 + k, " ".join(f"z{k}-{j}" for j in range(30))) for k in range(20)] + [(200, None), (201, " ")]
+    got = {r["i"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_classes(frame(spark, rows)).collect()}
+    assert got == near(rows)
+
+
 def test_first_shingles_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -10,8 +10,10 @@ link when their sets have a Jaccard similarity of at least 0.8.
    in a sample of the documents last (a shipped list of at most ``MAX_FREQUENT``; it decides
    how much work there is, never the result).  Shingles that two nodes share there are kept,
    and nodes that have enough of them.
-3. Nodes that share one of four minimum hashes are compared with the smallest of them; links
-   give first components, so that groups of thousands of near copies are one component.
+3. Nodes that share one of four minimum hashes, or two of them, are compared with centres that
+   a hash picks among them; links give first components, so that groups of thousands of near
+   copies are one component.  A first round takes one centre of each minimum hash, a second
+   one the other centres, where the first left two components.
 4. Nodes are sorted by component and minimum hash and cut into groups of ``GROUP`` similar
    ones.  The token-group matrix has a row for each kept shingle and group.  A node queries
    the groups that it shares enough kept shingles with and that hold another component; a
@@ -56,6 +58,7 @@ BLOCK = 128  # groups of a block at most
 SHINGLES = 1 << 20  # of a block, one group more at most
 QUERY_SHINGLES = 1 << 19  # of the queries that a task gets with a block
 BUCKET_BYTES = 16 << 20
+MARKS = 1 << 23  # bits that tell the texts of near nodes from most others, 1 MB
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SUMS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7], np.uint64)
 _SEEDS = np.array([0, 0x5555555555555555, 0xCCCCCCCCCCCCCCCC, 0x0F0F0F0F0F0F0F0F], np.uint64)
@@ -261,6 +264,18 @@ def _opened(queries: pa.Table, members: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array([a for a, _ in links], pa.int64()), "y": pa.array([b for _, b in links], pa.int64())})
 
 
+def _marked(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose text is no near node's, by a bitmap of MARKS bits; only work depends on it."""
+    at = near.select(F.expr(f"cast(pmod(text_hash, {MARKS}) as int)").alias("at"))
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, at & 63))").alias("bits")).toArrow()
+    bits = np.zeros(MARKS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    spark = rows.sparkSession
+    marks = spark.createDataFrame(pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))}))
+    mark = F.expr(f"getbit(get(bits, cast(shiftright(pmod(x, {MARKS}), 6) as int)), cast(pmod(x, {MARKS}) as int) & 63) = 1")
+    return rows.join(F.broadcast(marks), mark, "leftsemi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, comp) of every linked node but the smallest of its component, which is ``comp``."""
     lo, hi = F.least("x", "y"), F.greatest("x", "y")
@@ -298,7 +313,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = shared.groupBy(F.col("node").alias("low")).agg(F.count(F.lit(1)).alias("c"))
     near = nodes.join(counts, low("k1") == F.col("low")).filter(F.col("c") >= needed("n")).select("n", "k1", "k2", "name", "text_hash", "rep")
     near = cut(near, "near-nodes")
-    sets = (rows.join(near, F.col("i").eqNullSafe(F.col("name")) & (F.col("x") == F.col("text_hash"))).select("rep", "n", "k1", "k2", "text")
+    sets = (_marked(rows, near).join(near, F.col("i").eqNullSafe(F.col("name")) & (F.col("x") == F.col("text_hash"))).select("rep", "n", "k1", "k2", "text")
             .mapInArrow(_described_sets, "rep long, n long, set binary, least array<long>"))
     sets = cut(sets, "near-sets")
     if not sets.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():  # rows that repeat id and text
@@ -310,12 +325,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = sets.select("rep", "n", F.posexplode(F.concat("least", F.array(*two))).alias("k", "m"))
     leads = [F.min(F.struct(F.xxhash64("rep", "k", F.lit(t)), "rep", "n")).alias(f"l{t}") for t in range(LEADS)]
     lead = keys.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c"), *leads).filter("c > 1")
-    lead = lead.select("k", "m", F.explode(F.array_distinct(F.array(*[f"l{t}" for t in range(LEADS)]))).alias("lead"))
-    pairs = keys.join(lead, ["k", "m"]).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"), "n", F.col("lead.n").alias("ln"))
-    pairs = pairs.filter((F.col("x") != F.col("y")) & (DEN * F.least("n", "ln") >= NUM * F.greatest("n", "ln"))).select("x", "y").distinct()
+    lead = lead.select("k", "m", F.posexplode(F.array_distinct(F.array(*[f"l{t}" for t in range(LEADS)]))).alias("t", "lead"))
+    pairs = keys.join(lead, ["k", "m"]).select(F.col("rep").alias("x"), F.col("lead.rep").alias("y"), "n", F.col("lead.n").alias("ln"),
+                                                ((F.col("k") < len(_SEEDS)) & (F.col("t") == 0)).alias("early"))
+    pairs = pairs.filter((F.col("x") != F.col("y")) & (DEN * F.least("n", "ln") >= NUM * F.greatest("n", "ln")))
+    pairs = pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("early").alias("early"))
+    pairs = cut(pairs, "pairs")
     a, b = sets.select(F.col("rep").alias("x"), F.col("set").alias("sx")), sets.select(F.col("rep").alias("y"), F.col("set").alias("sy"))
-    stars = cut(pairs.join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_verified, "x long, y long"), "star-links")
-    comps = components(stars)
+    stars = comps = None
+    for early in (True, False):  # what the first round joins isn't compared again
+        some = pairs.filter(F.col("early") == early)
+        if comps is not None:
+            of = [comps.select(F.col("u").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy"]
+            some = some.join(of[0], "x", "left").join(of[1], "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+        found = cut(some.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "sx", "sy").mapInArrow(_verified, "x long, y long"), "star-links")
+        stars = found if stars is None else stars.unionByName(found)
+        comps = components(stars)
 
     # token-group matrix over groups of similar nodes
     comp = F.coalesce(F.col("comp"), F.col("rep"))
@@ -341,10 +366,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asks = asks.join(blocks, "g").groupBy("x", "b", "part").agg(F.first("comp").alias("comp"), F.first("nx").alias("nx"), F.collect_list("g").alias("asked"))
     asks = cut(asks, "queries")
     shares = asks.groupBy("b", "part").agg(F.ceil(F.sum("nx") / QUERY_SHINGLES).alias("shares"))
-    asking = (asks.join(shares, ["b", "part"]).join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set")), "x")
-              .select("b", "part", F.pmod(F.xxhash64("x"), F.col("shares")).alias("p"), "x", "comp", "set", "asked"))
-    members = (placed.join(blocks, "g").join(shares, ["b", "part"]).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-               .join(sets.select(F.col("rep").alias("s"), F.col("set").alias("own")), F.col("rep") == F.col("s"))
+    asks = asks.join(shares, ["b", "part"]).select("b", "part", F.pmod(F.xxhash64("x"), F.col("shares")).alias("p"), "x", "comp", "asked")
+    asking = asks.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set")), "x")
+    wanted = asks.select("b", "part", "p", F.explode("asked").alias("g")).distinct()
+    members = (placed.join(wanted, "g").join(sets.select(F.col("rep").alias("s"), F.col("set").alias("own")), F.col("rep") == F.col("s"))
                .select(*[F.col(c).alias(c) for c in ("b", "part", "p", "g", "rep", "comp", "own")]))
     opened = asking.groupBy("b", "part", "p").cogroup(members.groupBy("b", "part", "p")).applyInArrow(_opened, "x long, y long")
     whole = components(stars.unionByName(cut(opened, "opened-links")))
