@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from textmill.operators.kernels import CropPacker
+from textmill.plans import streams
 from textmill.session import scratch_path
 from textmill.streaming import jobs, packing
 
@@ -55,6 +58,88 @@ def test_stream_pack_equals_batch(spark, keep_tail):
     assert got == want
 
 
+class _State:
+    """A list or value state that counts how often it was read."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows)) if isinstance(self.rows, list) else self.rows
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.rows = row
+
+    def clear(self):
+        self.rows = []
+
+
+class _Handle:
+    def __init__(self):
+        self.held, self.place, self.timers = _State(), _State(), []
+
+    def getListState(self, *_):
+        return self.held
+
+    def getValueState(self, *_):
+        return self.place
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_pack_lanes_add_to_the_state_without_reading_it():
+    """While a lane can't fill its buffer, a micro-batch costs what arrives, not what is held."""
+    rng = random.Random(4)
+    docs = [[k] * rng.choice([1, 5, 17, 40]) for k in range(90)]
+    lanes, handle = packing.PackLanes(32, 50, 4, True, 1000), _Handle()
+    lanes.init(handle)
+    got = {}
+    for k in range(0, 90, 9):
+        part = pd.DataFrame({"time": pd.Timestamp(START), "key": [f"{i:04d}" for i in range(k, k + 9)], "tokens": [np.array(d, np.int32) for d in docs[k:k + 9]]})
+        for out in lanes.handleInputRows((0,), iter([part]), handle):
+            got.update(zip(out["row"], out["tokens"].map(list)))
+        if k < 45:
+            assert handle.held.reads == 0 and not got
+        assert len(handle.timers) == 1
+    for out in lanes.handleExpiredTimer((0,), handle, None):
+        got.update(zip(out["row"], out["tokens"].map(list)))
+    assert got == model(docs, 32, 50, 4, True)
+
+
+def test_replayed_in_as_many_parts_at_any_size(spark):
+    """Parts are in order, and each has the files that one micro-batch takes."""
+    for n, each in ((40, 1), (1000, 9)):
+        src = scratch_path(spark, "replayed")
+        d = spark.range(n).repartition(3)
+        assert streams.replayed(d, d["id"], src, rows_per_file=30) == each
+        rows = spark.read.parquet(src).select("id", "_metadata.file_path", "_metadata.file_modification_time").collect()
+        files = {}
+        for i, path, at in rows:
+            files.setdefault((at, path), []).append(i)
+        order = [ids for _, ids in sorted(files.items())]
+        assert len(order) == streams.ARRIVALS * each
+        parts = [sum(order[k:k + each], []) for k in range(0, len(order), each)]
+        assert sorted(sum(parts, [])) == list(range(n))
+        assert all(max(a) < min(b) for a, b in zip(parts, parts[1:]))
+
+
 EVENTS = "run string, event_id long, ts_us long, value double"
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import tokenize as tok
 from ..operators.pack import lane_of
 from ..session import materialised, scratch_path
 from ..sources import shards as S
@@ -18,30 +19,48 @@ from . import runs  # noqa: F401  the batch EMA's oracle
 from .chats import REQUEST_SQL, convs, request_params
 from .fixtures import SEED, source_docs, table
 from .io import positioned
-from .packing import BESTFIT_CROP_SQL, SUMS_SQL, T, doc_tokens, lane_sql, lanes
+from .packing import BESTFIT_CROP_SQL, SUMS_SQL, T, lane_sql, lanes
 from .registry import ORACLES, query
 
 
 ROWS_PER_FILE = 50_000
+WIDE_ROWS = 10_000  # of a file of texts or tokens
+ARRIVALS = 4  # micro-batches that a replayed table comes in, whatever its size
 
 
-def sliced(d, at):
-    """``d`` cut by ``at`` into frames of one file each, in order: as many as the rows fill, four at least.
+def files_for(n_rows: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Files of one of the ``ARRIVALS``, which one micro-batch reads."""
+    return max(1, -(-n_rows // (ARRIVALS * rows_per_file)))
 
-    Written one after the other, they arrive in this order, as the file source goes by modification time.
+
+def replayed(d, at, src: str, rows_per_file: int = ROWS_PER_FILE, derive=lambda part: part) -> int:
+    """Write ``d`` to ``src`` in ``ARRIVALS`` parts, in the order of ``at``; returns the files of a part.
+
+    The file source goes by modification time, so the parts, written one after the other, arrive
+    in this order, if a micro-batch takes as many files as each of them has.  ``derive`` makes the
+    columns of a part after its rows are dealt to its files.
     """
     d = d.withColumn("_at", at)
-    n = max(4, -(-d.count() // ROWS_PER_FILE))
-    ordered = materialised(d.repartitionByRange(n, "_at"), "stream-slices")  # a slice reads its own files only
-    edges = [int(x) for x in ordered.approxQuantile("_at", [k / n for k in range(1, n)], 0.1 / n)]
+    n = d.count()
+    files = files_for(n, rows_per_file)
+    ordered = materialised(d.repartitionByRange(ARRIVALS * files, "_at"), "stream-slices")  # a slice reads its own files only
+    edges = [int(x) for x in ordered.approxQuantile("_at", [k / ARRIVALS for k in range(1, ARRIVALS)], 0.1 / ARRIVALS)]
     after = [None, *sorted(set(edges))]
+    parts = []
     for lo, hi in zip(after, [*after[1:], None], strict=True):
         part = ordered
         if lo is not None:
             part = part.filter(F.col("_at") >= lo)
         if hi is not None:
             part = part.filter(F.col("_at") < hi)
-        yield part.drop("_at").coalesce(1)
+        parts.append(part)
+    if files > 1:  # rows are dealt in turn, so each file gets some if a task has as many rows as there are files
+        rows = [part.count() for part in parts]
+        files = max(1, min([files, *[r // max(1, part.rdd.getNumPartitions()) for r, part in zip(rows, parts, strict=True)]]))
+    for part in parts:
+        part = part.drop("_at")
+        derive(part.coalesce(1) if files == 1 else part.repartition(files)).write.mode("append").parquet(src)
+    return files
 
 
 @query("stream_tokenize_new_shards", oracle="""
@@ -74,8 +93,10 @@ def q_stream_validate_requests(spark, sf_dir):
 SELECT lang AS source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1""")
 def q_stream_mix_counts(spark, sf_dir):
     src, out, ck = (scratch_path(spark, n) for n in ("stream-docs", "stream-mix", "stream-mix-ck"))
-    source_docs(spark, sf_dir).repartition(4).write.parquet(src)
-    jobs.stream_mix_counts(spark, src, out, ck)
+    d = source_docs(spark, sf_dir)
+    files = files_for(d.count(), WIDE_ROWS)
+    d.repartition(ARRIVALS * files).write.parquet(src)
+    jobs.stream_mix_counts(spark, src, out, ck, files_per_trigger=files)
     return jobs.latest_totals(spark, out)
 
 
@@ -84,9 +105,8 @@ def q_stream_ema(spark, sf_dir):
     """The events arrive in files, in time order; the result is that of the batch EMA."""
     src, out, ck = (scratch_path(spark, n) for n in ("stream-events", "stream-ema", "stream-ema-ck"))
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    for part in sliced(e, F.col("ts_us")):
-        part.write.mode("append").parquet(src)
-    jobs.stream_ema(spark, src, out, ck)
+    files = replayed(e, F.col("ts_us"), src)
+    jobs.stream_ema(spark, src, out, ck, files_per_trigger=files)
     return jobs.streamed_ema(spark, out).select(F.col("run").alias("user_id"), "step", F.round("ema", 6).alias("ema"))
 
 
@@ -99,15 +119,16 @@ def q_stream_pack(spark, sf_dir):
     The rows are those that ``pack_bestfit_crop`` makes of all documents at once.
     """
     src, out, ck = (scratch_path(spark, n) for n in ("stream-tokens-in", "stream-packed", "stream-pack-ck"))
-    d = doc_tokens(spark, sf_dir)
+    enc = tok.ByteEncoder()
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (enc.count(F.col("text")) + 1).cast("long").alias("n_tokens"))
     n = lanes(d, "n_tokens")
     key = F.format_string("%020d", "doc_id").alias("key")
-    d = d.select(lane_of("doc_id", n, SEED).alias("lane"), key, F.timestamp_seconds(F.col("doc_id") + 1).alias("time"), "tokens", "n_tokens")
-    for part in sliced(d, F.unix_seconds("time")):
-        part.drop("n_tokens").write.mode("append").parquet(src)
+    d = d.select(lane_of("doc_id", n, SEED).alias("lane"), key, F.timestamp_seconds(F.col("doc_id") + 1).alias("time"), "text")
+    tokens = F.concat(F.array(F.lit(enc.bos)), enc.encode(F.col("text"))).alias("tokens")
+    files = replayed(d, F.unix_seconds("time"), src, WIDE_ROWS, lambda part: part.select("lane", "key", "time", tokens))
     last = d.agg(F.max("time").alias("t")).select(F.lit(None).cast("int").alias("lane"), F.lit("").alias("key"), (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("time"),
                                                   F.lit(None).cast("array<int>").alias("tokens"))
     last.coalesce(1).write.mode("append").parquet(src)
-    stream_pack(spark, src, out, ck, T, late_s=0)
+    stream_pack(spark, src, out, ck, T, late_s=0, files_per_trigger=files)
     s = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return packed_rows(spark, out).select("lane", "row", s("inputs").alias("inputs_sum"), s("targets").alias("targets_sum"))

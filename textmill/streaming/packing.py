@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from ..operators.kernels import CropPacker
 from .jobs import _run
 
 HEARTBEAT = -1  # stands for a NULL lane
-WAITING, BUFFERED, OPEN = 0, 1, 2  # what a kept document is: of an incomplete batch, of the buffer, of the open row
-HELD = "kind int, tokens array<int>"
-PLACE = "row long, pos long"
+WAITING, BUFFERED, OPEN, ARRIVED = 0, 1, 2, 3  # what a kept document is: of an incomplete batch, of the buffer, of the open row, not packed yet
+HELD = "kind int, tokens binary"  # 32-bit ids, as they lie in memory
+PLACE = "row long, pos long, n_held long, timer long"
 ROWS = "lane int, row long, tokens array<int>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -26,6 +27,9 @@ class PackLanes(StatefulProcessor):
 
     A lane that has had no document for ``idle_ms`` of event time is flushed: its buffer is
     placed, and its incomplete last row is dropped or kept.  Row numbers go on after a flush.
+
+    Documents that can't fill the buffer are added to the state, which stays unread; the packer
+    takes them up, in the same order, once there are enough to place any.
     """
 
     def __init__(self, cap: int, buffer: int, batch: int, keep_tail: bool, idle_ms: int):
@@ -36,26 +40,33 @@ class PackLanes(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
         self.place = handle.getValueState("place", PLACE)
 
-    def _load(self) -> CropPacker:
+    def _placed(self) -> tuple[int, int, int, int]:
+        """Row and position, the number of documents that wait or are buffered, and the timer (0: none)."""
+        return tuple(self.place.get()) if self.place.exists() else (0, 0, 0, 0)
+
+    def _load(self) -> tuple[CropPacker, list]:
+        """The packer, and what is complete of the documents that it hadn't seen."""
         packer = CropPacker(self.cap, self.buffer, self.batch, self.keep_tail)
-        if self.place.exists():
-            packer.row, packer.pos = self.place.get()
-        at = 0
-        for kind, tokens in self.held.get() if self.held.exists() else ():
-            tokens = list(tokens)
+        packer.row, packer.pos, _, _ = self._placed()
+        at, placed = 0, []
+        for kind, data in self.held.get() if self.held.exists() else ():
+            tokens = np.frombuffer(data, np.int32)
             if kind == WAITING:
                 packer.waiting.append((len(tokens), tokens))
             elif kind == BUFFERED:
                 packer.index.add(len(tokens), tokens)
-            else:
+            elif kind == OPEN:
                 packer.open.append((tokens, packer.row, at, len(tokens)))
                 at += len(tokens)
-        return packer
-
-    def _keep(self, packer: CropPacker) -> None:
-        held = [(WAITING, item) for _, item in packer.waiting] + [(BUFFERED, item) for _, item in packer.buffered()]
-        held += [(OPEN, item[:take]) for item, _, _, take in packer.open]
-        self.place.update((packer.row, packer.pos))
+            else:
+                placed += packer.add(len(tokens), tokens)
+        return packer, placed
+
+    def _keep(self, packer: CropPacker, timer: int) -> None:
+        held = [(WAITING, item.tobytes()) for _, item in packer.waiting] + [(BUFFERED, item.tobytes()) for _, item in packer.buffered()]
+        n_held = len(held)
+        held += [(OPEN, item[:take].tobytes()) for item, _, _, take in packer.open]
+        self.place.update((packer.row, packer.pos, n_held, timer))
         if held:
             self.held.put(held)
         else:
@@ -63,35 +74,41 @@ class PackLanes(StatefulProcessor):
 
     @staticmethod
     def _rows(lane: int, placed: list) -> pd.DataFrame:
-        rows: dict[int, list[int]] = {}
+        rows: dict[int, list[np.ndarray]] = {}
         for item, row, _, take in placed:
-            rows.setdefault(row, []).extend(item[:take])
+            rows.setdefault(row, []).append(item[:take])
         return pd.DataFrame({"lane": pd.Series([lane] * len(rows), dtype="int32"), "row": pd.Series(list(rows), dtype="int64"),
-                             "tokens": pd.Series(list(rows.values()), dtype=object)})
+                             "tokens": pd.Series([np.concatenate(pieces) for pieces in rows.values()], dtype=object)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if int(key[0]) == HEARTBEAT:
             return
-        packer = self._load()
         arrived = pd.concat(list(rows))  # of one lane in one micro-batch
         arrived = arrived.sort_values(["time", "key"], kind="stable")
-        placed: list = []
-        for tokens in arrived["tokens"]:
-            if tokens is not None and len(tokens):
-                placed += packer.add(len(tokens), [int(t) for t in tokens])
-        self._keep(packer)
-        for old in list(self.handle.listTimers()):
+        items = [np.array([int(t) for t in tokens] if tokens.dtype.kind != "i" else tokens, np.int32)
+                 for tokens in arrived["tokens"] if tokens is not None and len(tokens)]
+        row, pos, n_held, old = self._placed()
+        if old:
             self.handle.deleteTimer(old)
-        last = max(int(arrived["time"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs())
-        self.handle.registerTimer(last + self.idle_ms)
+        timer = max(int(arrived["time"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        self.handle.registerTimer(timer)
+        if n_held + len(items) < self.buffer:  # nothing can be placed
+            if items:
+                self.held.appendList([(ARRIVED, item.tobytes()) for item in items])
+            self.place.update((row, pos, n_held + len(items), timer))
+            return
+        packer, placed = self._load()
+        for item in items:
+            placed += packer.add(len(item), item)
+        self._keep(packer, timer)
         yield self._rows(int(key[0]), placed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        packer = self._load()
-        placed = packer.end()
+        packer, placed = self._load()
+        placed += packer.end()
         if packer.pos:  # an incomplete row that isn't kept leaves its number free
             packer.pos, packer.open = 0, []
-        self._keep(packer)
+        self._keep(packer, 0)
         yield self._rows(int(key[0]), placed)
 
     def close(self) -> None:
