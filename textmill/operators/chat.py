@@ -164,10 +164,13 @@ def truncate_responses(d: DataFrame, n: int = RESPONSE_CAP, col: str = "messages
 def repetition_share(text: Column, n: int = 4) -> Column:
     """Share of duplicated word n-grams: 1 - distinct/total (0 when there are none)."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    total = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))),
-                        lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(total <= 0, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(grams)) / total)
+
+    def share(w: Column) -> Column:
+        total = F.size(w) - n + 1
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0))),
+                            lambda i: F.array_join(F.array(*[F.get(w, i + k) for k in range(n)]), " "))
+        return F.when(total <= 0, F.lit(0.0)).otherwise(1.0 - F.size(F.array_distinct(grams)) / total)
+    return F.get(F.transform(F.array(words), share), 0)  # in a lambda, so that the text is split once, not once for each n-gram
 
 
 def repetition_filter(d: DataFrame, n: int = 4, threshold: float = 0.3, col: str = "messages") -> DataFrame:
