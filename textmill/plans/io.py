@@ -118,9 +118,8 @@ FROM documents GROUP BY 1""")
 def q_write_token_shards(spark, sf_dir):
     path = scratch_path(spark, "token-shards")
     enc = tok.ByteEncoder()
-    d = positioned(spark, sf_dir).select("shard_id", "row_in_shard", F.concat(
-        F.array(F.lit(enc.bos)), enc.encode(F.col("text"))).alias("tokens"))
-    S.write_text_shards(d, path)
+    tokens = F.concat(F.array(F.lit(enc.bos)), enc.encode(F.col("text"))).alias("tokens")
+    S.write_text_shards(positioned(spark, sf_dir), path, columns=[tokens])
     return S.shard_summary(spark.read.parquet(path), tokens="tokens")
 
 
@@ -133,7 +132,7 @@ def q_scan_tokens_or_text(spark, sf_dir):
     d = positioned(spark, sf_dir)
     S.write_text_shards(d, text_dir)
     text = S.scan_tokens_or_text(spark, token_dir, text_dir)
-    S.write_text_shards(d.select("shard_id", "row_in_shard", tok.ByteEncoder().encode(F.col("text")).alias("tokens")), token_dir)
+    S.write_text_shards(d, token_dir, columns=[tok.ByteEncoder().encode(F.col("text")).alias("tokens")])
     tokens = S.scan_tokens_or_text(spark, token_dir, text_dir)
     n = F.count(F.lit(1)).alias("n_rows")
     return text.groupBy("source_kind").agg(n, F.sum(F.length("text")).cast("long").alias("size")).unionByName(

@@ -12,7 +12,7 @@ import warnings
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -141,10 +141,13 @@ def existing_shards(spark: SparkSession, path: str) -> DataFrame | None:
 GROUPS_PER_FILE = 64
 
 
-def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repack: bool = False, row_group: int = ROW_GROUP) -> None:
+def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repack: bool = False, row_group: int = ROW_GROUP,
+                      columns: Sequence[Column] | None = None) -> None:
     """One folder per shard, zstd, groups of ``row_group`` rows; shards already present are skipped.
 
-    A shard of more than 64 row groups is written by several tasks, a file each.
+    A shard of more than 64 row groups is written by several tasks, a file each.  ``columns`` are
+    written instead of those of ``d``, beside ``shard_id`` and ``row_in_shard``; they are made from
+    the rows that a task has got, so that texts, not their tokens, are dealt to the tasks.
     ``repack=True`` writes without dictionary encoding or column statistics
     (zstd level 3), as the repackaging variant does.
     """
@@ -155,7 +158,10 @@ def write_text_shards(d: DataFrame, path: str, skip_existing: bool = True, repac
             d = skip_done(d, done, ["shard_id"])
     rows_per_file = GROUPS_PER_FILE * row_group
     part = F.floor(F.col("row_in_shard") / rows_per_file)
-    w = (d.repartition("shard_id", part).sortWithinPartitions("shard_id", "row_in_shard")
+    rows = d.repartition("shard_id", part)
+    if columns is not None:
+        rows = rows.select("shard_id", "row_in_shard", *columns)
+    w = (rows.sortWithinPartitions("shard_id", "row_in_shard")
          .write.mode("append").partitionBy("shard_id").option("maxRecordsPerFile", rows_per_file)
          .option("compression", "zstd").option("parquet.block.row.count.limit", row_group))
     if repack:
