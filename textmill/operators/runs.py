@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index, last_known, running_sum
 from ..functions.sizing import broadcast_if_small
+from ..session import materialised
 
 # ---------------------------------------------------------------------------
 # BF16 peak FLOP/s by device-name patterns.  The first row whose
@@ -237,11 +238,35 @@ def interp_column(points: DataFrame, knots: DataFrame, group: Sequence[str], at:
     return j.select(*points.columns, val.alias("interp"))
 
 
+def _near(d: DataFrame, points: DataFrame, group: Sequence[str], x: str) -> DataFrame:
+    """The rows of ``d`` that interpolation at ``x_opt`` depends on: those of the values of ``x`` next to a point, and of the ends.
+
+    Two passes with partial aggregation; points and the values found are small.
+    """
+    at = points.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "x_opt").distinct()
+    own = [f"_g{i}" for i in range(len(group))]
+
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    v, opt = F.col("_x").cast("double"), F.col("x_opt")
+    met = d.select(*group, F.col(x).alias("_x")).join(broadcast_if_small(at), same)
+    ends = met.groupBy(*own, "x_opt").agg(F.max(F.when(v < opt, F.col("_x"))).alias("a"), F.min(F.when(v >= opt, F.col("_x"))).alias("b"),
+                                          F.min("_x").alias("c"), F.max("_x").alias("d"))
+    kept = ends.select(*own, F.explode(F.array("a", "b", "c", "d")).alias("_at")).filter("_at IS NOT NULL").distinct()
+    kept = materialised(kept, "isoflop-near")
+    return d.join(broadcast_if_small(kept), same & (F.col(x) == F.col("_at")), "left_semi")
+
+
 def isoflop_carry(opt: DataFrame, d: DataFrame, group: Sequence[str], x: str, carry: Sequence[str]) -> DataFrame:
     """Values of ``carry`` at each group's optimum, interpolated along ``x`` (mean of equal ``x``)."""
+    opt = materialised(opt, "isoflop-opt")
+    near = _near(d.select(*dict.fromkeys([*group, x, *carry])), opt, group, x)
+    means = near.groupBy(*group, F.col(x).alias("x")).agg(*[F.avg(c).alias(f"_y{i}") for i, c in enumerate(carry)])
+    means = materialised(means, "isoflop-knots")
     out = opt
-    for c in carry:
-        knots = d.groupBy(*group, F.col(x).alias("x")).agg(F.avg(c).alias("y"))
+    for i, c in enumerate(carry):
+        knots = means.select(*group, "x", F.col(f"_y{i}").alias("y"))
         at = interp_column(opt.select(*group, "x_opt"), knots, group, "x_opt")
         out = out.join(at.select(*group, F.col("interp").alias(f"{c}_opt")), list(group))
     return out
