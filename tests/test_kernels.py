@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from naive import budget_boundaries, first_fit_decreasing, greedy_pad_rows
 
 from textmill.operators import kernels
@@ -132,3 +133,94 @@ def test_ffd_runs_place_as_one_by_one():
             for at, k in enumerate(np.flatnonzero(lengths == n)):
                 _, _, first, each, row0, fill = [r for r in own if r[2] <= at][-1]
                 assert (row0 + (at - first) // each, fill + (at - first) % each * n) == (rows[k], offs[k])
+
+
+def test_bpe_rounds_on_repeated_pairs(spark):
+    """Merges of batches against a plain loop, with pairs that overlap themselves and ties."""
+    from textmill.operators import bpe
+
+    rng = random.Random(12)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 40))): rng.randint(1, 9) for _ in range(120)}
+    seqs, want = {w: list(w.encode()) for w in words}, []
+    for r in range(12):
+        n = {}
+        for w, ids in seqs.items():
+            for pair in zip(ids, ids[1:]):
+                n[pair] = n.get(pair, 0) + words[w]
+        (left, right), count = min(n.items(), key=lambda x: (-x[1], x[0]))
+        want.append((r, left, right, 256 + r, count))
+        for w, ids in seqs.items():
+            out = []
+            for i in ids:
+                if out and out[-1] == left and i == right:
+                    out[-1] = 256 + r
+                else:
+                    out.append(i)
+            seqs[w] = out
+    _, merges = bpe.bpe_train(spark.createDataFrame(list(words.items()), "chunk string, n long"), 256 + 9 + 12, checkpoint_every=5)
+    assert sorted(tuple(m) for m in merges.collect()) == want
+    assert bpe.pair_counts(spark.createDataFrame([([1, 1, 1, 1, 1], 2)], "seq array<int>, n long"), [(1, 1, 300)]).collect() != []
+
+
+def test_bpe_batches_are_worked_on_in_slices():
+    """What a batch needs beside its result is bounded: no slice has many more entries than asked for."""
+    import pyarrow as pa
+
+    from textmill.operators import bpe
+
+    rows = [["ab", "b"], None, [], ["abab"] * 9, ["c", ""], ["ab"]]
+    lists = pa.array(rows, pa.list_(pa.string()))
+    cut = list(bpe._cut(lists, 4))
+    assert [r for part in cut for r in part.to_pylist()] == rows and len(cut) == 3
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3}
+    pieces = bpe._Pieces(ranks, longest=2)
+    assert pieces.encode(lists).to_pylist() == [[3, 1], None, [], [3, 3] * 9, [2], [3]]
+    assert "abab" not in pieces.known and pieces.encode(lists.slice(0, 0)).to_pylist() == []
+
+
+def test_repetition_of_a_long_text_is_linear(spark):
+    """The text is split once: one of 60,000 words took minutes when every n-gram split it again."""
+    import time
+
+    from textmill.operators import chat
+
+    rng = random.Random(3)
+    words = [str(rng.randrange(40)) for _ in range(60_000)]
+    grams = [" ".join(words[i:i + 4]) for i in range(len(words) - 3)]
+    d = spark.createDataFrame([(1, " " + "\n ".join(words)), (2, "a b c"), (3, "a b a b a b"), (4, None)], "id int, t string")
+    begun = time.time()
+    got = {r["id"]: r["s"] for r in d.select("id", chat.repetition_share(d["t"]).alias("s")).collect()}
+    assert time.time() - begun < 60
+    assert got[1] == pytest.approx(1 - len(set(grams)) / len(grams)) and got[2] == 0.0 and got[3] == pytest.approx(1 - 2 / 3)
+
+
+def test_isoflop_carry_reads_the_knots_near_the_optimum(spark):
+    from textmill.operators import runs
+
+    rng = random.Random(5)
+    rows = [(g, float(rng.randrange(60)), rng.random(), rng.random()) for g in ("a", "b", "c", "d") for _ in range(300)]
+    d = spark.createDataFrame([*rows, ("a", None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], "g string, x double, t double, r double")
+    opt = spark.createDataFrame([("a", 30.5), ("b", -7.0), ("c", 99.0), ("d", 12.0), ("e", 1.0)], "g string, x_opt double")
+    assert runs._near(d, opt, ["g"], "x").select("g", "x").distinct().count() <= 4 * 4
+    got = {r["g"]: (r["t_opt"], r["r_opt"]) for r in runs.isoflop_carry(opt, d, ["g"], "x", ["t", "r"]).collect()}
+    assert set(got) == {"a", "b", "c", "d", "e"} and got["e"] == (None, None)
+    for g, at in (("a", 30.5), ("b", -7.0), ("c", 99.0), ("d", 12.0)):
+        xs = sorted({x for k, x, _, _ in rows if k == g})
+        for i in (0, 1):
+            ys = [np.mean([row[2 + i] for row in rows if row[0] == g and row[1] == x]) for x in xs]
+            assert got[g][i] == pytest.approx(np.interp(at, xs, ys))
+
+
+def test_shards_get_their_columns_after_rows_are_dealt(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from textmill.operators import tokenize as tok
+    from textmill.sources import shards
+
+    d = spark.createDataFrame([(k % 3, k // 3, None if k == 4 else "x" * k) for k in range(60)], "shard_id int, row_in_shard long, text string")
+    shards.write_text_shards(d, f"{tmp_path}/t", columns=[tok.ByteEncoder().encode(F.col("text")).alias("tokens")])
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert set(back.columns) == {"shard_id", "row_in_shard", "tokens"}
+    got = {(r["shard_id"], r["row_in_shard"]): r["tokens"] for r in back.collect()}
+    assert got == {(k % 3, k // 3): None if k == 4 else [120] * k for k in range(60)}
+    assert back.filter("_metadata.row_index <> row_in_shard").count() == 0

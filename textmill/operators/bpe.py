@@ -2,11 +2,12 @@
 
 Training works on the distinct pre-token chunks with their counts (the
 corpus pass is ``pretoken_counts``, a partial + final aggregation).  Each
-round counts adjacent pairs weighted by chunk frequency with one
-``groupBy``, takes the top pair (ties: smallest pair), and rewrites the
-sequences with a left-to-right ``aggregate`` merge.  Lineage is cut with a
-reliable ``checkpoint()`` every few rounds.  The merge table (one row per
-learned token, bounded by the vocabulary size) is the model.
+round counts adjacent pairs weighted by chunk frequency, in each task's batches
+by numpy and then with one ``groupBy``, and takes the top pair (ties: smallest
+pair).  The sequences are read with the merges since they were written, which
+Arrow batches apply from left to right; every few rounds they are written anew.
+The merge table (one row per learned token, bounded by the vocabulary size) is
+the model.
 
 Encoding takes a trained model or a public vocabulary file.  The ids of a chunk
 depend on the chunk only, so each task encodes a distinct chunk once and keeps
@@ -26,58 +27,87 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranking import default_buckets
 from ..functions.text import N_BYTES, SPECIAL_TOKENS, byte_tokens, pretokenize
-from ..session import ensure_checkpoint_dir
+from ..session import materialised
 
 
-def _merge(seq: Column, left: int, right: int, new: int) -> Column:
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        hit = F.coalesce((last == F.lit(left)) & (x == F.lit(right)), F.lit(False))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(
-            F.concat(acc, F.array(x)))
-    return F.aggregate(seq, F.array().cast("array<int>"), step)
+def _merged(flat: np.ndarray, row: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences that lie one after the other, with each pair replaced, from left to right; ``row`` says whose an id is."""
+    hit = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right) & (row[:-1] == row[1:]))
+    if left == right and len(hit):  # of pairs that overlap every other one, from the first
+        first = np.concatenate([[True], np.diff(hit) > 1])
+        start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
+        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+    flat = flat.copy()
+    flat[hit] = new
+    keep = np.ones(len(flat), bool)
+    keep[hit + 1] = False
+    return flat[keep], row[keep]
 
 
-def pair_counts(seqs: DataFrame) -> DataFrame:
-    n = F.size("seq")
-    pairs = F.zip_with(F.slice("seq", 1, n - 1), F.slice("seq", 2, n - 1),
-                       lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-    return (seqs.select(F.explode(pairs).alias("p"), "n").groupBy("p.l", "p.r")
-            .agg(F.sum("n").alias("count")))
+def _read(batch: pa.RecordBatch, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, the row of each and the rows' counts of a batch of (seq, n), merged."""
+    seq = batch.column(0)
+    size = pc.list_value_length(seq).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(seq).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    for left, right, new in merges:
+        flat, row = _merged(flat, row, left, right, new)
+    return flat, row, batch.column(1).to_numpy(zero_copy_only=False)
+
+
+def pair_counts(seqs: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """(l, r, count) of adjacent ids, after ``merges``."""
+    merges = list(merges)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, row, n = _read(batch, merges)
+            near = row[:-1] == row[1:]
+            pairs = (flat[:-1].astype(np.int64) << 32 | flat[1:].astype(np.int64))[near]
+            each, which = np.unique(pairs, return_inverse=True)
+            total = np.zeros(len(each), np.int64)
+            np.add.at(total, which, n[row[:-1][near]])
+            yield pa.RecordBatch.from_arrays([pa.array((each >> 32).astype(np.int32)), pa.array((each & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["l", "r", "count"])
+
+    return seqs.mapInArrow(count, "l int, r int, count long").groupBy("l", "r").agg(F.sum("count").alias("count"))
+
+
+def merged_seqs(seqs: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """Sequences after ``merges``, of two ids at least."""
+    merges = list(merges)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, row, n = _read(batch, merges)
+            ends = _offsets(np.bincount(row, minlength=len(n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(n, pa.int64())], ["seq", "n"])
+
+    return seqs.mapInArrow(merge, "seq array<int>, n long").filter(F.size("seq") >= 2)
 
 
 def bpe_train(counts: DataFrame, vocab_size: int, chunk: str = "chunk", n: str = "n",
               checkpoint_every: int = 8):
     """Learn ``vocab_size - 256 - len(SPECIAL_TOKENS)`` merges; returns (vocab, merges) DataFrames."""
     spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
     n_merges = vocab_size - N_BYTES - len(SPECIAL_TOKENS)
     if n_merges < 0:
         raise ValueError("vocab_size must leave room for 256 bytes and the special tokens")
     seqs = counts.select(byte_tokens(chunk).alias("seq"), F.col(n).cast("long").alias("n")).filter(
         F.size("seq") >= 2)
-    seqs = seqs.checkpoint()
+    seqs = materialised(seqs.repartition(default_buckets(seqs)), "bpe-seqs")  # all tasks work, however few bytes it is
     merges = []
-    stale = []  # cached generations that can be dropped once the next one is materialised
+    pending: list[tuple[int, int, int]] = []  # merges since the sequences were written
     for r in range(n_merges):
-        top = pair_counts(seqs).orderBy(F.desc("count"), "l", "r").first()  # materialises seqs
-        for old in stale[:-1]:
-            old.unpersist()
-        stale = stale[-1:]
+        top = pair_counts(seqs, pending).orderBy(F.desc("count"), "l", "r").first()
         if top is None:
             break
         new = N_BYTES + r
         merges.append((r, int(top["l"]), int(top["r"]), new, int(top["count"])))
-        nxt = seqs.select(_merge(F.col("seq"), top["l"], top["r"], new).alias("seq"), "n").filter(
-            F.size("seq") >= 2)
-        if (r + 1) % checkpoint_every == 0:
-            seqs = nxt.checkpoint()  # reliable checkpoint in the shared folder cuts the lineage
-        else:
-            seqs = nxt.cache()
-            stale.append(seqs)
-    for old in stale:
-        old.unpersist()
+        pending.append(merges[-1][1:4])
+        if len(pending) == checkpoint_every:
+            seqs, pending = materialised(merged_seqs(seqs, pending), "bpe-seqs"), []
     token_bytes = {i: bytes([i]) for i in range(N_BYTES)}
     for _, left, right, new, _ in merges:
         token_bytes[new] = token_bytes[left] + token_bytes[right]
@@ -132,15 +162,41 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
 
 
+ENTRIES = 1 << 17  # chunks or ids that are worked on at a time
+
+
+def _cut(lists: pa.ListArray, entries: int = ENTRIES) -> Iterator[pa.ListArray]:
+    """Consecutive rows of a batch, in slices of about so many entries; a longer row is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + entries, side="right")))
+        yield lists.slice(a, b - a)
+        a = b
+
+
+def _in_slices(fn, lists: pa.ListArray, kind: pa.DataType) -> pa.Array:
+    """``fn`` of a batch, a slice at a time, so that what it needs beside its result doesn't grow with the batch."""
+    parts = [fn(part) for part in _cut(lists)]
+    out = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 class _Pieces:
-    """Ids of distinct chunks, kept over the batches of a task, at most ``most`` of them at a time."""
+    """Ids of distinct chunks, kept over the batches of a task, about ``most`` of them at a time; long ones aren't kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
-        self.ranks, self.most = ranks, most
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000, longest: int = 64):
+        self.ranks, self.most, self.longest = ranks, most, longest
         self.known: dict[str, list[int]] = {}
 
     def encode(self, chunks: pa.ListArray) -> pa.ListArray:
-        """The ids of each list of chunks; each distinct chunk of the batch is looked up once."""
+        """The ids of each list of chunks."""
+        return _in_slices(self._encode, chunks, pa.list_(pa.int32()))
+
+    def _encode(self, chunks: pa.ListArray) -> pa.ListArray:
+        """Each distinct chunk of the slice is looked up once."""
         counts = pc.fill_null(pc.list_value_length(chunks), 0).to_numpy().astype(np.int64)
         coded = pc.list_flatten(chunks).cast(pa.string()).dictionary_encode()
         if len(self.known) > self.most:
@@ -149,7 +205,9 @@ class _Pieces:
         for c in coded.dictionary.to_pylist():
             own = self.known.get(c)
             if own is None:
-                own = self.known[c] = encode_piece(c.encode("utf-8"), self.ranks) if c else []
+                own = encode_piece(c.encode("utf-8"), self.ranks) if c else []
+                if len(c) <= self.longest:
+                    self.known[c] = own
             ids.append(own)
         size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
         flat = np.fromiter((t for x in ids for t in x), np.int32, int(size.sum()))
@@ -215,14 +273,18 @@ class BPEEncoder:
             data = np.frombuffer(b"".join(b for _, b in tokens), np.uint8)
             size = np.array([len(b) for _, b in tokens] + [0], np.int64)  # one more: specials have no bytes
             start = _offsets(size)[:-1]
-            for ids in batches:
+
+            def decode(ids: pa.ListArray) -> pa.Array:
                 flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
                 flat = np.where((flat >= 0) & (flat < len(tokens)), flat, len(tokens)).astype(np.int64)
                 body = _gathered(data, start[flat], size[flat]).tobytes()
                 counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
                 ends = _offsets(size[flat])[_offsets(counts)].tolist()
-                yield pa.array([body[a:b].decode("utf-8", errors="replace") if ok else None for a, b, ok in
-                                zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
+                return pa.array([body[a:b].decode("utf-8", errors="replace") if ok else None for a, b, ok in
+                                 zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)], pa.string())
+
+            for ids in batches:
+                yield _in_slices(decode, ids, pa.string())
 
         self._encode_chunks, self._encode_nested, self._decode = encode_chunks, encode_nested, decode_ids
 
