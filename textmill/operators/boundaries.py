@@ -8,7 +8,8 @@ rows that do start groups are those that lead on from the first one; tables of 1
 steps, each joined from the one before, reach all of them in a logarithmic number of joins.
 
 Everything is a DataFrame plan on narrow rows: no lane has to fit one task, and the result
-doesn't depend on the number of partitions.
+doesn't depend on the number of partitions.  Tables that grow with the rows are joined by sorting:
+Spark would send each that is below its limit through the driver, and there are many.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def pad_successors(items: DataFrame, cap: int) -> DataFrame:
     size = items.groupBy("lane").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lane", "l")
     below = first_at_least(items, limit)
     upto = first_at_least(items, limit, inclusive=False).select(F.col("lane").alias("l2"), F.col("idx").alias("i2"), F.col("at").alias("upto"))
-    met = below.join(upto, (F.col("lane") == F.col("l2")) & (F.col("idx") == F.col("i2"))).join(size, F.col("lane") == F.col("l"))
+    met = below.hint("merge").join(upto.hint("merge"), (F.col("lane") == F.col("l2")) & (F.col("idx") == F.col("i2"))).join(size, F.col("lane") == F.col("l"))
     to = F.when(F.col("upto") > F.col("at"), F.col("at") + 1).otherwise(F.col("at"))
     return met.select("lane", "idx", to.alias("to"), "n").filter(F.col("at") < F.col("n"))
 
@@ -66,7 +67,7 @@ def pad_successors(items: DataFrame, cap: int) -> DataFrame:
 def _onward(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (lane, idx, to) led on by a table; those that it doesn't lead on are dropped."""
     step = table.select(F.col("lane").alias("l"), F.col("idx").alias("i"), F.col("to").alias("further"))
-    return rows.join(step, (F.col("lane") == F.col("l")) & (F.col("to") == F.col("i"))).select("lane", "idx", F.col("further").alias("to"))
+    return rows.hint("merge").join(step.hint("merge"), (F.col("lane") == F.col("l")) & (F.col("to") == F.col("i"))).select("lane", "idx", F.col("further").alias("to"))
 
 
 def group_starts(items: DataFrame, successors: DataFrame, most: int) -> DataFrame:
@@ -98,11 +99,11 @@ def grouped(items: DataFrame, successors: DataFrame, most: int) -> DataFrame:
     successors = materialised(successors.select("lane", "idx", "to"), "boundary-successors")
     starts = group_starts(items, successors, most)
     closes = successors.select(F.col("lane").alias("cl"), F.col("idx").alias("ci"))
-    starts = starts.join(closes, (F.col("lane") == F.col("cl")) & (F.col("idx") == F.col("ci")), "left").select(
+    starts = starts.hint("merge").join(closes.hint("merge"), (F.col("lane") == F.col("cl")) & (F.col("idx") == F.col("ci")), "left").select(
         F.col("lane").alias("sl"), F.col("idx").alias("si"), F.col("ci").isNotNull().alias("closes"))
-    marked = items.join(starts, (F.col("lane") == F.col("sl")) & (F.col("idx") == F.col("si")), "left")
+    marked = items.hint("merge").join(starts.hint("merge"), (F.col("lane") == F.col("sl")) & (F.col("idx") == F.col("si")), "left")
     marked = marked.withColumn("start", F.col("si").isNotNull().cast("long")).drop("sl", "si")
     numbered = running_sum(marked, "start", ["idx"], by=["lane"], out="group").withColumn("group", F.col("group") - 1)
     numbered = materialised(numbered, "boundary-groups")
     heads = numbered.filter(F.col("start") == 1).select(F.col("lane").alias("hl"), F.col("group").alias("hg"), F.col("p").alias("base"), F.col("closes").alias("closed"))
-    return numbered.drop("closes", "start").join(heads, (F.col("lane") == F.col("hl")) & (F.col("group") == F.col("hg"))).drop("hl", "hg")
+    return numbered.drop("closes", "start").hint("merge").join(heads.hint("merge"), (F.col("lane") == F.col("hl")) & (F.col("group") == F.col("hg"))).drop("hl", "hg")
