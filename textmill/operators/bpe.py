@@ -162,7 +162,7 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return flat[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
 
 
-ENTRIES = 1 << 17  # chunks or ids that are worked on at a time
+ENTRIES = 1 << 20  # chunks or ids that are worked on at a time
 
 
 def _cut(lists: pa.ListArray, entries: int = ENTRIES) -> Iterator[pa.ListArray]:
@@ -187,7 +187,7 @@ def _in_slices(fn, lists: pa.ListArray, kind: pa.DataType) -> pa.Array:
 class _Pieces:
     """Ids of distinct chunks, kept over the batches of a task, about ``most`` of them at a time; long ones aren't kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 100_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], most: int = 500_000, longest: int = 64):
         self.ranks, self.most, self.longest = ranks, most, longest
         self.known: dict[str, list[int]] = {}
 
