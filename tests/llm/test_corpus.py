@@ -121,6 +121,46 @@ def test_near_small_blocks(spark, monkeypatch):
     assert got == near(rows)
 
 
+def test_near_family_asks_few_groups(spark, monkeypatch):
+    """Near copies that aren't similar enough to one another don't all ask the groups of all others."""
+    asked, old = [], ngram_join.cut
+
+    def cut(df, name):
+        got = old(df, name)
+        if name == "queries":
+            asked.append(got.agg(F.sum(F.size("asked"))).first()[0] or 0)
+        return got
+    monkeypatch.setattr(ngram_join, "cut", cut)
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    rng = random.Random(15)
+    base = [f"w{j}" for j in range(60)]
+    rows = []
+    for k in range(160):
+        now = list(base)
+        for j in rng.sample(range(60), 1 + k % 4):
+            now[j] = f"v{k}-{j}"
+        rows.append((k + 1, " ".join(now + [f"u{k}-{j}" for j in range(k % 5)])))
+    got = {r["i"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_classes(frame(spark, rows)).collect()}
+    assert got == near(rows)
+    assert asked[0] < 1200  # of 160 nodes and 40 groups
+
+
+def test_first_shingles_meet_by_size(spark):
+    rng = np.random.default_rng(2)
+    found = []
+    for _ in range(400):
+        n = int(rng.integers(1, 200))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.85, 0.95, 1])], rng.integers(0, 1 << 63, int(rng.integers(0, n // 6 + 2)), dtype=np.uint64)]))
+        if ngram_join._linked(a, b):
+            shared = set(ngram_join.first_shingles(a, a[:0]).tolist()) & set(ngram_join.first_shingles(b, a[:0]).tolist())
+            found += [(x, max(0, y - int(rng.integers(0, 9))), y + int(rng.integers(0, 9)), len(shared)) for x, y in ((len(a), len(b)), (len(b), len(a)))]
+    least = spark.createDataFrame(found, "n long, lo long, hi long, c long").withColumn("least", ngram_join.needed_between("n", "lo", "hi"))
+    assert len(found) > 200 and least.filter("c < least").count() == 0
+    # of sets of one size all but a ninth is shared
+    assert spark.sql("select 146L n, 146L lo, 146L hi").select(ngram_join.needed_between("n", "lo", "hi")).first()[0] >= 20
+
+
 def test_first_shingles_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):

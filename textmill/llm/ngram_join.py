@@ -15,9 +15,9 @@ link when their sets have a Jaccard similarity of at least 0.8.
    copies are one component.  A first round takes one centre of each minimum hash, a second
    one the other centres, where the first left two components.
 4. Nodes are sorted by component and minimum hash and cut into groups of ``GROUP`` similar
-   ones.  The token-group matrix has a row for each kept shingle and group.  A node queries
-   the groups that it shares enough kept shingles with and that hold another component; a
-   group whose union of shingles can't contain 0.8 of the query's set stays closed; in an opened
+   ones.  The token-group matrix has a row for each kept shingle and group.  Of two groups the
+   later one's nodes query the earlier one: those that share enough kept shingles with it, as
+   its members' sizes ask for, where it holds another component; a group whose union of shingles can't contain 0.8 of the query's set stays closed; in an opened
    one the exact similarities are computed.  Groups that follow one another are read as a
    block of bounded size, to which a query's set goes once for all its groups there; queries
    of a block are dealt to tasks by their size, so no task holds more than these and a block.
@@ -154,6 +154,19 @@ def needed(n):
     return F.floor(F.floor(F.col(n) * NUM / DEN) / SLACK) + 1
 
 
+def needed_between(n: str, lo: str, hi: str):
+    """How many of its first shingles a set of ``n`` shares with any similar one of ``lo`` to ``hi`` shingles, at least.
+
+    Two such sets of n and m share o >= NUM (n + m) / (NUM + DEN) shingles, of which the first
+    take(n) - (n - o) are among the first of the one, take(m) - (m - o) among those of the other;
+    the lesser is in both.  The first grows with m; the second is bounded by a line, least at an end.
+    """
+    n, lo, hi = F.col(n), F.greatest(lo, F.ceil(F.col(n) * NUM / DEN)), F.least(hi, F.floor(F.col(n) * DEN / NUM))
+    one = 1 + F.floor(n / SLACK) - F.ceil(n * NUM / DEN) + F.ceil((n + lo) * NUM / (NUM + DEN))
+    line = lambda m: 1 + (m - SLACK + 1) / SLACK - (m * NUM + DEN - 1) / DEN + (n + m) * NUM / (NUM + DEN)
+    return F.least(one, F.ceil(F.least(line(lo), line(hi)) - 1e-6))
+
+
 def _spread(frequent: np.ndarray, buckets: int):
     """Emit, for each batch and bucket of shingle hashes, the first shingles and their nodes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +368,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_ = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
     tokens = cut(tokens.join(open_, "token"), "open-tokens")
     matrix = tokens.groupBy("token", "g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
-    asks = tokens.select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(matrix, "token")
+    asks = tokens.select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("g").alias("gx"))
+    asks = asks.join(matrix, "token").filter(F.col("g") <= F.col("gx"))  # of two nodes one asks
     asks = asks.filter(((F.col("c0") != F.col("cx")) | (F.col("c1") != F.col("cx"))) & (DEN * F.col("nx") >= NUM * F.col("n0")) & (DEN * F.col("n1") >= NUM * F.col("nx")))
-    asks = asks.groupBy("x", "g").agg(F.first("cx").alias("comp"), F.first("nx").alias("nx"), F.count(F.lit(1)).alias("c")).filter(F.col("c") >= needed("nx"))
+    asks = asks.groupBy("x", "g").agg(F.first("cx").alias("comp"), F.first("nx").alias("nx"), F.count(F.lit(1)).alias("c"), F.min("n0").alias("n0"), F.max("n1").alias("n1"))
+    asks = asks.filter(F.col("c") >= F.greatest(needed("nx"), needed_between("nx", "n0", "n1"))).select("x", "g", "comp", "nx")
 
     # groups in blocks: a query's set goes once to a block, with the numbers of the groups it asks
     sizes = placed.groupBy("g").agg(F.sum("n").alias("size")).withColumn("b", F.floor(F.col("g") / BLOCK))
