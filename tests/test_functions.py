@@ -113,3 +113,29 @@ def test_bpe_merge_and_roundtrip(spark):
     r = d.select("text", enc.decode(enc.encode(F.col("text"))).alias("back")).collect()
     assert all(x["text"] == x["back"] for x in r)
     assert bpe.encode_piece(b"aaa", {b"a": 0, b"aa": 1}) == [1, 0]
+
+
+def test_uniform_places_equal_the_columns(spark):
+    """Draws of a batch are those of the columns, for any key, and null ones."""
+    from textmill.functions.hashing import uniform, uniform_places
+    keys, counts = [7, None, 0, -(2**63), 2**63 - 1, 12], [3, 12, 0, 101, 1100, 20_000]
+    rows = [(k, p) for k, n in zip(keys, counts, strict=True) for p in range(n)]
+    want = [r[0] for r in spark.createDataFrame(rows, "k long, p int").coalesce(1).select(uniform(42, "k", "p")).collect()]
+    assert uniform_places(42, keys, counts).tolist() == want
+    assert len(uniform_places(42, [], [])) == 0
+
+
+def test_token_nll_is_drawn_in_batches(spark, tmp_path, monkeypatch):
+    """Each token's nats are the draw of its document and place; no md5 column is left in the plan."""
+    from textmill.functions.hashing import uniform
+    from textmill.plans import evaluation
+    rng = random.Random(9)
+    rows = [(None if k % 9 == 0 else k // 2, None if k % 7 == 0 else "é" * rng.randrange(40), None if k % 5 == 0 else "en") for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(evaluation, "TOKENS", 100)
+    got = evaluation.doc_token_nll(spark, str(tmp_path))
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = evaluation.doc_tokens(spark, str(tmp_path)).withColumn("nats", uniform(evaluation.SEED, "doc_id", "pos") * 10.0)
+    key = lambda r: repr(tuple(r))
+    assert got.columns == ["doc_id", "lang", "pos", "tok", "nats"]
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.select(*got.columns).collect()))

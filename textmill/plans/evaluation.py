@@ -8,9 +8,14 @@ over the byte tokens of ``documents``; per-choice continuation log-probs over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform
+from ..functions.hashing import uniform, uniform_places
 from ..functions.text import BOS
 from ..operators import evalm
 from ..operators import tokenize as tok
@@ -33,11 +38,41 @@ def token_bytes_table(spark):
                                  F.when(F.col("id") < 256, 1).otherwise(0).alias("n_bytes"))
 
 
-def doc_token_nll(spark, sf_dir):
+def doc_tokens(spark, sf_dir):
     enc = tok.ByteEncoder()
-    d = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.posexplode(F.concat(F.array(F.lit(BOS)), enc.encode(F.col("text")))).alias("pos", "tok"))
-    return d.withColumn("nats", uniform(SEED, "doc_id", "pos") * 10.0)
+
+
+TOKENS = 1 << 18  # of a batch, one document more at most
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and nats of each document that has a text, in batches of about TOKENS tokens."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+        part = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) // TOKENS
+        for rows in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+            some = batch.slice(int(rows[0]) if len(rows) else 0, len(rows))
+            some = some.filter(pc.is_valid(some.column("text")))
+            texts = some.column("text").to_pylist()
+            ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            toks = np.empty(ends[-1], np.int32)
+            toks[ends[:-1]] = BOS
+            body = np.ones(len(toks), bool)
+            body[ends[:-1]] = False
+            toks[body] = np.frombuffer(b"".join(texts), np.uint8)
+            nats = uniform_places(SEED, some.column("doc_id").to_pylist(), np.diff(ends)) * 10.0
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (toks, nats)]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("lang"), *lists], ["doc_id", "lang", "toks", "nats"])
+
+
+def doc_token_nll(spark, sf_dir):
+    """``doc_tokens`` with nats, ``10 * uniform(SEED, doc_id, pos)``, drawn a batch at a time."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("binary").alias("text"))
+    d = d.mapInArrow(_drawn, "doc_id long, lang string, toks array<int>, nats array<double>")
+    d = d.select("doc_id", "lang", "nats", F.posexplode("toks").alias("pos", "tok"))
+    return d.select("doc_id", "lang", "pos", "tok", F.get("nats", F.col("pos")).alias("nats"))
 
 
 DOC_TOK_SQL = f"""t AS (SELECT doc_id, lang, unnest(list_prepend(256, {BYTES_SQL})) AS tok,
@@ -67,7 +102,8 @@ UNION ALL SELECT 'ignored', 0, 'inf'::DOUBLE""")
 def q_bits_per_byte_tokens(spark, sf_dir):
     """From one row per token; a group whose targets are all ignored stays."""
     t = doc_token_nll(spark, sf_dir).filter(F.col("pos") >= 1).withColumnRenamed("tok", "target")
-    none = t.limit(3).withColumn("lang", F.lit("ignored")).withColumn("target", F.lit(-1))
+    none = doc_tokens(spark, sf_dir).filter(F.col("pos") >= 1).limit(3).withColumn("nats", uniform(SEED, "doc_id", "pos") * 10.0)
+    none = none.select("doc_id", F.lit("ignored").alias("lang"), "pos", F.lit(-1).alias("target"), "nats")
     r = evalm.bits_per_byte(t.unionByName(none), token_bytes_table(spark), by=["lang"])
     return r.select("lang", "sum_bytes", F.round("bpb", 6).alias("bpb"))
 
@@ -75,7 +111,7 @@ def q_bits_per_byte_tokens(spark, sf_dir):
 @query("token_bytes_lookup", oracle="""
 SELECT doc_id, strlen(text)::BIGINT AS n_bytes, 1::BIGINT AS n_special FROM documents""")
 def q_token_bytes_lookup(spark, sf_dir):
-    t = doc_token_nll(spark, sf_dir).withColumnRenamed("tok", "token_id")
+    t = doc_tokens(spark, sf_dir).withColumnRenamed("tok", "token_id")
     j = evalm.token_bytes_lookup(t, token_bytes_table(spark))
     return j.groupBy("doc_id").agg(F.sum("n_bytes").cast("long").alias("n_bytes"),
                                    F.count(F.when(F.col("n_bytes") == 0, 1)).alias("n_special"))
