@@ -58,6 +58,7 @@ BLOCK = 128  # groups of a block at most
 SHINGLES = 1 << 20  # of a block, one group more at most
 QUERY_SHINGLES = 1 << 19  # of the queries that a task gets with a block
 BUCKET_BYTES = 16 << 20
+SHARD = 1 << 19  # bytes of text whose words a task holds at once
 MARKS = 1 << 23  # bits that tell the texts of near nodes from most others, 1 MB
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SUMS = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7], np.uint64)
@@ -67,7 +68,7 @@ _SEEDS = np.array([0, 0x5555555555555555, 0xCCCCCCCCCCCCCCCC, 0x0F0F0F0F0F0F0F0F
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out = []
-    for lo, hi in shards(texts):
+    for lo, hi in shards(texts, SHARD):
         words = Words(texts[lo:hi], GRAPH)
         n = max(0, len(words.hash) - WIDTH + 1)
         sh = np.zeros(n, np.uint64)
