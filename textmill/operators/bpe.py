@@ -3,11 +3,13 @@
 Training works on the distinct pre-token chunks with their counts (the
 corpus pass is ``pretoken_counts``, a partial + final aggregation).  Each
 round counts adjacent pairs weighted by chunk frequency, in each task's batches
-by numpy and then with one ``groupBy``, and takes the top pair (ties: smallest
-pair).  The sequences are read with the merges since they were written, which
-Arrow batches apply from left to right; every few rounds they are written anew.
-The merge table (one row per learned token, bounded by the vocabulary size) is
-the model.
+by numpy and then with one ``groupBy``, and takes the first pairs by count
+(ties: smallest pair).  Sequences are cut between ids that are no such pair,
+and equal segments are added up: a table of bounded size, which gives the
+greedy merges as long as the next is among the pairs taken (``segments``).  So
+a round finds thousands of merges, the same ones as a job for each would.  The
+tasks make them in all sequences, a batch at a time.  The merge table (one row
+per learned token, bounded by the vocabulary size) is the model.
 
 Encoding takes a trained model or a public vocabulary file.  The ids of a chunk
 depend on the chunk only, so each task encodes a distinct chunk once and keeps
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,64 +35,233 @@ from ..functions.text import N_BYTES, SPECIAL_TOKENS, byte_tokens, pretokenize
 from ..session import materialised
 
 
-def _merged(flat: np.ndarray, row: np.ndarray, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences that lie one after the other, with each pair replaced, from left to right; ``row`` says whose an id is."""
-    hit = np.flatnonzero((flat[:-1] == left) & (flat[1:] == right) & (row[:-1] == row[1:]))
-    if left == right and len(hit):  # of pairs that overlap every other one, from the first
-        first = np.concatenate([[True], np.diff(hit) > 1])
-        start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-    flat = flat.copy()
-    flat[hit] = new
-    keep = np.ones(len(flat), bool)
-    keep[hit + 1] = False
-    return flat[keep], row[keep]
+FIRST_PAIRS = 256  # that the first round tries to take
+STEPS = 32  # distinct merges of a sequence that are made with those of its whole batch
 
 
-def _read(batch: pa.RecordBatch, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, the row of each and the rows' counts of a batch of (seq, n), merged."""
-    seq = batch.column(0)
-    size = pc.list_value_length(seq).to_numpy(zero_copy_only=False)
-    flat = pc.list_flatten(seq).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(size)), size)
-    for left, right, new in merges:
-        flat, row = _merged(flat, row, left, right, new)
-    return flat, row, batch.column(1).to_numpy(zero_copy_only=False)
+def _one_merged(ids: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """A sequence with the merges of ``ranks`` made in their order, from left to right; a long one costs n log n."""
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs = [(ranks[x][0], i, x) for i, x in enumerate(a << 32 | b for a, b in zip(ids, ids[1:], strict=False)) if x in ranks]
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, x = heapq.heappop(pairs)
+        if ids[i] < 0 or (j := after[i]) >= n or ids[i] << 32 | ids[j] != x:
+            continue  # one of the two has merged since
+        ids[i], ids[j], after[i] = ranks[x][1], -1, after[j]
+        if (k := after[i]) < n:
+            before[k] = i
+            if (r := ranks.get(y := ids[i] << 32 | ids[k])) is not None:
+                heapq.heappush(pairs, (r[0], i, y))
+        if (h := before[i]) >= 0 and (r := ranks.get(y := ids[h] << 32 | ids[i])) is not None:
+            heapq.heappush(pairs, (r[0], h, y))
+    return [i for i in ids if i >= 0]
+
+
+def _pairs(flat: np.ndarray) -> np.ndarray:
+    return flat[:-1].astype(np.int64) << 32 | flat[1:].astype(np.int64)
+
+
+class _Merges:
+    """Merges (left, right, new), to be made in their order."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        self.ranks = {left << 32 | right: (r, new) for r, (left, right, new) in enumerate(merges)}
+        self.new = np.array([m[2] for m in merges], np.int32)
+        keys = np.array([left << 32 | right for left, right, _ in merges], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def apply(self, flat: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences that lie one after the other, merged, each from left to right; ``row`` says whose an id is.
+
+        A step makes the earliest merge of each sequence, in all its places.
+        """
+        ended = []
+        for _ in range(STEPS):
+            if not len(self.keys) or len(flat) < 2:
+                break
+            pairs = _pairs(flat)
+            at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+            rank = np.where((self.keys[at] == pairs) & (row[:-1] == row[1:]), self.order[at], len(self.keys))
+            rank = np.append(rank, len(self.keys))
+            begin = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+            first = np.minimum.reduceat(rank, begin)
+            size = np.diff(np.append(begin, len(row)))
+            more = np.repeat(first < len(self.keys), size)
+            hit = (rank == np.repeat(first, size)) & more
+            ended.append((flat[~more], row[~more]))
+            flat, row, rank, hit = flat[more], row[more], rank[more], np.flatnonzero(hit[more])
+            same = np.append(False, (np.diff(hit) == 1) & (rank[hit[1:]] == rank[hit[:-1]]))
+            if same.any():  # of pairs that overlap every other one, from the first
+                nth = np.arange(len(hit))
+                hit = hit[(nth - np.maximum.accumulate(np.where(same, 0, nth))) % 2 == 0]
+            flat[hit] = self.new[rank[hit]]
+            keep = np.ones(len(flat), bool)
+            keep[hit + 1] = False
+            flat, row = flat[keep], row[keep]
+        if len(self.keys) and len(flat):  # few are left, and long
+            begin = np.append(np.flatnonzero(np.diff(row, prepend=row[0] - 1)), len(row))
+            for a, b in zip(begin.tolist(), begin[1:].tolist(), strict=False):
+                one = np.array(_one_merged(flat[a:b].tolist(), self.ranks), flat.dtype)
+                ended.append((one, np.full(len(one), row[a])))
+            flat, row = flat[:0], row[:0]
+        flat, row = (np.concatenate([x[i] for x in ended] + [(flat, row)[i]]) for i in (0, 1))
+        order = np.argsort(row, kind="stable")
+        return flat[order], row[order]
+
+
+def _read(batch: pa.RecordBatch, merges: _Merges) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, the row of each and the rows' counts of a batch of (seq, n), merged, in slices."""
+    at, n = 0, batch.column(1).to_numpy(zero_copy_only=False)
+    for seq in _cut(batch.column(0)):
+        size = pc.list_value_length(seq).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(seq).to_numpy(zero_copy_only=False)
+        flat, row = merges.apply(flat, np.repeat(np.arange(len(size)), size))
+        yield flat, row, n[at:at + len(size)]
+        at += len(size)
 
 
 def pair_counts(seqs: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(l, r, count) of adjacent ids, after ``merges``."""
-    merges = list(merges)
+    """(l, r, count, places) of adjacent ids, after ``merges``; ``places`` doesn't weight them."""
+    merges = seqs.sparkSession.sparkContext.broadcast(_Merges(merges))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row, n = _read(batch, merges)
-            near = row[:-1] == row[1:]
-            pairs = (flat[:-1].astype(np.int64) << 32 | flat[1:].astype(np.int64))[near]
-            each, which = np.unique(pairs, return_inverse=True)
-            total = np.zeros(len(each), np.int64)
-            np.add.at(total, which, n[row[:-1][near]])
-            yield pa.RecordBatch.from_arrays([pa.array((each >> 32).astype(np.int32)), pa.array((each & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["l", "r", "count"])
+            for flat, row, n in _read(batch, merges.value):
+                near = row[:-1] == row[1:]
+                each, which, places = np.unique(_pairs(flat)[near], return_inverse=True, return_counts=True)
+                total = np.zeros(len(each), np.int64)
+                np.add.at(total, which, n[row[:-1][near]])
+                yield pa.RecordBatch.from_arrays([pa.array((each >> 32).astype(np.int32)), pa.array((each & 0xFFFFFFFF).astype(np.int32)), pa.array(total), pa.array(places)], ["l", "r", "count", "places"])
 
-    return seqs.mapInArrow(count, "l int, r int, count long").groupBy("l", "r").agg(F.sum("count").alias("count"))
+    found = seqs.mapInArrow(count, "l int, r int, count long, places long").groupBy("l", "r")
+    return found.agg(F.sum("count").alias("count"), F.sum("places").alias("places"))
 
 
 def merged_seqs(seqs: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     """Sequences after ``merges``, of two ids at least."""
-    merges = list(merges)
+    merges = seqs.sparkSession.sparkContext.broadcast(_Merges(merges))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, row, n = _read(batch, merges)
-            ends = _offsets(np.bincount(row, minlength=len(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(n, pa.int64())], ["seq", "n"])
+            for flat, row, n in _read(batch, merges.value):
+                ends = _offsets(np.bincount(row, minlength=len(n))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(n, pa.int64())], ["seq", "n"])
 
     return seqs.mapInArrow(merge, "seq array<int>, n long").filter(F.size("seq") >= 2)
 
 
+def segments(seqs: DataFrame, merges: list[tuple[int, int, int]], taken: np.ndarray) -> DataFrame:
+    """(seg, n): runs of ids, 4 bytes each, whose neighbours are all pairs of ``taken`` (sorted), after ``merges``.
+
+    ``taken`` are the first pairs by (count, l, r).  A merge of (a, b) makes of (x, a) and (b, y) pairs
+    that are not before those in that order, having no more places and larger ids.  So pairs over a cut
+    stay behind the last pair taken, and those before it have all their places in the segments.
+    """
+    spark = seqs.sparkSession.sparkContext
+    merges, taken = spark.broadcast(_Merges(merges)), spark.broadcast(taken)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, row, n in _read(batch, merges.value):
+                if not len(flat):
+                    continue
+                pairs = _pairs(flat)
+                at = np.minimum(np.searchsorted(taken.value, pairs), len(taken.value) - 1)
+                begin = np.flatnonzero(np.append(True, (taken.value[at] != pairs) | (row[:-1] != row[1:])))
+                size = np.diff(np.append(begin, len(flat)))
+                begin, size = begin[size > 1], size[size > 1]
+                body = pa.py_buffer(_gathered(flat, begin, size).astype(np.int32).tobytes())
+                ends = pa.py_buffer((_offsets(size) * 4).astype(np.int32).tobytes())
+                coded = pa.Array.from_buffers(pa.binary(), len(size), [None, ends, body]).dictionary_encode()
+                total = np.zeros(len(coded.dictionary), np.int64)
+                np.add.at(total, coded.indices.to_numpy(zero_copy_only=False), n[row[begin]])
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(total)], ["seg", "n"])
+
+    return seqs.mapInArrow(cut, "seg binary, n long").groupBy("seg").agg(F.sum("n").alias("n"))
+
+
+def greedy_merges(flat: np.ndarray, size: np.ndarray, n: np.ndarray, last: tuple[int, int] | None,
+                  new: int, n_merges: int) -> list[tuple[int, int, int, int]]:
+    """Up to ``n_merges`` merges (left, right, new id, count) of sequences that lie one after the other, ``n`` times each.
+
+    It ends when the first pair by (count, l, r) is behind ``last``, a (-count, pair).  Counts and places
+    follow each merge; pairs behind ``last`` are left out, as counts only fall.
+    """
+    total = len(flat)
+    end = np.cumsum(size)
+    after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+    after[end - 1], before[end - size] = -1, -1
+    pairs, start = _pairs(flat), np.flatnonzero(after[:-1] >= 0)
+    pairs = pairs[start]
+    order = np.argsort(pairs, kind="stable")
+    keys, first, many = np.unique(pairs[order], return_index=True, return_counts=True)
+    found = start[order].astype(np.int32)  # places by pair, from left to right
+    weight = np.repeat(n, size).astype(np.int64)
+    sums = np.add.reduceat(weight[found], first) if len(first) else first
+    del pairs, start, order
+    ids, after, before, weight, found = (array(x, v.tobytes()) for x, v in (("i", flat.astype(np.int32)), ("i", after), ("i", before), ("q", weight), ("i", found)))
+    count = dict(zip(keys.tolist(), sums.tolist(), strict=True))
+    places = dict(zip(keys.tolist(), zip(first.tolist(), (first + many).tolist(), strict=True), strict=True))
+    heap = [(-c, x) for x, c in count.items()]
+    heapq.heapify(heap)
+    last = last or (0, 0)
+    merges: list[tuple[int, int, int, int]] = []
+    while heap and len(merges) < n_merges:
+        top = heapq.heappop(heap)
+        if top > last:
+            break
+        c, x = count[top[1]], top[1]
+        if c != -top[0]:  # it fell since
+            if (-c, x) <= last and c > 0:
+                heapq.heappush(heap, (-c, x))
+            continue
+        left, right = x >> 32, x & 0xFFFFFFFF
+        merges.append((left, right, new, c))
+        del count[x]
+        where = places.pop(x)
+        fresh: dict[int, int] = {}
+        fresh_at: dict[int, array] = {}
+        for i in found[where[0]:where[1]] if type(where) is tuple else where:
+            j = after[i]
+            if ids[i] != left or j < 0 or ids[j] != right:
+                continue  # one of the two has merged since
+            w, h, k = weight[i], before[i], after[j]
+            if h >= 0:
+                y = ids[h]
+                if (z := y << 32 | left) in count:
+                    count[z] -= w
+                elif z in fresh:  # (new, left), where places follow each other
+                    fresh[z] -= w
+                z = y << 32 | new
+                fresh[z] = fresh.get(z, 0) + w
+                fresh_at.setdefault(z, array("i")).append(h)
+            if k >= 0:
+                y = ids[k]
+                if (z := right << 32 | y) in count:
+                    count[z] -= w
+                z = new << 32 | y
+                fresh[z] = fresh.get(z, 0) + w
+                fresh_at.setdefault(z, array("i")).append(i)
+                before[k] = i
+            ids[i], ids[j], after[i] = new, -1, k
+        for z, c in fresh.items():
+            if c > 0 and (-c, z) <= last:
+                count[z], places[z] = c, fresh_at[z]
+                heapq.heappush(heap, (-c, z))
+        new += 1
+    return merges
+
+
 def bpe_train(counts: DataFrame, vocab_size: int, chunk: str = "chunk", n: str = "n",
-              checkpoint_every: int = 8):
-    """Learn ``vocab_size - 256 - len(SPECIAL_TOKENS)`` merges; returns (vocab, merges) DataFrames."""
+              checkpoint_every: int = 8, most_pairs: int = 1 << 16, most_ids: int = 1 << 20):
+    """Learn ``vocab_size - 256 - len(SPECIAL_TOKENS)`` merges, or as many as there are pairs; returns (vocab, merges) DataFrames.
+
+    A round takes ``most_pairs`` pairs at most, and no more than have segments of ``most_ids`` ids in all,
+    but one at least.  Sequences are written anew when ``checkpoint_every`` merges were found since.
+    """
     spark = counts.sparkSession
     n_merges = vocab_size - N_BYTES - len(SPECIAL_TOKENS)
     if n_merges < 0:
@@ -99,14 +271,32 @@ def bpe_train(counts: DataFrame, vocab_size: int, chunk: str = "chunk", n: str =
     seqs = materialised(seqs.repartition(default_buckets(seqs)), "bpe-seqs")  # all tasks work, however few bytes it is
     merges = []
     pending: list[tuple[int, int, int]] = []  # merges since the sequences were written
-    for r in range(n_merges):
-        top = pair_counts(seqs, pending).orderBy(F.desc("count"), "l", "r").first()
-        if top is None:
+    some = FIRST_PAIRS
+    while len(merges) < n_merges:
+        top = pair_counts(seqs, pending).orderBy(F.desc("count"), "l", "r").limit(most_pairs + 1).toArrow()
+        if not top.num_rows:
+            break
+        left, right, count, places = (top.column(c).to_numpy().astype(np.int64) for c in ("l", "r", "count", "places"))
+        pairs = left << 32 | right
+        few = int(np.searchsorted(2 * np.cumsum(places), most_ids, side="right"))  # their segments can't have more ids
+        k = min(max(some, few, 1), most_pairs, len(pairs))
+        while True:
+            segs = materialised(segments(seqs, pending, np.sort(pairs[:k])), "bpe-segs")
+            n_ids = (segs.agg(F.sum(F.octet_length("seg"))).first()[0] or 0) // 4
+            if n_ids <= most_ids or k == 1:
+                break
+            k = max(1, k // 4)
+        some = min(4 * k, most_pairs) if n_ids < most_ids // 4 else k
+        segs = segs.toArrow()
+        size = pc.binary_length(segs.column("seg")).to_numpy().astype(np.int64) // 4
+        flat = np.frombuffer(b"".join(segs.column("seg").to_pylist()), np.int32)
+        whole = k == len(pairs)
+        found = greedy_merges(flat, size, segs.column("n").to_numpy(), None if whole else (-int(count[k - 1]), int(pairs[k - 1])), N_BYTES + len(merges), n_merges - len(merges))
+        merges += [(len(merges) + r, *m) for r, m in enumerate(found)]
+        pending += [m[:3] for m in found]
+        if whole or len(merges) == n_merges:
             break
-        new = N_BYTES + r
-        merges.append((r, int(top["l"]), int(top["r"]), new, int(top["count"])))
-        pending.append(merges[-1][1:4])
-        if len(pending) == checkpoint_every:
+        if len(pending) >= checkpoint_every:
             seqs, pending = materialised(merged_seqs(seqs, pending), "bpe-seqs"), []
     token_bytes = {i: bytes([i]) for i in range(N_BYTES)}
     for _, left, right, new, _ in merges:

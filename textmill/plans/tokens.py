@@ -220,7 +220,7 @@ def q_roundtrip_check(spark, sf_dir):
 
 
 # --- byte-level BPE -----------------------------------------------------------
-BPE_VOCAB = 256 + len(SPECIAL_TOKENS) + 24
+BPE_VOCAB = 32_768  # bytes, merges and special tokens: the reference's vocabulary
 BPE_BUDGET = 10_000_000_000  # characters of capped documents that the model may be trained on
 
 
